@@ -1,0 +1 @@
+"""Deliberately empty: the workload is batch only (no watermark, trigger or late-data semantics to honour)."""
