@@ -72,8 +72,7 @@ def hourly_means(
 
     ``observed`` is 1 even when all values of the cell are null.
     """
-    source = ChannelSource(table, "{category}", category_column, tuple(categories))
-    require_distinct(source.channels)
+    source = ChannelSource(table, "{category}", category_column, tuple(categories), clean=False)
     rows, starts = _category_rows(catalog, source, anchors, cohort)
     return (
         _hourly(rows, starts, window_hours, salting)
@@ -93,8 +92,7 @@ def hourly_indicator(
     salting: bool | None = None,
 ) -> DataFrame:
     """Long form (stay, hour, category, value): 1.0 per cell with any row."""
-    source = ChannelSource(table, "{category}", category_column, tuple(categories), indicator=True)
-    require_distinct(source.channels)
+    source = ChannelSource(table, "{category}", category_column, tuple(categories), indicator=True, clean=False)
     rows, starts = _category_rows(catalog, source, anchors, cohort)
     return (
         _hourly(rows, starts, window_hours, salting)

@@ -118,7 +118,8 @@ class ChannelSource:
     """Where a block of channels comes from.
 
     ``categories=None`` makes the whole table one channel called ``name``; otherwise ``name`` is a template such
-    as ``vitals_{category}``. ``indicator`` sources only say whether rows exist.
+    as ``vitals_{category}``. ``indicator`` sources only say whether rows exist. ``clean=False`` keeps category
+    values as they are instead of turning them into column-name form.
     """
 
     table: str
@@ -126,6 +127,7 @@ class ChannelSource:
     category_column: str | None = None
     categories: tuple[str, ...] | None = None
     indicator: bool = False
+    clean: bool = True
 
     def __post_init__(self) -> None:
         if self.categories is not None and self.name.count("{category}") != 1:
@@ -135,7 +137,8 @@ class ChannelSource:
     def channels(self) -> list[str]:
         if self.categories is None:
             return [self.name]
-        return [self.name.replace("{category}", safe_name(c)) for c in self.categories]
+        shown = safe_name if self.clean else str
+        return [self.name.replace("{category}", shown(c)) for c in self.categories]
 
 
 def require_distinct(names: Sequence[str]) -> None:
@@ -165,7 +168,8 @@ def channel_rows(catalog: TableCatalog, source: ChannelSource, anchors: DataFram
     else:
         rows = rows.where(ref(source.category_column).isin(list(source.categories)))
         head, tail = source.name.split("{category}")
-        channel = F.concat(F.lit(head), safe_name_expr(ref(source.category_column)), F.lit(tail))
+        shown = ref(source.category_column)
+        channel = F.concat(F.lit(head), safe_name_expr(shown) if source.clean else shown, F.lit(tail))
     return rows.select(
         STAY,
         ref(moment).alias("ts"),
