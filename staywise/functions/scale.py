@@ -13,8 +13,9 @@ from pyspark.sql.window import Window
 ONE_TASK_BYTES = 1 << 30
 # A key is hot when it holds more than this share of all rows; fewer than 1/HOT_SHARE keys can be.
 HOT_SHARE = 1.0 / 2048
-# Target volume of one ordered bucket, and the most buckets a global order is cut into.
+# A global order is cut into buckets of about this many rows; below BUCKET_BYTES one task orders everything.
 BUCKET_BYTES = 64 << 20
+BUCKET_ROWS = 2_000_000
 MAX_BUCKETS = 4096
 
 
@@ -77,8 +78,22 @@ def skew_safe_join(
     return sliced_facts.join(sliced_dims, [key, "_slice"], how).drop("_slice")
 
 
-def suggested_buckets(frame: DataFrame) -> int:
-    return max(1, min(MAX_BUCKETS, -(-planned_bytes(frame) // BUCKET_BYTES)))
+def _cuts(counts: DataFrame, order: str, buckets: int | None) -> list[float]:
+    """Inner bucket limits near the quantiles of ``order``; none when one task can order everything."""
+    if buckets is None and planned_bytes(counts) <= BUCKET_BYTES:
+        return []
+    most = MAX_BUCKETS if buckets is None else buckets
+    if most <= 1:
+        return []
+    shares = F.array(*[F.lit(i / most) for i in range(1, most)])
+    # The estimate can be far too high, so the same pass that finds the quantiles counts the rows.
+    found = counts.agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(order, shares, F.lit(4 * most)).alias("q")
+    ).first()
+    if buckets is None:
+        buckets = min(MAX_BUCKETS, -(-found.n // BUCKET_ROWS))
+    picked = [found.q[i * most // buckets - 1] for i in range(1, buckets)] if found.q else []
+    return sorted(set(picked))
 
 
 def running_counts(
@@ -95,18 +110,17 @@ def running_counts(
     the cuts fall does not change the result, and they are fixed as literals before the plan is built.
     """
     by = list(by or [])
-    buckets = suggested_buckets(counts) if buckets is None else buckets
-    if buckets <= 1:
+    cuts = _cuts(counts, order, buckets)
+    if not cuts:
         before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return counts.select(
             "*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"below_{c}") for c in totals]
         )
 
-    cuts = sorted(set(counts.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
     splits = [float("-inf"), *cuts, float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol=order, outputCol="_bucket").transform(counts)
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # At most `buckets` rows per group, whatever the size of the input.
+    # At most MAX_BUCKETS rows per group, whatever the size of the input.
     offsets = bucketed.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in totals])
     offsets = offsets.select(
         *by, "_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in totals]
