@@ -80,20 +80,15 @@ def skew_safe_join(
 
 def _cuts(counts: DataFrame, order: str, buckets: int | None) -> list[float]:
     """Inner bucket limits near the quantiles of ``order``; none when one task can order everything."""
-    if buckets is None and planned_bytes(counts) <= BUCKET_BYTES:
-        return []
-    most = MAX_BUCKETS if buckets is None else buckets
-    if most <= 1:
-        return []
-    shares = F.array(*[F.lit(i / most) for i in range(1, most)])
-    # The estimate can be far too high, so the same pass that finds the quantiles counts the rows.
-    found = counts.agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx(order, shares, F.lit(4 * most)).alias("q")
-    ).first()
     if buckets is None:
-        buckets = min(MAX_BUCKETS, -(-found.n // BUCKET_ROWS))
-    picked = [found.q[i * most // buckets - 1] for i in range(1, buckets)] if found.q else []
-    return sorted(set(picked))
+        if planned_bytes(counts) <= BUCKET_BYTES:
+            return []
+        # Estimates can be far too high: count before paying for quantiles.
+        buckets = min(MAX_BUCKETS, -(-counts.count() // BUCKET_ROWS))
+    if buckets <= 1:
+        return []
+    shares = [i / buckets for i in range(1, buckets)]
+    return sorted(set(counts.approxQuantile(order, shares, 0.25 / buckets)))
 
 
 def running_counts(

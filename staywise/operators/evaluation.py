@@ -41,18 +41,27 @@ def _or_fail(condition: Column, value: Column, message: str) -> Column:
 def score_counts(
     frame: DataFrame, label: str, score: str, by: Sequence[str] = (), clip: float | None = CLIP
 ) -> DataFrame:
-    """(by..., score, n, pos): rows and positives per distinct finite score, optionally clipped to (0, 1)."""
+    """(by..., score, n, pos): rows and positives per distinct finite score, optionally clipped to (0, 1).
+
+    With groups, rows that are not finite stay as empty entries (n = 0), so that a group made of nothing else
+    is still seen.
+    """
     require_columns(frame, [label, score, *by], "evaluation")
     y, p = ref(label).cast("double"), ref(score).cast("double")
+    usable = _finite(y) & _finite(p)
     if clip is not None:
         p_used = F.least(F.greatest(p, F.lit(clip)), F.lit(1.0 - clip))
     else:
         p_used = p + F.lit(0.0)  # one zero, not two
-    clean = frame.where(_finite(y) & _finite(p)).select(
-        *[ref(c) for c in by], p_used.alias("score"), _binary(y).alias("y")
+    if by:
+        p_used = F.when(usable, p_used).otherwise(F.lit(0.5))
+    else:
+        frame = frame.where(usable)
+    clean = frame.select(
+        *[ref(c) for c in by], p_used.alias("score"), F.when(usable, _binary(y)).alias("y")
     )
     return clean.groupBy(*by, "score").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y").cast("bigint").alias("pos")
+        F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).cast("bigint").alias("pos")
     )
 
 
@@ -79,7 +88,7 @@ def binary_metrics(
         F.sum(pos * (1 - p) * (1 - p) + neg * p * p).alias("squared"),
         F.sum(-(pos * F.log(p) + neg * F.log(1 - p))).alias("log_sum"),
     )
-    total = _or_fail(F.col("n") > 0, F.col("n"), "no finite labels and scores")
+    total = _or_fail(F.col("n") > 0, F.col("n"), "no finite labels and scores" + (" in a group" if by else ""))
     return sums.select(
         *by,
         total.alias("n"),
@@ -120,14 +129,8 @@ def subgroup_metrics(
     )
     long = frame.select(ref(label).cast("double").alias("y"), ref(score).cast("double").alias("p"), F.inline(pairs))
     by = ["subgroup_col", "subgroup_value"]
-    measured = binary_metrics(long, "y", "p", by, buckets)
-    # Groups that lost all their rows to the finite filter have no metrics row: report them, do not drop them.
-    groups = long.groupBy(*by).agg(F.count_if(_finite(F.col("y")) & _finite(F.col("p"))).alias("_finite"))
-    checked = groups.select(*by, _or_fail(F.col("_finite") > 0, F.col("_finite"), "a subgroup has no finite row").alias("_n"))
-    return (
-        checked.join(measured, by, "left")
-        .withColumn("warning", F.when(F.col("auroc").isNull(), SINGLE_CLASS))
-        .select(*by, F.coalesce("n", "_n").alias("n"), "prevalence", "auroc", "brier", "log_loss", "warning")
+    return binary_metrics(long, "y", "p", by, buckets).withColumn(
+        "warning", F.when(F.col("auroc").isNull(), SINGLE_CLASS)
     )
 
 
@@ -143,11 +146,14 @@ def calibration_bins(
         raise ValueError("n_bins must be at least 2")
     require_columns(frame, [label, score], "calibration table")
     usable = frame.where(ref(label).isNotNull() & ref(score).cast("double").between(0.0, 1.0))
-    ranked = running_counts(score_counts(usable, label, score, clip=None), "score", ["n"], [], buckets)
-    total = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).select(
-        _or_fail(F.col("t") > 0, F.col("t"), "no valid rows for a calibration table").alias("t")
+    counts = score_counts(usable, label, score, clip=None)
+    total = counts.agg(F.sum("n").alias("t")).first().t
+    if not total:
+        raise ValueError("no valid rows for a calibration table")
+    bins = min(total, n_bins)
+    runs = running_counts(counts, "score", ["n"], [], buckets).select(
+        "*", F.lit(total).cast("bigint").alias("t"), F.lit(bins).cast("bigint").alias("k")
     )
-    runs = ranked.withColumn("t", total.scalar()).withColumn("k", F.least(F.col("t"), F.lit(n_bins)))
     # A run of equal scores covers rows [below_n, below_n + n); one output row per bin it touches.
     pieces = runs.withColumn(
         "bin",
@@ -237,36 +243,29 @@ def ranking_metrics(frame: DataFrame, label: str, score: str, buckets: int | Non
 
     AUROC and average precision are NaN with a single class.
     """
-    counts = score_counts(frame, label, score, clip=None)
-    return _ranking(running_counts(counts, "score", ["n", "pos"], [], buckets))
+    return _ranking(score_counts(frame, label, score, clip=None), buckets)
 
 
-def _ranking(ranked: DataFrame) -> DataFrame:
-    totals = ranked.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"), F.sum("pos").alias("pos_all")
-    )
-    n_all = totals.select(_or_fail(F.col("n_all") > 0, F.col("n_all"), "no finite labels and scores")).scalar()
-    pos_all = totals.select("pos_all").scalar()
+def _ranking(counts: DataFrame, buckets: int | None) -> DataFrame:
+    # In descending order the running counts are those at higher scores: precision needs no totals.
+    descending = counts.select(F.negative("score").alias("order"), "score", "n", "pos")
+    ranked = running_counts(descending, "order", ["n", "pos"], [], buckets)
     p, n, pos = F.col("score"), F.col("n"), F.col("pos")
-    at_or_above = (F.col("pos_all") - F.col("below_pos")) / (F.col("n_all") - F.col("below_n"))
-    sums = (
-        ranked.withColumn("n_all", n_all)
-        .withColumn("pos_all", pos_all)
-        .agg(
-            F.max("n_all").alias("n"),
-            F.max("pos_all").alias("pos"),
-            F.sum(pos * (F.col("below_n") + (n + 1) / F.lit(2.0))).alias("rank_sum"),
-            F.sum(pos * at_or_above).alias("precision_sum"),
-            F.sum(pos * (1 - p) * (1 - p) + (n - pos) * p * p).alias("squared"),
-        )
+    sums = ranked.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(pos), F.lit(0)).alias("pos"),
+        F.sum(pos * (F.col("below_n") + (n - 1) / F.lit(2.0))).alias("higher"),
+        F.sum(pos * (F.col("below_pos") + pos) / (F.col("below_n") + n)).alias("precision_sum"),
+        F.sum(pos * (1 - p) * (1 - p) + (n - pos) * p * p).alias("squared"),
     )
+    n, pos = F.col("n").cast("double"), F.col("pos").cast("double")
     nan = F.lit(float("nan"))
-    both = (F.col("pos") > 0) & (F.col("pos") < F.col("n"))
+    rank_sum = n * pos - F.col("higher")
     return sums.select(
-        F.coalesce(_rank_area(F.col("n"), F.col("pos"), F.col("rank_sum")), nan).alias("auroc"),
-        F.when(both, F.col("precision_sum") / F.col("pos")).otherwise(nan).alias("auprc"),
-        (F.col("squared") / F.col("n")).alias("brier_score"),
-        (F.col("pos") / F.col("n")).alias("prevalence"),
+        F.coalesce(_rank_area(n, pos, rank_sum), nan).alias("auroc"),
+        F.when((pos > 0) & (pos < n), F.col("precision_sum") / pos).otherwise(nan).alias("auprc"),
+        (F.col("squared") / _or_fail(n > 0, n, "no finite labels and scores")).alias("brier_score"),
+        (pos / n).alias("prevalence"),
     )
 
 
@@ -274,7 +273,7 @@ def model_metrics(frame: DataFrame, label: str, score: str, buckets: int | None
     """One row with the six holdout metrics: ranking metrics plus calibration_intercept and calibration_slope."""
     counts = score_counts(frame, label, score, clip=None)
     intercept, slope = calibration_line(counts)
-    return _ranking(running_counts(counts, "score", ["n", "pos"], [], buckets)).select(
+    return _ranking(counts, buckets).select(
         "*",
         F.lit(intercept).alias("calibration_intercept"),
         F.lit(slope).alias("calibration_slope"),
