@@ -30,10 +30,20 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)) if text != "-1" else -1
 
 
-def _salting_pays(facts: DataFrame, dims: DataFrame) -> bool:
-    if planned_bytes(dims) <= broadcast_limit(facts.sparkSession):
-        return False  # Spark broadcasts dims, facts stay where they are
-    return planned_bytes(facts) > ONE_TASK_BYTES
+def _broadcastable(dims: DataFrame) -> bool:
+    """Spark will broadcast dims by itself, and facts stay where they are."""
+    return planned_bytes(dims) <= broadcast_limit(dims.sparkSession)
+
+
+def _hash_side(facts: DataFrame, dims: DataFrame) -> DataFrame:
+    """Ask for a shuffled hash join when each task's share of dims is small, so facts are never sorted.
+
+    Same bound as Spark's own rule, which is off unless sort-merge joins are dispreferred globally.
+    """
+    spark = dims.sparkSession
+    limit = max(broadcast_limit(spark), 10 << 20) * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = planned_bytes(dims)
+    return dims.hint("shuffle_hash") if size <= limit and 3 * size <= planned_bytes(facts) else dims
 
 
 def skew_safe_join(
@@ -54,9 +64,11 @@ def skew_safe_join(
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, got {how!r}")
     if salting is None:
-        salting = _salting_pays(facts, dims)
+        if _broadcastable(dims):
+            return facts.join(dims, key, how)
+        salting = planned_bytes(facts) > ONE_TASK_BYTES
     if not salting:
-        return facts.join(dims, key, how)
+        return facts.join(_hash_side(facts, dims) if not _broadcastable(dims) else dims, key, how)
 
     sizes = facts.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     limit = sizes.agg(F.sum("_rows").alias("_all")).select(F.col("_all") * hot_share).scalar()
@@ -75,6 +87,8 @@ def skew_safe_join(
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
         .drop("_slices")
     )
+    if not _broadcastable(dims):
+        sliced_dims = _hash_side(facts, sliced_dims)
     return sliced_facts.join(sliced_dims, [key, "_slice"], how).drop("_slice")
 
 

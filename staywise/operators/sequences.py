@@ -163,8 +163,8 @@ def build_sequences(
     if validate and starts.isEmpty():
         raise ValueError("no cohort stay has an anchor: the cohort is empty or does not match the anchors")
 
-    grid = starts.select(STAY, F.explode(F.sequence(F.lit(0), F.lit(int(window_hours) - 1))).alias(HOUR))
     present = [s for s in sources if s.categories and s.table in catalog]
+    stays = starts.select(STAY)
     if present:
         rows = reduce(DataFrame.unionByName, [channel_rows(catalog, s, starts) for s in present])
         is_channel = {c: F.col("channel") == c for c in numeric + flags}
@@ -176,22 +176,35 @@ def build_sequences(
                 *[F.max(F.when(is_channel[c], 1)).alias(f"s_{c}") for c in numeric + flags],
             )
         )
-        grid = grid.join(cells, [STAY, HOUR], "left")
-    else:
-        grid = grid.select(
-            "*",
-            *[F.lit(None).cast("double").alias(f"v_{c}") for c in numeric],
-            *[F.lit(None).cast("int").alias(f"s_{c}") for c in numeric + flags],
+        # At most window_hours cells per stay. From here on everything is keyed by stay alone, so the dense
+        # grid is made in place and never shuffled.
+        packed = cells.groupBy(STAY).agg(
+            F.collect_list(F.struct(HOUR, *[c for c in cells.columns if c not in (STAY, HOUR)])).alias("cells")
         )
+        stays = stays.join(packed, STAY, "left")
+    else:
+        fields = [(HOUR, "int"), *[(f"v_{c}", "double") for c in numeric], *[(f"s_{c}", "int") for c in numeric + flags]]
+        kind = ", ".join(f"`{name}`: {type_}" for name, type_ in fields)
+        stays = stays.select(STAY, F.lit(None).cast(f"array<struct<{kind}>>").alias("cells"))
+    hours = F.sequence(F.lit(0), F.lit(int(window_hours) - 1))
+    grid = stays.select(
+        STAY,
+        F.inline(
+            F.transform(
+                hours,
+                lambda h: F.struct(h.alias(HOUR), F.get(F.filter("cells", lambda c: c[HOUR] == h), 0).alias("cell")),
+            )
+        ),
+    )
 
     so_far = Window.partitionBy(STAY).orderBy(HOUR).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def carried(channel: str):
-        known = F.nanvl(F.col(f"v_{channel}"), F.lit(None).cast("double"))
+        known = F.nanvl(F.col("cell").getField(f"v_{channel}"), F.lit(None).cast("double"))
         return F.coalesce(F.last(known, ignorenulls=True).over(so_far), F.lit(0.0)).alias(channel)
 
     def seen(channel: str):
-        return F.coalesce(F.col(f"s_{channel}"), F.lit(0))
+        return F.coalesce(F.col("cell").getField(f"s_{channel}"), F.lit(0))
 
     dense = grid.select(
         STAY,
