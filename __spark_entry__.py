@@ -437,7 +437,7 @@ def net_benefit_default(spark, folder):
 def calibration_slope(spark, folder):
     counts = ev.score_counts(event_predictions(spark, folder), "label", "score", clip=None)
     intercept, slope = ev.calibration_line(counts)
-    return spark.createDataFrame([(intercept, slope)], "intercept double, slope double")
+    return spark.createDataFrame([(round(intercept, 4), round(slope, 4))], "intercept double, slope double")
 
 
 @_query

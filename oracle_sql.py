@@ -538,6 +538,18 @@ ORACLES = {
     ),
     "decision_curve": _curve(_TIED_PREDICTIONS, "[0.1, 0.25, 0.4, 0.6]"),
     "net_benefit_default": _curve(_EVENT_PREDICTIONS, "[0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5]"),
+    # Newton steps for intercept a and slope b of label on logit(score).
+    "calibration_slope": (
+        f"WITH RECURSIVE {_EVENT_PREDICTIONS}, "
+        "logits AS (SELECT label, ln(p / (1 - p)) AS x FROM (SELECT label, least(greatest(score, 1e-7), 1 - 1e-7) AS p FROM pred)), "
+        "fit(i, a, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL "
+        "SELECT i + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) "
+        "FROM (SELECT i, a, b, sum(label - m) AS g0, sum((label - m) * x) AS g1, sum(m * (1 - m)) AS h00, "
+        "sum(m * (1 - m) * x) AS h01, sum(m * (1 - m) * x * x) AS h11 "
+        "FROM (SELECT f.i, f.a, f.b, l.label, l.x, 1 / (1 + exp(-(f.a + f.b * l.x))) AS m FROM fit f, logits l WHERE f.i < 12) "
+        "GROUP BY i, a, b)) "
+        "SELECT round(a, 4) AS intercept, round(b, 4) AS slope FROM fit WHERE i = 12"
+    ),
     "imputation_medians": _with(
         " UNION ALL ".join(
             f"SELECT '{c}' AS feature, round(median({c}), 6) AS median FROM frame" for c in _BASIC_FEATURES

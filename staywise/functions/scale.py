@@ -35,15 +35,15 @@ def _broadcastable(dims: DataFrame) -> bool:
     return planned_bytes(dims) <= broadcast_limit(dims.sparkSession)
 
 
-def _hash_side(facts: DataFrame, dims: DataFrame) -> DataFrame:
-    """Ask for a shuffled hash join when each task's share of dims is small, so facts are never sorted.
+def _fits_hash_join(facts: DataFrame, dims: DataFrame) -> bool:
+    """Is each task's share of dims small enough to hash, so that facts need no sort?
 
     Same bound as Spark's own rule, which is off unless sort-merge joins are dispreferred globally.
     """
     spark = dims.sparkSession
-    limit = max(broadcast_limit(spark), 10 << 20) * int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = planned_bytes(dims)
-    return dims.hint("shuffle_hash") if size <= limit and 3 * size <= planned_bytes(facts) else dims
+    limit = max(broadcast_limit(spark), 10 << 20) * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return size <= limit and 3 * size <= planned_bytes(facts)
 
 
 def skew_safe_join(
@@ -63,12 +63,12 @@ def skew_safe_join(
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, got {how!r}")
+    broadcast = _broadcastable(dims)
+    hint = (lambda side: side) if broadcast or not _fits_hash_join(facts, dims) else (lambda side: side.hint("shuffle_hash"))
     if salting is None:
-        if _broadcastable(dims):
-            return facts.join(dims, key, how)
-        salting = planned_bytes(facts) > ONE_TASK_BYTES
+        salting = not broadcast and planned_bytes(facts) > ONE_TASK_BYTES
     if not salting:
-        return facts.join(_hash_side(facts, dims) if not _broadcastable(dims) else dims, key, how)
+        return facts.join(hint(dims), key, how)
 
     sizes = facts.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     limit = sizes.agg(F.sum("_rows").alias("_all")).select(F.col("_all") * hot_share).scalar()
@@ -87,9 +87,7 @@ def skew_safe_join(
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
         .drop("_slices")
     )
-    if not _broadcastable(dims):
-        sliced_dims = _hash_side(facts, sliced_dims)
-    return sliced_facts.join(sliced_dims, [key, "_slice"], how).drop("_slice")
+    return sliced_facts.join(hint(sliced_dims), [key, "_slice"], how).drop("_slice")
 
 
 def _cuts(counts: DataFrame, order: str, buckets: int | None) -> list[float]:
