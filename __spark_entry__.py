@@ -376,6 +376,23 @@ def split_summary(spark, folder):
 # Evaluation
 
 
+@_query
+def clean_scores(spark, folder):
+    """Rows that survive cleaning, after some labels and scores were made unusable."""
+    raw = event_predictions(spark, folder).select(
+        "event_id",
+        F.when(F.col("event_id") % 7 != 3, F.col("label")).alias("label"),
+        F.when(F.col("event_id") % 10 == 0, float("nan"))
+        .when(F.col("event_id") % 10 == 1, float("inf"))
+        .when(F.col("event_id") % 10 == 2, F.col("score") * 1000)
+        .otherwise(F.col("score"))
+        .alias("score"),
+    )
+    return ev.clean_scores(raw, "label", "score").groupBy("score").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("events")
+    )
+
+
 @_query
 def binary_metrics(spark, folder):
     return ev.binary_metrics(event_predictions(spark, folder), "label", "score")

@@ -503,6 +503,12 @@ ORACLES = {
         "rws AS (SELECT h.patient_id AS g, m.mortality AS y FROM hosp h JOIN mortality m USING (hospitalization_id)), "
         f"held AS ({_held('(SELECT DISTINCT g FROM rws)', chr(39) + '42' + chr(39), '0.2::DOUBLE')})",
     ),
+    "clean_scores": (
+        f"WITH {_EVENT_PREDICTIONS}, raw AS (SELECT CASE WHEN event_id % 7 <> 3 THEN label END AS label, "
+        "CASE WHEN event_id % 10 IN (0, 1) THEN NULL WHEN event_id % 10 = 2 THEN score * 1000 ELSE score END AS score FROM pred) "
+        "SELECT round(least(greatest(score, 1e-15), 1 - 1e-15), 6) AS score, count(*) AS n, CAST(sum(label) AS BIGINT) AS events "
+        "FROM raw WHERE label IS NOT NULL AND score IS NOT NULL GROUP BY least(greatest(score, 1e-15), 1 - 1e-15)"
+    ),
     "binary_metrics": f"WITH {_EVENT_PREDICTIONS}, {_metrics('pred')} SELECT {_METRIC_COLUMNS} FROM sums",
     "binary_metrics_bucketed": f"WITH {_EVENT_PREDICTIONS}, {_metrics('pred')} SELECT {_METRIC_COLUMNS} FROM sums",
     "auroc_ties": f"WITH {_TIED_PREDICTIONS}, {_metrics('pred')} SELECT auroc FROM (SELECT {_METRIC_COLUMNS} FROM sums)",

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# One task handles this much input comfortably, so below it even a single hot key is harmless.
-ONE_TASK_BYTES = 1 << 30
-# A key is hot when it holds more than this share of all rows; fewer than 1/HOT_SHARE keys can be.
-HOT_SHARE = 1.0 / 2048
+# One task handles this much compressed input comfortably, so below it even a single hot key is harmless.
+ONE_TASK_BYTES = 256 << 20
+# At least this many slices of the data: a key holding more than one slice is hot.
+MIN_SLICES = 2048
 # A global order is cut into buckets of about this many rows; below BUCKET_BYTES one task orders everything.
 BUCKET_BYTES = 64 << 20
 BUCKET_ROWS = 2_000_000
@@ -52,14 +52,15 @@ def skew_safe_join(
     key: str,
     how: str = "inner",
     salting: bool | None = None,
-    hot_share: float = HOT_SHARE,
+    hot_share: float | None = None,
 ) -> DataFrame:
     """Equi-join of a large frame with one row per key, safe when one key holds a large share of the rows.
 
     Hot keys are counted exactly (map-side combined counts of the key column alone). There are fewer than
-    ``1 / hot_share`` of them whatever the data, so that list may be broadcast. Each hot key is cut into
-    slices in proportion to its share; facts go to one slice, the matching dims row is copied to every
-    slice. Results do not depend on the slicing. ``salting=None`` decides from planned sizes.
+    ``1 / hot_share`` of them whatever the data, so that list may be broadcast; by default a key is hot when it
+    exceeds an average shuffle partition. Each hot key is cut into slices in proportion to its share; facts go
+    to one slice, the matching dims row is copied to every slice. Results do not depend on the slicing.
+    ``salting=None`` decides from planned sizes.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, got {how!r}")
@@ -70,6 +71,8 @@ def skew_safe_join(
     if not salting:
         return facts.join(hint(dims), key, how)
 
+    if hot_share is None:
+        hot_share = 1.0 / max(MIN_SLICES, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sizes = facts.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     limit = sizes.agg(F.sum("_rows").alias("_all")).select(F.col("_all") * hot_share).scalar()
     hot = sizes.where(F.col(key).isNotNull() & (F.col("_rows") > limit)).select(

@@ -38,30 +38,35 @@ def _or_fail(condition: Column, value: Column, message: str) -> Column:
     return F.when(condition, value).otherwise(F.raise_error(F.lit(message)))
 
 
-def score_counts(
+def clean_scores(
     frame: DataFrame, label: str, score: str, by: Sequence[str] = (), clip: float | None = CLIP
 ) -> DataFrame:
-    """(by..., score, n, pos): rows and positives per distinct finite score, optionally clipped to (0, 1).
+    """(by..., score, y): rows with a finite label and score, the score optionally clipped to (0, 1).
 
-    With groups, rows that are not finite stay as empty entries (n = 0), so that a group made of nothing else
-    is still seen.
+    With groups, the other rows stay with a null y, so that a group made of nothing else is still seen.
     """
     require_columns(frame, [label, score, *by], "evaluation")
     y, p = ref(label).cast("double"), ref(score).cast("double")
     usable = _finite(y) & _finite(p)
     if clip is not None:
-        p_used = F.least(F.greatest(p, F.lit(clip)), F.lit(1.0 - clip))
+        used = F.least(F.greatest(p, F.lit(clip)), F.lit(1.0 - clip))
     else:
-        p_used = p + F.lit(0.0)  # one zero, not two
+        used = p + F.lit(0.0)  # one zero, not two
     if by:
-        p_used = F.when(usable, p_used).otherwise(F.lit(0.5))
+        used = F.when(usable, used).otherwise(F.lit(0.5))
     else:
         frame = frame.where(usable)
-    clean = frame.select(
-        *[ref(c) for c in by], p_used.alias("score"), F.when(usable, _binary(y)).alias("y")
-    )
-    return clean.groupBy(*by, "score").agg(
-        F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).cast("bigint").alias("pos")
+    return frame.select(*[ref(c) for c in by], used.alias("score"), F.when(usable, _binary(y)).alias("y"))
+
+
+def score_counts(
+    frame: DataFrame, label: str, score: str, by: Sequence[str] = (), clip: float | None = CLIP
+) -> DataFrame:
+    """(by..., score, n, pos): rows and positives per distinct clean score."""
+    return (
+        clean_scores(frame, label, score, by, clip)
+        .groupBy(*by, "score")
+        .agg(F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).cast("bigint").alias("pos"))
     )
 
 

@@ -91,3 +91,29 @@ def test_prediction_reader(spark, tmp_path):
         assert read.agg({"p": "sum"}).first()[0] == 0.75
     with pytest.raises(ValueError, match="unsupported"):
         read_predictions(spark, "p.xlsx")
+
+
+def test_files_written_by_other_tools(spark, tmp_path):
+    """Null-typed columns, zoned and zone-less timestamps as other parquet writers produce them."""
+    from datetime import UTC, datetime
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(
+        pa.table(
+            {
+                "hospitalization_id": ["a", "b"],
+                "lab_collect_dttm": pa.array([datetime(2024, 1, 1, tzinfo=UTC)] * 2, pa.timestamp("us", "UTC")),
+                "birth_date": pa.array([datetime(2024, 1, 1)] * 2, pa.timestamp("us")),
+                "lab_order_name": pa.nulls(2),
+                "lab_value_numeric": [1.0, None],
+            }
+        ),
+        tmp_path / "clif_labs.parquet",
+    )
+    catalog = TableCatalog.discover(spark, str(tmp_path))
+    types = {f.name: f.dataType.simpleString() for f in catalog["labs"].schema}
+    assert types["lab_collect_dttm"] == "timestamp" and types["birth_date"] == "timestamp_ntz"
+    report = qc_report(catalog).first()
+    assert report.missing_first_columns["lab_order_name"] == 2 and report.missing_first_columns["lab_value_numeric"] == 1
