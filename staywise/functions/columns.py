@@ -85,10 +85,6 @@ def safe_name(category: str) -> str:
     return category.lower().translate(str.maketrans(" -/", "___"))
 
 
-def safe_name_expr(column: Column) -> Column:
-    return F.lower(F.translate(column, " -/", "___"))
-
-
 def normalized_text(column: Column) -> Column:
     """Lower case without surrounding white space of any kind."""
     return F.regexp_replace(F.lower(column.cast("string")), r"(?U)^\s+|\s+$", "")

@@ -21,10 +21,10 @@ from staywise.functions.vocab import (
 )
 from staywise.operators.windows import (
     ChannelSource,
+    channel_codes,
     channel_rows,
     in_window,
     require_anchors,
-    require_distinct,
 )
 from staywise.sources.catalog import TableCatalog
 
@@ -58,6 +58,11 @@ def _category_rows(catalog: TableCatalog, source: ChannelSource, anchors: DataFr
     return channel_rows(catalog, source, anchors), anchors
 
 
+def _category_of(source: ChannelSource):
+    """The category a channel number stands for."""
+    return F.element_at(F.array(*[F.lit(c) for c in source.categories]), F.col("channel") + 1).alias("category")
+
+
 def hourly_means(
     catalog: TableCatalog,
     table: str,
@@ -72,12 +77,13 @@ def hourly_means(
 
     ``observed`` is 1 even when all values of the cell are null.
     """
-    source = ChannelSource(table, "{category}", category_column, tuple(categories), clean=False)
+    source = ChannelSource(table, "{category}", category_column, tuple(categories))
     rows, starts = _category_rows(catalog, source, anchors, cohort)
     return (
         _hourly(rows, starts, window_hours, salting)
-        .groupBy(STAY, HOUR, F.col("channel").alias("category"))
+        .groupBy(STAY, HOUR, "channel")
         .agg(F.avg("value").alias("value"), F.lit(1).cast("tinyint").alias("observed"))
+        .select(STAY, HOUR, _category_of(source), "value", "observed")
     )
 
 
@@ -92,12 +98,13 @@ def hourly_indicator(
     salting: bool | None = None,
 ) -> DataFrame:
     """Long form (stay, hour, category, value): 1.0 per cell with any row."""
-    source = ChannelSource(table, "{category}", category_column, tuple(categories), indicator=True, clean=False)
+    source = ChannelSource(table, "{category}", category_column, tuple(categories), indicator=True)
     rows, starts = _category_rows(catalog, source, anchors, cohort)
     return (
         _hourly(rows, starts, window_hours, salting)
-        .groupBy(STAY, HOUR, F.col("channel").alias("category"))
+        .groupBy(STAY, HOUR, "channel")
         .agg(F.lit(1.0).alias("value"))
+        .select(STAY, HOUR, _category_of(source), "value")
     )
 
 
@@ -157,7 +164,7 @@ def build_sequences(
     sources = list(rich_sources() if sources is None else sources)
     numeric = [c for s in sources if not s.indicator for c in s.channels]
     flags = [c for s in sources if s.indicator for c in s.channels]
-    require_distinct(numeric + flags)
+    codes = channel_codes(sources)
 
     starts = anchors.where(ref(ANCHOR).isNotNull()).join(cohort.select(STAY).distinct(), STAY, "left_semi")
     if validate and starts.isEmpty():
@@ -166,8 +173,8 @@ def build_sequences(
     present = [s for s in sources if s.categories and s.table in catalog]
     stays = starts.select(STAY)
     if present:
-        rows = reduce(DataFrame.unionByName, [channel_rows(catalog, s, starts) for s in present])
-        is_channel = {c: F.col("channel") == c for c in numeric + flags}
+        rows = reduce(DataFrame.unionByName, [channel_rows(catalog, s, starts, codes[s.channels[0]]) for s in present])
+        is_channel = {name: F.col("channel") == code for name, code in codes.items()}
         cells = (
             _hourly(rows, starts, window_hours, salting)
             .groupBy(STAY, HOUR)

@@ -19,7 +19,6 @@ from staywise.functions.columns import (
     require_same_time_type,
     require_time_column,
     safe_name,
-    safe_name_expr,
 )
 from staywise.functions.scale import skew_safe_join
 from staywise.functions.vocab import ANCHOR, STAY, TIME_COLUMNS, VALUE_COLUMNS
@@ -118,8 +117,7 @@ class ChannelSource:
     """Where a block of channels comes from.
 
     ``categories=None`` makes the whole table one channel called ``name``; otherwise ``name`` is a template such
-    as ``vitals_{category}``. ``indicator`` sources only say whether rows exist. ``clean=False`` keeps category
-    values as they are instead of turning them into column-name form.
+    as ``vitals_{category}``. ``indicator`` sources only say whether rows exist.
     """
 
     table: str
@@ -127,7 +125,6 @@ class ChannelSource:
     category_column: str | None = None
     categories: tuple[str, ...] | None = None
     indicator: bool = False
-    clean: bool = True
 
     def __post_init__(self) -> None:
         if self.categories is not None and self.name.count("{category}") != 1:
@@ -137,8 +134,7 @@ class ChannelSource:
     def channels(self) -> list[str]:
         if self.categories is None:
             return [self.name]
-        shown = safe_name if self.clean else str
-        return [self.name.replace("{category}", shown(c)) for c in self.categories]
+        return [self.name.replace("{category}", safe_name(c)) for c in self.categories]
 
 
 def require_distinct(names: Sequence[str]) -> None:
@@ -147,10 +143,18 @@ def require_distinct(names: Sequence[str]) -> None:
         raise ValueError(f"feature names collide after clean-up: {repeated}")
 
 
-def channel_rows(catalog: TableCatalog, source: ChannelSource, anchors: DataFrame) -> DataFrame:
+def channel_codes(sources: Sequence[ChannelSource]) -> dict[str, int]:
+    """Channel names numbered in order; names must be distinct."""
+    names = [c for s in sources for c in s.channels]
+    require_distinct(names)
+    return {name: code for code, name in enumerate(names)}
+
+
+def channel_rows(catalog: TableCatalog, source: ChannelSource, anchors: DataFrame, first: int = 0) -> DataFrame:
     """Pruned rows (stay, ts, channel, value) of one source, checked against the anchors.
 
-    The category filter is a plain IN list on the source column, so it reaches the parquet scan.
+    ``channel`` is a number counted from ``first``: integer keys are cheap to shuffle, group and compare. The
+    category filter is a plain IN list on the source column, so it reaches the parquet scan.
     """
     frame = catalog[source.table]
     needed = [STAY] + ([source.category_column] if source.category_column else [])
@@ -164,12 +168,13 @@ def channel_rows(catalog: TableCatalog, source: ChannelSource, anchors: DataFram
 
     rows = frame.where(ref(STAY).isNotNull() & ref(moment).isNotNull())
     if source.categories is None:
-        channel = F.lit(source.name)
+        channel = F.lit(first)
     else:
-        rows = rows.where(ref(source.category_column).isin(list(source.categories)))
-        head, tail = source.name.split("{category}")
-        shown = ref(source.category_column)
-        channel = F.concat(F.lit(head), safe_name_expr(shown) if source.clean else shown, F.lit(tail))
+        category = ref(source.category_column)
+        rows = rows.where(category.isin(list(source.categories)))
+        channel = F.when(category == source.categories[0], first)
+        for code, value_of in enumerate(source.categories[1:], first + 1):
+            channel = channel.when(category == value_of, code)
     return rows.select(
         STAY,
         ref(moment).alias("ts"),
@@ -213,36 +218,48 @@ def channel_matrix(
 ) -> DataFrame:
     """One row per base stay with four statistics per numeric channel and a 0/1 flag per indicator channel.
 
-    ``rows`` is the union over all sources, so every table is read once and one join and one pivot serve
+    ``rows`` is the union over all sources, numbered as in channel_codes, so every table is read once and one join and one pivot serve
     all blocks. The pivot aggregates per (stay, channel) first and combines map-side.
     """
-    numeric = [c for s in sources if not s.indicator for c in s.channels]
-    flags = [c for s in sources if s.indicator for c in s.channels]
-    require_distinct(numeric + flags)
+    codes = channel_codes(sources)
     wide = (
         in_window(rows, anchors, window_hours, salting)
         .groupBy(STAY)
-        .pivot("channel", numeric + flags)
+        .pivot("channel", list(codes.values()))
         .agg(*_stat_columns())
     )
+    numeric = [c for s in sources if not s.indicator for c in s.channels]
+    flags = [c for s in sources if s.indicator for c in s.channels]
     picked = [STAY]
     for source in sources:
         for channel in source.channels:
             if source.indicator:
-                seen = F.coalesce(ref(f"{channel}_n"), F.lit(0)) > 0
+                seen = F.coalesce(ref(f"{codes[channel]}_n"), F.lit(0)) > 0
                 picked.append(seen.cast("tinyint").alias(channel))
             else:
-                picked += [f"{channel}_{s}" for s in STATS]
+                picked += [ref(f"{codes[channel]}_{s}").alias(f"{channel}_{s}") for s in STATS]
     joined = base.select(STAY).join(wide, STAY, "left").select(*picked)
     return joined.fillna(0, [f"{c}_n" for c in numeric] + flags)
 
 
-def _base(anchors: DataFrame, cohort: DataFrame | None, what: str) -> DataFrame:
+def _one_source(
+    catalog: TableCatalog,
+    source: ChannelSource,
+    anchors: DataFrame,
+    window_hours: float,
+    cohort: DataFrame | None,
+    salting: bool | None,
+) -> DataFrame:
+    """Matrix of a single source over the cohort, or over every anchored stay."""
     if cohort is None:
-        return anchors.select(STAY).distinct()
-    require_columns(cohort, [STAY], "cohort")
-    require_same_key_type(cohort, anchors, STAY, what)
-    return cohort
+        base = anchors.select(STAY).distinct()
+    else:
+        require_columns(cohort, [STAY], "cohort")
+        require_same_key_type(cohort, anchors, STAY, source.table)
+        base = cohort
+    if not source.categories:
+        return base.select(STAY)
+    return channel_matrix(channel_rows(catalog, source, anchors), [source], anchors, window_hours, base, salting)
 
 
 def category_stats(
@@ -258,8 +275,7 @@ def category_stats(
 ) -> DataFrame:
     """Wide windowed statistics, four columns per requested category whether or not it occurs."""
     source = ChannelSource(table, name_template, category_column, tuple(categories))
-    rows = channel_rows(catalog, source, anchors)
-    return channel_matrix(rows, [source], anchors, window_hours, _base(anchors, cohort, table), salting)
+    return _one_source(catalog, source, anchors, window_hours, cohort, salting)
 
 
 def device_flags(
@@ -273,5 +289,4 @@ def device_flags(
 ) -> DataFrame:
     """``{prefix}_{device}`` = 1 when the device has any row inside the window, else 0; never null."""
     source = ChannelSource("respiratory_support", f"{prefix}_{{category}}", "device_category", tuple(devices), indicator=True)
-    rows = channel_rows(catalog, source, anchors)
-    return channel_matrix(rows, [source], anchors, window_hours, _base(anchors, cohort, source.table), salting)
+    return _one_source(catalog, source, anchors, window_hours, cohort, salting)

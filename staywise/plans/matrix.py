@@ -56,7 +56,7 @@ def _assemble(
             warnings.append(f"table {source.table} not found, its features are skipped")
             continue
         try:
-            rows.append(channel_rows(catalog, source, anchors))
+            rows.append(channel_rows(catalog, source, anchors, first=sum(len(s.channels) for s in used)))
         except KeyTypeMismatch:
             raise
         except ValueError as problem:
