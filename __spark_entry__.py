@@ -5,12 +5,16 @@ Doubles are rounded to six places and integers widened to bigint on both sides.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 from oracle_sql import ORACLES
 from staywise.functions.scale import materialize
 from staywise.functions.vocab import ANCHOR, OPTIONAL_CONTRACTS, PATIENT, STAY, VITAL_CATEGORIES
