@@ -259,3 +259,9 @@ def test_plan_prunes_columns_and_pushes_filters(spark, tmp_path):
     pushed = scan.split("PushedFilters")[1]
     assert "EqualTo(vita" in pushed and "IsNotNull(recorded_dttm)" in pushed
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_no_categories_leaves_the_base(tables, spark):
+    catalog = tables(vitals=(CATEGORY, [(1, at(1), "sbp", 120.0)]))
+    empty = category_stats(catalog, "vitals", "vital_category", [], "vitals_{category}", anchor_frame(spark, 1, 2), 24)
+    assert empty.columns == ["hospitalization_id"] and empty.count() == 2
