@@ -521,9 +521,23 @@ def entry(spark: SparkSession) -> DataFrame:
     return _QUERIES["matrix_rich"](spark, "/root/testdata/sf0.001")
 
 
+# The subpackage llm and the pipeline made of its operators may be absent.
+try:
+    import corpus_pipeline
+    from staywise.llm.queries import ORACLES as LLM_ORACLES
+    from staywise.llm.queries import QUERIES as LLM_QUERIES
+
+    _LLM = {**LLM_QUERIES, "pipeline": corpus_pipeline.run}
+    _LLM_SQL = dict(LLM_ORACLES)
+    if corpus_pipeline.ORACLE_SQL:
+        _LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+except ImportError:
+    _LLM, _LLM_SQL = {}, {}
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_LLM}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {**ORACLES, **_LLM_SQL}
