@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staywise.llm import bpe
+from staywise.llm import bpe, langid
 from staywise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+@_query
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from four fifths of them."""
+    return langid.identify(table(spark, folder, "documents", "doc_id", "text", "lang"))
+
+
 @_query
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens and decoded bytes of every document, as digests."""
