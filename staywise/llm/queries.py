@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staywise.llm import bpe, langid
+from staywise.llm import bpe, langid, simhash
 from staywise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,9 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens and decoded bytes of every document, as digests."""
     return bpe.digests(table(spark, folder, "documents", "doc_id", "text"), bpe.read_ranks(tokenizer_path()))
+
+
+@_query
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and group of near copies of every document."""
+    return simhash.groups(table(spark, folder, "documents", "doc_id", "text"))
