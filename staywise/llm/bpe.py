@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from staywise.llm.common import chunks, missing
 
 #: Code points handled at once by the scan.
-SCAN_CHARS = 1 << 21
+SCAN_CHARS = 1 << 20
 #: Pieces remembered by one Python worker, and the longest of them in characters.
-CACHE_PIECES, CACHE_CHARS = 400_000, 48
+CACHE_PIECES, CACHE_CHARS = 250_000, 48
 #: Steps that a lane of the blocked scan takes by itself.
 LANE = 64
 
