@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staywise.llm import bpe, langid, simhash
+from staywise.llm import bpe, langid, mixing, simhash
 from staywise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,9 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and group of near copies of every document."""
     return simhash.groups(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@_query
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How often the mixture takes every document."""
+    return mixing.mixture(table(spark, folder, "documents", "doc_id", "text", "source"))
