@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staywise.llm import bpe, langid, mixing, simhash
+from staywise.llm import bpe, langid, linededup, mixing, simhash
 from staywise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,12 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How often the mixture takes every document."""
     return mixing.mixture(table(spark, folder, "documents", "doc_id", "text", "source"))
+
+
+@_query
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document once later similar lines are gone."""
+    return linededup.digests(table(spark, folder, "documents", "doc_id", "text"))
+
+
+ORACLES["op9_line_dedup"] = linededup.ORACLE
