@@ -8,18 +8,53 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from staywise.llm import bpe
+from staywise.llm import bpe, langid, linededup, mixing, simhash
 from staywise.llm.common import ensure_checkpoint_dir
 from staywise.llm.queries import tokenizer_path
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the learned languages; what the language model rejects goes."""
+    model = langid.train(docs.where(~langid.held_out()))
+    columns = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    kept = langid.predict(docs, model, carry=(*columns, "text")).where("not rejected")
+    return kept.select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line resembles; n_chars follows."""
+    cleaned = linededup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of smallest doc_id, of each group of near copies; a document without id stays."""
+    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    others = found.where("doc_id > component").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture of sources takes them."""
+    return mixing.repeat(docs, mixing.plan(docs)).select(*docs.columns)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token digests of every document that is left."""
     return bpe.digests(docs, bpe.read_ranks(tokenizer_path()))
 
 
-STAGES = [("byte-level BPE", tokens)]
+STAGES = [
+    ("language ID", language),
+    ("line dedup", lines),
+    ("SimHash near-dedup", near_copies),
+    ("mixing", mixture),
+    ("byte-level BPE", tokens),
+]
 
 #: Trained language models, fingerprints and tokens have no SQL form; tests compare with a plain version.
 ORACLE_SQL = None
@@ -32,5 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")  # written whole: lost executors repeat nothing before it
     return docs

@@ -126,9 +126,9 @@ def plan(
 
 
 def repeat(frame: DataFrame, planned: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The frame with each row as often as the plan says; rows with a null key are left out."""
-    times = planned.groupBy(key).agg(F.max("repeats").cast("int").alias("_times")).where("_times > 0")
-    return frame.join(times, key).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*[F.col(f"`{c}`") for c in frame.columns])
+    """The frame with each row as often as the plan says."""
+    times = planned.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max("repeats").cast("int").alias("_times")).where("_times > 0")
+    return frame.join(times, F.col(f"`{key}`").eqNullSafe(F.col("_key"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*[F.col(f"`{c}`") for c in frame.columns])
 
 
 def mixture(documents: DataFrame) -> DataFrame:
