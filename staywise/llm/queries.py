@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staywise.llm import bpe, langid, linededup, mixing, simhash
+from staywise.llm import bpe, langid, linededup, mixing, simhash, topk
 from staywise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+@_query
+def op1_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best matches of every twentieth vector among all others."""
+    return topk.search(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+ORACLES["op1_top_k"] = topk.ORACLE
+
+
 @_query
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from four fifths of them."""
