@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staywise.functions.scale import ensure_checkpoint_dir, materialize
+from staywise.functions.scale import ensure_checkpoint_dir
 
-__all__ = ["chunks", "ensure_checkpoint_dir", "materialize", "missing", "parallel", "table"]
+__all__ = ["chunks", "ensure_checkpoint_dir", "materialize", "missing", "table"]
 
 #: An Arrow batch for Python holds at most so many bytes, however long the texts are.
 BATCH_BYTES = 32 << 20
@@ -22,6 +22,21 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return frame.select(*[F.col(f"`{c}`") for c in columns]) if columns else frame
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(frame: DataFrame) -> DataFrame:
+    """A reliable checkpoint of the frame; the shuffle files that led to it are removed once it is written."""
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return frame.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def missing(frame: DataFrame, *columns: str) -> None:
     """Raise when a column the operator needs is not there."""
     absent = [c for c in columns if c not in frame.columns]
@@ -29,11 +44,6 @@ def missing(frame: DataFrame, *columns: str) -> None:
         raise ValueError(f"columns {absent} not found in {frame.columns}")
 
 
-def parallel(spark: SparkSession) -> int:
-    """Number of shuffle partitions the session asks for."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def chunks(texts: Sequence[str | None], most: int) -> Iterator[tuple[int, int]]:
     """(start, end) of runs of texts of about ``most`` characters in all; a longer text is a run of its own."""
     start, held = 0, 0
@@ -45,8 +55,3 @@ def chunks(texts: Sequence[str | None], most: int) -> Iterator[tuple[int, int]]:
         held += size
     if start < len(texts):
         yield start, len(texts)
-
-
-def column_names(columns: Iterable[str]) -> str:
-    """Comma-joined, quoted names for a SQL text."""
-    return ", ".join(f"`{c}`" for c in columns)

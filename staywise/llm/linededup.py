@@ -32,19 +32,27 @@ RARITY_BITS = 18
 MAP_BITS = 20
 #: A byte of the rarity table holds the logarithm of a bucket's count in steps of a quarter.
 STEPS = 4
-BLANKS = r"[\x20\x09-\x0D]+"
 _TRIMMED = " \t\n\x0b\f\r"
 _LOW = (1 << 56) - 1
 
 
-def _words(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(_TRIMMED)), BLANKS)
+#: xxhash64 of the empty string (fixed value).
+_EMPTY = -7444071767201028348
+
+
+def _word_hashes(line: Column) -> Column:
+    """Distinct hashes of a line's words; blanks become spaces first, as parting at one character is fast."""
+    for blank in "\t\x0b\f\r":
+        line = F.replace(line, F.lit(blank), F.lit(" "))
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(hashes), F.lit(_EMPTY))  # between two spaces is no word
 
 
 def rarity_table(documents: DataFrame, text: str = "text") -> bytes:
     """One byte for each hash bucket: how frequent its words are in all documents."""
     size = 1 << RARITY_BITS
-    words = documents.select(F.explode(_words(F.col(f"`{text}`"))).alias("w"))
+    # Words are parted at spaces and line ends here; other blanks are rare, and an order may be coarse.
+    words = documents.select(F.explode(F.split(F.replace(F.col(f"`{text}`"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(size)).cast("int").alias("b")).count()
     out = bytearray(size)
     for bucket, n in counts.collect():  # at most 2**RARITY_BITS rows
@@ -52,9 +60,8 @@ def rarity_table(documents: DataFrame, text: str = "text") -> bytes:
     return bytes(out)
 
 
-def _token(word: Column, rarity: bytes) -> Column:
+def _token(h: Column, rarity: bytes) -> Column:
     """Rarity byte of the word's bucket, then 56 bits of its hash: a word as a long that sorts by rarity."""
-    h = F.xxhash64(word)
     place = F.pmod(h, F.lit(1 << RARITY_BITS)).cast("int") + 1
     level = F.ascii(F.substring(F.lit(bytearray(rarity)), place, F.lit(1)).cast("string")).cast("long")
     return F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
@@ -69,7 +76,7 @@ def lines(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _tokens(line: Column, rarity: bytes) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(_words(line), lambda w: _token(w, rarity))))
+    return F.sort_array(F.transform(_word_hashes(line), lambda h: _token(h, rarity)))
 
 
 def distinct_sets(documents: DataFrame, rarity: bytes, key: str, text: str, num: int, den: int) -> DataFrame:
@@ -105,9 +112,9 @@ def _similar_enough(x: str, y: str, num: int, den: int) -> Column:
     )
 
 
-def _within(keys: DataFrame, key: str) -> Column:
-    """Is the document perhaps among the keys? From a bit for each of 2**MAP_BITS hash buckets; never wrongly no."""
-    bucket = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(1 << MAP_BITS)).cast("int")
+def _within(keys: DataFrame, *names: str) -> Column:
+    """Is a row perhaps among the keys? From a bit for each of 2**MAP_BITS hash buckets; never wrongly no."""
+    bucket = F.pmod(F.xxhash64(*names), F.lit(1 << MAP_BITS)).cast("int")
     marked = keys.select(bucket.alias("b")).distinct()
     # Seven bits a byte: such a byte is a character of ASCII.
     octets = marked.groupBy(F.floor(F.col("b") / 7).cast("int").alias("at")).agg(
@@ -123,14 +130,12 @@ def _within(keys: DataFrame, key: str) -> Column:
 def _verified(documents: DataFrame, pairs: DataFrame, rarity: bytes, key: str, text: str, num: int, den: int) -> DataFrame:
     """(doc, pos) of the later lines of the pairs (doc, pos, doc2, pos2) whose word sets are similar enough.
 
-    Reads the words from the documents again; those without a line in question leave before the shuffle.
+    Reads the words from the documents again; lines that are not in question leave before the shuffle.
     """
     involved = pairs.select("doc", "pos").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("pos2").alias("pos")))
-    wanted = materialize(involved.groupBy("doc").agg(F.collect_set("pos").alias("_wanted")))
-    source = documents.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text")).where(_within(wanted, "doc"))
-    rows = source.join(wanted, "doc").select("doc", F.split("text", "\n").alias("lines"), F.explode("_wanted").alias("pos"))
-    there = rows.select("doc", "pos", F.get("lines", F.col("pos")).alias("line")).where("line is not null")
-    words = there.select("doc", "pos", _tokens(F.col("line"), rarity).alias("t")).dropDuplicates(["doc", "pos"])
+    some = documents.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text")).where(_within(involved, "doc"))
+    asked = lines(some, "doc", "text").where(_within(involved, "doc", "pos"))
+    words = asked.select("doc", "pos", _tokens(F.col("line"), rarity).alias("t")).groupBy("doc", "pos").agg(F.min("t").alias("t"))
     words = materialize(words)
     left = pairs.join(words.withColumnRenamed("t", "t1"), ["doc", "pos"])
     right = words.select(F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), F.col("t").alias("t2"))
@@ -144,25 +149,27 @@ def _verified(documents: DataFrame, pairs: DataFrame, rarity: bytes, key: str, t
 
 def removed_sets(documents: DataFrame, sets: DataFrame, rarity: bytes, key: str, text: str, num: int, den: int) -> DataFrame:
     """(doc, pos) of the earliest lines of their sets that are similar to an earlier line."""
-    postings = sets.select("doc", "pos", "size", "parity", F.posexplode("prefix").alias("at", "word"))
-    entry = F.struct("doc", "pos", "size", "parity", "at")
-    whole = Window.partitionBy("word")
-    # A word that only one line has among its rarest joins nothing; the others learn who is the earliest.
-    shared = materialize(
-        postings.select("word", entry.alias("x"), F.min(entry).over(whole).alias("y"), F.count(F.lit(1)).over(whole).alias("n"))
-        .where("n > 1").drop("n")
-    )
-    pair = [F.col("x.doc"), F.col("x.pos"), F.col("y.doc").alias("doc2"), F.col("y.pos").alias("pos2")]
-    earlier = F.struct("y.doc", "y.pos") < F.struct("x.doc", "x.pos")
-    near = earlier & _similar_enough("x", "y", num, den)
-    first = materialize(shared.where(near).select(*pair).distinct())
+
+    def postings(rows: DataFrame, *more: str) -> DataFrame:
+        named = rows.select("doc", "pos", "size", "parity", *more, F.posexplode("prefix").alias("at", "word"))
+        return named.select("word", F.struct("doc", "pos", "size", "parity", "at", *more).alias("x"))
+
+    near = (F.struct("y.doc", "y.pos") < F.struct("x.doc", "x.pos")) & _similar_enough("x", "y", num, den)
+    apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
+    # The earliest line of each word; of those that may be similar to a line, the one that seems nearest is tried.
+    led = postings(sets).withColumn("y", F.min("x").over(Window.partitionBy("word")))
+    nearest = led.where(near).groupBy("x.doc", "x.pos").agg(F.min(F.struct(apart.alias("apart"), F.col("y.doc"), F.col("y.pos"))).alias("b"))
+    first = materialize(nearest.select("doc", "pos", F.col("b.doc").alias("doc2"), F.col("b.pos").alias("pos2")))
     settled = materialize(_verified(documents, first, rarity, key, text, num, den))
-    # Lines that are not settled meet all earlier lines of their words.
-    still = shared.select("word", "x", F.col("x.doc"), F.col("x.pos")).join(settled, ["doc", "pos"], "left_anti")
-    every = shared.select(F.col("word").alias("word2"), F.col("x").alias("y"))
-    rest = materialize(
-        still.select("word", "x").join(every, (F.col("word") == F.col("word2")) & near).select(*pair).distinct()
-    )
+    # Lines that are not settled meet all earlier lines of their words. Both sides are one shuffle: the test for
+    # open lines names y as well, so that it is made in the join.
+    flags = settled.select("doc", "pos", F.lit(1).alias("found"))
+    marked = sets.join(flags, ["doc", "pos"], "left").withColumn("open", F.when(F.col("found").isNull(), 1).otherwise(0))
+    left = postings(marked, "open")
+    right = left.select(F.col("word").alias("word2"), F.col("x").alias("y"))
+    is_open = F.col("x.open") * 2 + F.col("y.open") >= 2
+    met = left.join(right, (F.col("word") == F.col("word2")) & is_open & near)
+    rest = materialize(met.select("x.doc", "x.pos", F.col("y.doc").alias("doc2"), F.col("y.pos").alias("pos2")).distinct())
     return settled.unionByName(_verified(documents, rest, rarity, key, text, num, den))
 
 
@@ -200,7 +207,8 @@ ORACLE = r"""
 with docs as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
 lines as (select doc_id, unnest(range(len(ls))) as pos, unnest(ls) as line from docs where doc_id is not null and text is not null),
 trimmed as (select doc_id, pos, trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) as line from lines),
-worded as (select doc_id, pos, list_sort(list_distinct(regexp_split_to_array(line, '[ 	-]+'))) as ws from trimmed where line <> ''),
+worded as (select doc_id, pos, list_sort(list_distinct(regexp_split_to_array(line, '[ 	-
+]+'))) as ws from trimmed where line <> ''),
 sets as (select ws, min(row(doc_id, pos)) as f from worded group by ws),
 own as (select row_number() over (order by f) as id, ws, len(ws) as n, f from sets),
 words as (select id, n, unnest(ws) as w from own),
