@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staywise.llm import bpe, langid, linededup, mixing, simhash, topk
+from staywise.llm import bpe, langid, linededup, mixing, simhash, topk, vectordedup
 from staywise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,12 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents", "doc_id", "text"), bpe.read_ranks(tokenizer_path()))
 
 
+@_query
+def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and groups of near copies of every vector."""
+    return vectordedup.groups(table(spark, folder, "embeddings", "vec_id", "embedding", "label"))
+
+
 @_query
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and group of near copies of every document."""
