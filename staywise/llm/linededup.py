@@ -61,9 +61,9 @@ def rarity_table(documents: DataFrame, text: str = "text") -> bytes:
 
 
 def _token(h: Column, rarity: bytes) -> Column:
-    """Rarity byte of the word's bucket, then 56 bits of its hash: a word as a long that sorts by rarity."""
-    place = F.pmod(h, F.lit(1 << RARITY_BITS)).cast("int") + 1
-    level = F.ascii(F.substring(F.lit(bytearray(rarity)), place, F.lit(1)).cast("string")).cast("long")
+    """Rarity of the word's bucket, then 56 bits of its hash: a word as a long that sorts by rarity."""
+    levels = F.split(F.lit(",".join(map(str, rarity))), ",").cast("array<bigint>")  # folded to a constant array
+    level = F.get(levels, F.pmod(h, F.lit(1 << RARITY_BITS)).cast("int"))
     return F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
 
 
@@ -84,7 +84,8 @@ def distinct_sets(documents: DataFrame, rarity: bytes, key: str, text: str, num:
     own = lines(documents, key, text).select("doc", "pos", _tokens(F.col("line"), rarity).alias("t"))
     size = F.size("t")
     # A line of n words with a similar one shares one of its n - ceil(n * num / den) + 1 rarest words.
-    prefix = F.slice("t", F.lit(1), size - F.ceil(size * num / den).cast("int") + 1)
+    # Here 31 bits of a word do: they only choose which lines meet.
+    prefix = F.transform(F.slice("t", F.lit(1), size - F.ceil(size * num / den).cast("int") + 1), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     parity = F.aggregate(
         "t", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
     )
