@@ -28,6 +28,8 @@ from staywise.llm.common import materialize, missing
 
 NUM, DEN = 4, 5
 RARITY_BITS = 18
+#: Parts of the words that are joined one after the other: only one part's shuffle files are on disk at a time.
+ROUNDS = 2
 #: Hash buckets of the map that tells which documents have lines to verify.
 MAP_BITS = 20
 #: A byte of the rarity table holds the logarithm of a bucket's count in steps of a quarter.
@@ -162,15 +164,18 @@ def removed_sets(documents: DataFrame, sets: DataFrame, rarity: bytes, key: str,
     nearest = led.where(near).groupBy("x.doc", "x.pos").agg(F.min(F.struct(apart.alias("apart"), F.col("y.doc"), F.col("y.pos"))).alias("b"))
     first = materialize(nearest.select("doc", "pos", F.col("b.doc").alias("doc2"), F.col("b.pos").alias("pos2")))
     settled = materialize(_verified(documents, first, rarity, key, text, num, den))
-    # Lines that are not settled meet all earlier lines of their words. Both sides are one shuffle: the test for
-    # open lines names y as well, so that it is made in the join.
+    # Lines that are not settled meet all earlier lines of their words, one part of the words after the other.
     flags = settled.select("doc", "pos", F.lit(1).alias("found"))
     marked = sets.join(flags, ["doc", "pos"], "left").withColumn("open", F.when(F.col("found").isNull(), 1).otherwise(0))
-    left = postings(marked, "open")
-    right = left.select(F.col("word").alias("word2"), F.col("x").alias("y"))
-    is_open = F.col("x.open") * 2 + F.col("y.open") >= 2
-    met = left.join(right, (F.col("word") == F.col("word2")) & is_open & near)
-    rest = materialize(met.select("x.doc", "x.pos", F.col("y.doc").alias("doc2"), F.col("y.pos").alias("pos2")).distinct())
+    rest = None
+    for part in range(ROUNDS):
+        mine = F.pmod(F.col("word"), F.lit(ROUNDS)) == part
+        left = postings(marked, "open").where(mine).where("x.open = 1")
+        right = postings(sets).where(mine).select(F.col("word").alias("word2"), F.col("x").alias("y"))
+        met = left.join(right, (F.col("word") == F.col("word2")) & near)
+        pairs = materialize(met.select("x.doc", "x.pos", F.col("y.doc").alias("doc2"), F.col("y.pos").alias("pos2")).distinct())
+        rest = pairs if rest is None else rest.unionByName(pairs)
+    rest = rest.distinct()
     return settled.unionByName(_verified(documents, rest, rarity, key, text, num, den))
 
 
