@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staywise.llm import bpe, langid, linededup, mixing, simhash, topk, vectordedup
+from staywise.llm import bpe, langid, linededup, mixing, secrets, simhash, topk, vectordedup
 from staywise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,12 @@ def op1_top_k(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op1_top_k"] = topk.ORACLE
 
 
+@_query
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.digests(table(spark, folder, "documents", "doc_id", "text"))
+
+
 @_query
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from four fifths of them."""
