@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staywise.llm import bpe, langid, linededup, mixing, secrets, simhash, topk, vectordedup
+from staywise.llm import bpe, htmltext, langid, linededup, mixing, secrets, simhash, topk, vectordedup
 from staywise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,12 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents", "doc_id", "text"), bpe.read_ranks(tokenizer_path()))
 
 
+@_query
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract(table(spark, folder, "pages", "page_id", "url", "html"))
+
+
 @_query
 def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and groups of near copies of every vector."""
