@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staywise.llm import bpe, htmltext, langid, linededup, mixing, secrets, simhash, topk, vectordedup
+from staywise.llm import bpe, htmltext, langid, licenses, linededup, mixing, secrets, simhash, topk, vectordedup
 from staywise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,15 @@ def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digests(table(spark, folder, "documents", "doc_id", "text"))
 
 
+@_query
+def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License of every document: stated in it, or inherited from a licence file above it."""
+    return licenses.documents(table(spark, folder, "documents", "doc_id", "text", "source", "lang"))
+
+
+ORACLES["op3_licenses"] = licenses.ORACLE
+
+
 @_query
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from four fifths of them."""
