@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staywise.llm.common import chunks, missing
+from staywise.llm.common import chunks, in_batches, missing
 
 #: Code points handled at once by the scan.
-SCAN_CHARS = 1 << 20
+SCAN_CHARS = 1 << 19
 #: Pieces remembered by one Python worker, and the longest of them in characters.
-CACHE_PIECES, CACHE_CHARS = 250_000, 48
+CACHE_PIECES, CACHE_CHARS = 200_000, 48
 #: Steps that a lane of the blocked scan takes by itself.
 LANE = 64
 
@@ -263,19 +263,13 @@ def _merger(name: str, shared) -> tuple[Merger, np.ndarray, np.ndarray]:
     return _MERGERS[name]
 
 
-def encode(frame: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, ids, token_ends, piece_ends), each array packed as little-endian unsigned 32-bit integers.
+_PACKED = ("ids", "token_ends", "piece_ends")
 
-    ``ids`` are the tokens, ``token_ends`` the byte offset at which each ends in the UTF-8 text, ``piece_ends`` the
-    code point at which each pre-token ends. The ranks (one vocabulary, whatever the data) are broadcast.
-    """
-    missing(frame, key, text)
+
+def _encoder(frame: DataFrame, ranks: dict[bytes, int]):
+    """Function from batches (key, text) to batches (key, ids, token_ends, piece_ends)."""
     shared = frame.sparkSession.sparkContext.broadcast((ranks, codepoint_classes()))
     name = uuid.uuid4().hex
-    kind = frame.schema[key].dataType
-    schema = T.StructType(
-        [T.StructField(key, kind)] + [T.StructField(c, T.BinaryType()) for c in ("ids", "token_ends", "piece_ends")]
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger, lengths, classes = _merger(name, shared)
@@ -283,31 +277,23 @@ def encode(frame: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text:
         for batch in batches:
             keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks(texts, SCAN_CHARS):
-                ids, token_ends, piece_ends = [], [], []
+                columns: list[list[bytes]] = [[], [], []]
                 for whole, starts, ends in boundaries(texts[a:b], classes):
                     pieces = [whole[i:j] for i, j in zip(starts, ends, strict=True)]
                     packed = b"".join([cache.get(p) or merger(p) for p in pieces])
-                    ids.append(packed)
-                    token_ends.append(np.cumsum(lengths[np.frombuffer(packed, "<u4")]).astype("<u4").tobytes())
-                    piece_ends.append(np.array(ends, "<u4").tobytes())
+                    token_ends = np.cumsum(lengths[np.frombuffer(packed, "<u4")]).astype("<u4").tobytes()
+                    for column, value in zip(columns, (packed, token_ends, np.array(ends, "<u4").tobytes()), strict=True):
+                        column.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(a, b - a), *[pa.array(x, pa.binary()) for x in (ids, token_ends, piece_ends)]],
-                    names=schema.names,
+                    [keys.slice(a, b - a), *[pa.array(x, pa.binary()) for x in columns]], names=[batch.schema.names[0], *_PACKED]
                 )
 
-    return frame.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, schema)
+    return run
 
 
-def decode(
-    encoded: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...] = ("doc_id",), ids: str = "ids",
-    token_ends: str = "token_ends",
-) -> DataFrame:
-    """Rows (keep..., ids, decoded): the bytes of the ids, each token written where its retained offset says."""
-    missing(encoded, *keep, ids, token_ends)
-    table = sorted((i, token) for token, i in ranks.items())
-    shared = encoded.sparkSession.sparkContext.broadcast(table)
-    fields = [encoded.schema[c] for c in keep]
-    schema = T.StructType([*fields, T.StructField(ids, T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+def _decoder(frame: DataFrame, ranks: dict[bytes, int]):
+    """Function from batches (key, ids, token_ends, ...) to batches (key, ids, decoded)."""
+    shared = frame.sparkSession.sparkContext.broadcast(sorted((i, token) for token, i in ranks.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = [b""] * (shared.value[-1][0] + 1)
@@ -315,16 +301,47 @@ def decode(
             tokens[i] = token
         for batch in batches:
             out = []
-            for packed, ends in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist(), strict=True):
-                own = b"".join([tokens[i] for i in np.frombuffer(packed or b"", "<u4").tolist()])
-                if len(own) != (int.from_bytes(ends[-4:], "little") if ends else 0):
+            for packed, ends in zip(batch.column(1), batch.column(2), strict=True):
+                packed, ends = packed.as_py() or b"", ends.as_py() or b""
+                own = b"".join([tokens[i] for i in np.frombuffer(packed, "<u4").tolist()])
+                if len(own) != int.from_bytes(ends[-4:], "little"):
                     raise ValueError("the offsets do not belong to these ids")
                 out.append(own)
-            columns = [batch.column(k) for k in range(len(keep) + 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=[batch.schema.names[0], "ids", "decoded"]
+            )
+
+    return run
+
+
+def _schema(frame: DataFrame, key: str, *columns: str) -> T.StructType:
+    return T.StructType([frame.schema[key], *[T.StructField(c, T.BinaryType()) for c in columns]])
+
 
-    columns = [F.col(f"`{c}`") for c in (*keep, ids, token_ends)]
-    return encoded.select(*columns).mapInArrow(run, schema)
+def encode(frame: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, ids, token_ends, piece_ends), each array packed as little-endian unsigned 32-bit integers.
+
+    ``ids`` are the tokens, ``token_ends`` the byte offset at which each ends in the UTF-8 text, ``piece_ends`` the
+    code point at which each pre-token ends. The ranks (one vocabulary, whatever the data) are broadcast.
+    """
+    missing(frame, key, text)
+    rows = in_batches(frame).select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("_text"))
+    return rows.mapInArrow(_encoder(frame, ranks), _schema(frame, key, *_PACKED))
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int], key: str = "doc_id") -> DataFrame:
+    """Rows (key, ids, decoded): the bytes of the ids, checked against the retained offsets."""
+    missing(encoded, key, "ids", "token_ends")
+    rows = in_batches(encoded).select(F.col(f"`{key}`"), "ids", "token_ends")
+    return rows.mapInArrow(_decoder(encoded, ranks), _schema(encoded, key, "ids", "decoded"))
+
+
+def round_trip(frame: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``decode(encode(frame))`` in one pass, so that a task needs one Python worker."""
+    missing(frame, key, text)
+    encoder, decoder = _encoder(frame, ranks), _decoder(frame, ranks)
+    rows = in_batches(frame).select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("_text"))
+    return rows.mapInArrow(lambda batches: decoder(encoder(batches)), _schema(frame, key, "ids", "decoded"))
 
 
 def spans(token_ends: bytes, first: int, last: int) -> tuple[int, int]:
@@ -335,8 +352,7 @@ def spans(token_ends: bytes, first: int, last: int) -> tuple[int, int]:
 
 def digests(documents: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
-    decoded = decode(encode(documents, ranks), ranks)
-    return decoded.select(
+    return round_trip(documents, ranks).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -9,19 +9,24 @@ from pyspark.sql import functions as F
 
 from staywise.functions.scale import ensure_checkpoint_dir
 
-__all__ = ["chunks", "ensure_checkpoint_dir", "materialize", "missing", "table"]
+__all__ = ["chunks", "ensure_checkpoint_dir", "in_batches", "materialize", "missing", "table"]
 
-#: An Arrow batch for Python holds at most so many bytes, however long the texts are.
-BATCH_BYTES = 32 << 20
+#: An Arrow batch for Python holds about so many bytes (one row at least), however long the texts are.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """Columns of one input table, through Spark's reader whatever the store."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     frame = spark.read.parquet(f"{folder}/{name}.parquet")
     return frame.select(*[F.col(f"`{c}`") for c in columns]) if columns else frame
 
 
+def in_batches(frame: DataFrame) -> DataFrame:
+    """The frame, with batches for Python that are bounded in bytes."""
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return frame
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

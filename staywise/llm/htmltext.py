@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staywise.llm.common import missing
+from staywise.llm.common import in_batches, missing
 
 # Fixed vocabulary of HTML.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp template svg math object canvas".split())
@@ -302,7 +302,7 @@ def train(pages: DataFrame, key: str = "page_id", page: str = "html") -> np.ndar
     missing(pages, key, page)
     share = min(1.0, SAMPLE_PAGES / max(1, pages.count()))
     mark = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(1 << 30))
-    chosen = pages.where(mark < int(share * (1 << 30))).select(F.col(f"`{page}`").cast("string"))
+    chosen = in_batches(pages).where(mark < int(share * (1 << 30))).select(F.col(f"`{page}`").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,4 +339,4 @@ def extract(pages: DataFrame, weights: np.ndarray | None = None, key: str = "pag
                 names=schema.names,
             )
 
-    return pages.select(*[F.col(f"`{c}`") for c in (key, url)], F.col(f"`{page}`").cast("string").alias("_page")).mapInArrow(run, schema)
+    return in_batches(pages).select(*[F.col(f"`{c}`") for c in (key, url)], F.col(f"`{page}`").cast("string").alias("_page")).mapInArrow(run, schema)

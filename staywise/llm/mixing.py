@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staywise.llm.common import materialize, missing
+from staywise.llm.common import in_batches, materialize, missing
 
 WEIGHTS, MAX_EPOCHS, SEED = (5, 2, 1), 3, 20
 #: Documents of a source that are visited one after the other.
@@ -41,7 +41,7 @@ def sizes(frame: DataFrame, key: str = "doc_id", text: str = "text", source: str
             own = [len((t.as_py() or "").encode().split()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int64())], names=schema.names)
 
-    return frame.select(
+    return in_batches(frame).select(
         F.col(f"`{key}`"), F.col(f"`{source}`").cast("string"), F.col(f"`{text}`").cast("string")
     ).mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staywise.llm.common import materialize, missing
+from staywise.llm.common import in_batches, materialize, missing
 
 KINDS = ("assign", "access", "hex")
 #: Base patterns (fixed values) and the least length of the value.
@@ -85,7 +85,7 @@ def scan(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 tokens.append([dict(zip(names, x, strict=True)) for x in candidates(own, b)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kind), pa.array(tokens, kind)], names=schema.names)
 
-    return frame.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
+    return in_batches(frame).select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
 
 
 def _classes() -> dict[str, str]:

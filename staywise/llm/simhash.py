@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staywise.llm.common import materialize, missing
+from staywise.llm.common import in_batches, materialize, missing
 from staywise.llm.components import Forest, connected
 
 SEED = 42
@@ -69,7 +69,7 @@ def fingerprints(frame: DataFrame, shingle: int = 4, key: str = "doc_id", text:
             own = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.view(np.int64))], names=schema.names)
 
-    return frame.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
+    return in_batches(frame).select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
 
 
 def _offsets(radius: int) -> np.ndarray:
