@@ -153,9 +153,9 @@ def _verified(documents: DataFrame, pairs: DataFrame, rarity: bytes, key: str, t
 def removed_sets(documents: DataFrame, sets: DataFrame, rarity: bytes, key: str, text: str, num: int, den: int) -> DataFrame:
     """(doc, pos) of the earliest lines of their sets that are similar to an earlier line."""
 
-    def postings(rows: DataFrame, *more: str) -> DataFrame:
-        named = rows.select("doc", "pos", "size", "parity", *more, F.posexplode("prefix").alias("at", "word"))
-        return named.select("word", F.struct("doc", "pos", "size", "parity", "at", *more).alias("x"))
+    def postings(rows: DataFrame) -> DataFrame:
+        named = rows.select("doc", "pos", "size", "parity", F.posexplode("prefix").alias("at", "word"))
+        return named.select("word", F.struct("doc", "pos", "size", "parity", "at").alias("x"))
 
     near = (F.struct("y.doc", "y.pos") < F.struct("x.doc", "x.pos")) & _similar_enough("x", "y", num, den)
     apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
@@ -165,18 +165,18 @@ def removed_sets(documents: DataFrame, sets: DataFrame, rarity: bytes, key: str,
     first = materialize(nearest.select("doc", "pos", F.col("b.doc").alias("doc2"), F.col("b.pos").alias("pos2")))
     settled = materialize(_verified(documents, first, rarity, key, text, num, den))
     # Lines that are not settled meet all earlier lines of their words, one part of the words after the other.
-    flags = settled.select("doc", "pos", F.lit(1).alias("found"))
-    marked = sets.join(flags, ["doc", "pos"], "left").withColumn("open", F.when(F.col("found").isNull(), 1).otherwise(0))
+    perhaps = _within(settled, "doc", "pos")
+    open_sets = sets.where(~perhaps).unionByName(sets.where(perhaps).join(settled, ["doc", "pos"], "left_anti"))
     rest = None
     for part in range(ROUNDS):
         mine = F.pmod(F.col("word"), F.lit(ROUNDS)) == part
-        left = postings(marked, "open").where(mine).where("x.open = 1")
+        left = postings(open_sets).where(mine)
         right = postings(sets).where(mine).select(F.col("word").alias("word2"), F.col("x").alias("y"))
         met = left.join(right, (F.col("word") == F.col("word2")) & near)
         pairs = materialize(met.select("x.doc", "x.pos", F.col("y.doc").alias("doc2"), F.col("y.pos").alias("pos2")).distinct())
         rest = pairs if rest is None else rest.unionByName(pairs)
     rest = rest.distinct()
-    return settled.unionByName(_verified(documents, rest, rarity, key, text, num, den))
+    return settled.unionByName(materialize(_verified(documents, rest, rarity, key, text, num, den)))
 
 
 def dedup_lines(
