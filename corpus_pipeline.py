@@ -11,16 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staywise.llm import bpe, langid, linededup, mixing, simhash
-from staywise.llm.common import ensure_checkpoint_dir
+from staywise.llm.common import ensure_checkpoint_dir, packed
 from staywise.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; what the language model rejects goes."""
     model = langid.train(docs.where(~langid.held_out()))
-    columns = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    kept = langid.predict(docs, model, carry=(*columns, "text")).where("not rejected")
-    return kept.select(*docs.columns)
+    rows = packed(docs).select("_row", "_row.doc_id", "_row.text")
+    return langid.predict(rows, model, carry=("_row",)).where("not rejected").select("_row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from staywise.functions.scale import ensure_checkpoint_dir
 
-__all__ = ["chunks", "ensure_checkpoint_dir", "in_batches", "materialize", "missing", "table"]
+__all__ = ["chunks", "ensure_checkpoint_dir", "in_batches", "materialize", "missing", "packed", "table"]
 
 #: An Arrow batch for Python holds about so many bytes (one row at least), however long the texts are.
 BATCH_BYTES = 8 << 20
@@ -27,6 +27,11 @@ def in_batches(frame: DataFrame) -> DataFrame:
     return frame
 
 
+def packed(frame: DataFrame) -> DataFrame:
+    """One column ``_row`` that holds all columns, so that no name of theirs can clash with a helper column."""
+    return frame.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in frame.columns]).alias("_row"))
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from staywise.llm.common import materialize, missing
+from staywise.llm.common import materialize, missing, packed
 
 NUM, DEN = 4, 5
 RARITY_BITS = 18
@@ -182,24 +182,26 @@ def removed_sets(documents: DataFrame, sets: DataFrame, rarity: bytes, key: str,
 def dedup_lines(
     documents: DataFrame, num: int = NUM, den: int = DEN, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The documents without removed lines, with columns n_lines and n_kept added; all other columns as they are."""
+    """The documents without removed lines, with columns n_lines and n_kept added or replaced."""
     missing(documents, key, text)
     rarity = rarity_table(documents, text)
     sets = materialize(distinct_sets(documents, rarity, key, text, num, den))
     gone = removed_sets(documents, sets, rarity, key, text, num, den)
     stay = sets.select("doc", "pos").join(gone, ["doc", "pos"], "left_anti")
     kept = stay.groupBy("doc").agg(F.collect_list("pos").alias("_kept")).withColumnRenamed("doc", "_doc")
-    joined = documents.join(kept, F.col(f"`{key}`") == F.col("_doc"), "left").withColumn("_lines", F.split(F.col(f"`{text}`"), "\n"))
+    row = F.col("_row")
+    held = packed(documents).select("_row", row[key].alias("_key"), row[text].alias("_text"))
+    joined = held.join(kept, F.col("_key") == F.col("_doc"), "left").withColumn("_lines", F.split("_text", "\n"))
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
     blank = F.filter(every, lambda i: F.btrim(F.get("_lines", i), F.lit(_TRIMMED)) == "")
     inside = F.filter(F.coalesce("_kept", F.array().cast("array<int>")), lambda i: i < F.size("_lines"))
-    own = F.when(F.col(f"`{key}`").isNull(), every).otherwise(F.array_sort(F.array_union(blank, inside)))
-    chosen = joined.withColumn("_own", F.when(F.col(f"`{text}`").isNotNull(), own))
+    own = F.when(F.col("_key").isNull(), every).otherwise(F.array_sort(F.array_union(blank, inside)))
+    chosen = joined.withColumn("_own", F.when(F.col("_text").isNotNull(), own))
     cleaned = F.array_join(F.transform("_own", lambda i: F.get("_lines", i)), "\n")
+    count = lambda c: F.when(F.col("_own").isNull(), 0).otherwise(F.size(c)).cast("long")
     return chosen.select(
-        *[(cleaned if c == text else F.col(f"`{c}`")).alias(c) for c in documents.columns],
-        F.when(F.col("_own").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.when(F.col("_own").isNull(), 0).otherwise(F.size("_own")).cast("long").alias("n_kept"),
+        *[(cleaned if c == text else row[c]).alias(c) for c in documents.columns if c not in ("n_lines", "n_kept")],
+        count("_lines").alias("n_lines"), count("_own").alias("n_kept"),
     )
 
 

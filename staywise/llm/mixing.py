@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staywise.llm.common import in_batches, materialize, missing
+from staywise.llm.common import in_batches, materialize, missing, packed
 
 WEIGHTS, MAX_EPOCHS, SEED = (5, 2, 1), 3, 20
 #: Documents of a source that are visited one after the other.
@@ -128,7 +128,8 @@ def plan(
 def repeat(frame: DataFrame, planned: DataFrame, key: str = "doc_id") -> DataFrame:
     """The frame with each row as often as the plan says."""
     times = planned.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max("repeats").cast("int").alias("_times")).where("_times > 0")
-    return frame.join(times, F.col(f"`{key}`").eqNullSafe(F.col("_key"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*[F.col(f"`{c}`") for c in frame.columns])
+    rows = packed(frame).join(times, F.col("_row")[key].eqNullSafe(F.col("_key")))
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), "_times"))).select("_row.*")
 
 
 def mixture(documents: DataFrame) -> DataFrame:
