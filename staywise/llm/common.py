@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from staywise.functions.scale import ensure_checkpoint_dir
 
-__all__ = ["chunks", "ensure_checkpoint_dir", "in_batches", "materialize", "missing", "packed", "table"]
+__all__ = ["chunks", "ensure_checkpoint_dir", "in_batches", "materialize", "missing", "packed", "table", "tidy"]
 
 #: An Arrow batch for Python holds about so many bytes (one row at least), however long the texts are.
 BATCH_BYTES = 8 << 20
@@ -35,18 +36,24 @@ def packed(frame: DataFrame) -> DataFrame:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(frame: DataFrame) -> DataFrame:
-    """A reliable checkpoint of the frame; the shuffle files that led to it are removed once it is written."""
-    spark = frame.sparkSession
-    ensure_checkpoint_dir(spark)
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries planned and run inside remove their shuffle files when they end."""
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        return frame.select("*").checkpoint(eager=True)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
 
 
+def materialize(frame: DataFrame) -> DataFrame:
+    """A reliable checkpoint of the frame; the shuffle files that led to it are removed once it is written."""
+    ensure_checkpoint_dir(frame.sparkSession)
+    with tidy(frame.sparkSession):
+        return frame.select("*").checkpoint(eager=True)
+
+
 def missing(frame: DataFrame, *columns: str) -> None:
     """Raise when a column the operator needs is not there."""
     absent = [c for c in columns if c not in frame.columns]

@@ -18,20 +18,18 @@ they are. Extra columns pass unchanged.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from staywise.llm.common import materialize, missing, packed
+from staywise.llm.common import materialize, missing, packed, tidy
 
 NUM, DEN = 4, 5
 RARITY_BITS = 18
 #: Parts of the words that are joined one after the other: only one part's shuffle files are on disk at a time.
 ROUNDS = 2
 #: Hash buckets of the map that tells which documents have lines to verify.
-MAP_BITS = 20
+MAP_BITS = 21
 #: A byte of the rarity table holds the logarithm of a bucket's count in steps of a quarter.
 STEPS = 4
 _TRIMMED = " \t\n\x0b\f\r"
@@ -56,10 +54,21 @@ def rarity_table(documents: DataFrame, text: str = "text") -> bytes:
     # Words are parted at spaces and line ends here; other blanks are rare, and an order may be coarse.
     words = documents.select(F.explode(F.split(F.replace(F.col(f"`{text}`"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(size)).cast("int").alias("b")).count()
-    out = bytearray(size)
-    for bucket, n in counts.collect():  # at most 2**RARITY_BITS rows
-        out[bucket] = min(127, round(STEPS * math.log2(n + 1)))
-    return bytes(out)
+    level = F.least(F.lit(127), F.round(STEPS * F.log2(F.col("count") + 1))).cast("long")
+    return _bytes(counts.select("b", level.alias("value")), size)
+
+
+def _bytes(values: DataFrame, size: int) -> bytes:
+    """Rows (b, value) with a value below 128 for some of the numbers below ``size``, as one byte each."""
+    eight = values.groupBy(F.floor(F.col("b") / 8).cast("int").alias("at")).agg(
+        F.sum(F.expr("shiftleft(value, 7 * (b % 8))")).alias("packed")
+    )
+    out = bytearray(size + 8)
+    with tidy(values.sparkSession):
+        for at, packed_values in eight.select("*").collect():  # size / 8 rows at most
+            for k in range(8):
+                out[8 * at + k] = packed_values >> 7 * k & 127
+    return bytes(out[:size])
 
 
 def _token(h: Column, rarity: bytes) -> Column:
@@ -116,18 +125,19 @@ def _similar_enough(x: str, y: str, num: int, den: int) -> Column:
 
 
 def _within(keys: DataFrame, *names: str) -> Column:
-    """Is a row perhaps among the keys? From a bit for each of 2**MAP_BITS hash buckets; never wrongly no."""
-    bucket = F.pmod(F.xxhash64(*names), F.lit(1 << MAP_BITS)).cast("int")
-    marked = keys.select(bucket.alias("b")).distinct()
+    """Is a row perhaps among the keys? From two bits for each key in 2**MAP_BITS; never wrongly no."""
+    h = F.xxhash64(*names)
+    buckets = [F.pmod(x, F.lit(1 << MAP_BITS)).cast("int") for x in (h, F.shiftright(h, 32))]
     # Seven bits a byte: such a byte is a character of ASCII.
-    octets = marked.groupBy(F.floor(F.col("b") / 7).cast("int").alias("at")).agg(
-        F.sum(F.expr("shiftleft(1, b % 7)")).cast("int").alias("bits")
-    )
-    table = bytearray((1 << MAP_BITS) // 7 + 1)
-    for at, bits in octets.collect():
-        table[at] = bits
-    byte = F.ascii(F.substring(F.lit(table), F.floor(bucket / 7).cast("int") + 1, F.lit(1)).cast("string"))
-    return F.call_function("shiftright", byte, F.pmod(bucket, F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    marked = keys.select(F.explode(F.array(*buckets)).alias("b")).distinct()
+    octets = marked.groupBy(F.floor(F.col("b") / 7).cast("int").alias("b")).agg(F.sum(F.expr("shiftleft(1L, b % 7)")).alias("value"))
+    table = F.lit(bytearray(_bytes(octets, (1 << MAP_BITS) // 7 + 1)))
+
+    def bit(bucket: Column) -> Column:
+        byte = F.ascii(F.substring(table, F.floor(bucket / 7).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.call_function("shiftright", byte, F.pmod(bucket, F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return bit(buckets[0]) & bit(buckets[1])
 
 
 def _verified(documents: DataFrame, pairs: DataFrame, rarity: bytes, key: str, text: str, num: int, den: int) -> DataFrame:
