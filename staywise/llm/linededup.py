@@ -225,8 +225,7 @@ ORACLE = r"""
 with docs as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
 lines as (select doc_id, unnest(range(len(ls))) as pos, unnest(ls) as line from docs where doc_id is not null and text is not null),
 trimmed as (select doc_id, pos, trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) as line from lines),
-worded as (select doc_id, pos, list_sort(list_distinct(regexp_split_to_array(line, '[ 	-
-]+'))) as ws from trimmed where line <> ''),
+worded as (select doc_id, pos, list_sort(list_distinct(regexp_split_to_array(line, '[\x20\x09-\x0D]+'))) as ws from trimmed where line <> ''),
 sets as (select ws, min(row(doc_id, pos)) as f from worded group by ws),
 own as (select row_number() over (order by f) as id, ws, len(ws) as n, f from sets),
 words as (select id, n, unnest(ws) as w from own),
