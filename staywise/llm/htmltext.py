@@ -189,7 +189,7 @@ def features(block: Block) -> list[float]:
 
 
 #: Weights of the text model where no labelled blocks of both kinds are found.
-PLAIN_WEIGHTS = (-2.0, 0.4, 0.3, -4.0, 0.3, 0.5, -1.0, 0.3, 1.0)
+PLAIN_WEIGHTS = (-2.0, 0.4, 0.3, -4.0, 0.3, 0.5, -1.0, 1.0, 1.0)
 
 
 def fit_text_model(rows: np.ndarray, content: np.ndarray, rounds: int = 300) -> np.ndarray:
