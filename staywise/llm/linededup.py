@@ -4,7 +4,7 @@ A line is the set of its words (runs of characters other than ASCII blanks). The
 line number, of all lines with one set of words stands for them. Among these, a line is removed when an earlier one
 has a Jaccard similarity of at least ``num / den`` with it. Words are ordered from rare to frequent, so that two
 similar lines must share one of their few rarest words (prefix filter); the place of the shared word and the sizes
-bound the overlap (positional and length filter); a 64-bit parity map of the words bounds the symmetric difference;
+bound the overlap (positional and length filter); parity maps of the words bound the symmetric difference;
 what is left is verified on the words themselves. Rarity comes from counts over all words in 2**RARITY_BITS hash
 buckets, whose size does not depend on the data. It orders, and an order may be coarse, so nothing is missed.
 
@@ -25,11 +25,11 @@ from pyspark.sql.window import Window
 from staywise.llm.common import materialize, missing, packed, tidy
 
 NUM, DEN = 4, 5
-RARITY_BITS = 18
+RARITY_BITS = 17
 #: Parts of the words that are joined one after the other: only one part's shuffle files are on disk at a time.
 ROUNDS = 2
-#: Hash buckets of the map that tells which documents have lines to verify.
-MAP_BITS = 21
+#: Bytes of the map that tells which lines are to be verified, as a power of two.
+MAP_BITS = 17
 #: A byte of the rarity table holds the logarithm of a bucket's count in steps of a quarter.
 STEPS = 4
 _TRIMMED = " \t\n\x0b\f\r"
@@ -90,19 +90,26 @@ def _tokens(line: Column, rarity: bytes) -> Column:
     return F.sort_array(F.transform(_word_hashes(line), lambda h: _token(h, rarity)))
 
 
+def _toggle(bits: Column, token: Column) -> Column:
+    return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(F.lit(63)).cast("int")))
+
+
 def distinct_sets(documents: DataFrame, rarity: bytes, key: str, text: str, num: int, den: int) -> DataFrame:
-    """Rows (doc, pos, size, prefix, parity), one for each set of words: its earliest line."""
+    """Rows (doc, pos, size, prefix, parity, wide), one for each set of words: its earliest line."""
     own = lines(documents, key, text).select("doc", "pos", _tokens(F.col("line"), rarity).alias("t"))
     size = F.size("t")
     # A line of n words with a similar one shares one of its n - ceil(n * num / den) + 1 rarest words.
     # Here 31 bits of a word do: they only choose which lines meet.
     prefix = F.transform(F.slice("t", F.lit(1), size - F.ceil(size * num / den).cast("int") + 1), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    parity = F.aggregate(
-        "t", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
-    )
+    parity = F.aggregate("t", F.lit(0).cast("long"), _toggle)
+    # One more map with as many bits as a long line has words: the small one is full then.
+    slots = F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(size / 64.0)).cast("int"))
+    wide = F.when(size > 64, F.transform(F.sequence(F.lit(0), slots - 1), lambda k: F.aggregate(
+        F.filter("t", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit((1 << 20) - 1)) % slots == k), F.lit(0).cast("long"), _toggle
+    )))
     described = own.select(
         F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(7), "t").alias("s2"), "doc", "pos",
-        F.struct(size.alias("size"), prefix.alias("prefix"), parity.alias("parity")).alias("what"),
+        F.struct(size.alias("size"), prefix.alias("prefix"), parity.alias("parity"), wide.alias("wide")).alias("what"),
     )
     first = F.struct("doc", "pos")
     return described.groupBy("s1", "s2").agg(F.min(first).alias("first"), F.min_by("what", first).alias("what")).select(
@@ -121,23 +128,32 @@ def _similar_enough(x: str, y: str, num: int, den: int) -> Column:
         & (c(y, "size") * den >= c(x, "size") * num)
         & (rest * (num + den) >= total * num)
         & (apart * (num + den) <= total * (den - num))
+        & (c(x, "wide").isNull() | c(y, "wide").isNull() | (_wide_apart(c(x, "wide"), c(y, "wide")) * (num + den) <= total * (den - num)))
     )
 
 
+def _wide_apart(a: Column, b: Column) -> Column:
+    """Bits in which two wide maps differ; the longer one, which has twice the slots or more, is folded."""
+    n = F.least(F.size(a), F.size(b))
+
+    def folded(m: Column) -> Column:
+        return F.when(F.size(m) == n, m).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.aggregate(
+            F.filter(m, lambda x, i: i % n == k), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)
+        )))
+
+    return F.aggregate(F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 def _within(keys: DataFrame, *names: str) -> Column:
-    """Is a row perhaps among the keys? From two bits for each key in 2**MAP_BITS; never wrongly no."""
+    """Is a row perhaps among the keys? From two bits for each key in one of 2**MAP_BITS bytes; never wrongly no."""
     h = F.xxhash64(*names)
-    buckets = [F.pmod(x, F.lit(1 << MAP_BITS)).cast("int") for x in (h, F.shiftright(h, 32))]
+    place = F.pmod(h, F.lit(1 << MAP_BITS)).cast("int")
     # Seven bits a byte: such a byte is a character of ASCII.
-    marked = keys.select(F.explode(F.array(*buckets)).alias("b")).distinct()
-    octets = marked.groupBy(F.floor(F.col("b") / 7).cast("int").alias("b")).agg(F.sum(F.expr("shiftleft(1L, b % 7)")).alias("value"))
-    table = F.lit(bytearray(_bytes(octets, (1 << MAP_BITS) // 7 + 1)))
-
-    def bit(bucket: Column) -> Column:
-        byte = F.ascii(F.substring(table, F.floor(bucket / 7).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.call_function("shiftright", byte, F.pmod(bucket, F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-    return bit(buckets[0]) & bit(buckets[1])
+    bit = lambda shift: F.call_function("shiftleft", F.lit(1), F.pmod(F.shiftright(h, shift), F.lit(7)).cast("int"))
+    mask = bit(24).bitwiseOR(bit(40))
+    octets = keys.groupBy(place.alias("b")).agg(F.bit_or(mask).cast("long").alias("value"))
+    table = F.lit(bytearray(_bytes(octets, 1 << MAP_BITS)))
+    return F.ascii(F.substring(table, place + 1, F.lit(1)).cast("string")).bitwiseAND(mask) == mask
 
 
 def _verified(documents: DataFrame, pairs: DataFrame, rarity: bytes, key: str, text: str, num: int, den: int) -> DataFrame:
@@ -146,8 +162,7 @@ def _verified(documents: DataFrame, pairs: DataFrame, rarity: bytes, key: str, t
     Reads the words from the documents again; lines that are not in question leave before the shuffle.
     """
     involved = pairs.select("doc", "pos").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("pos2").alias("pos")))
-    some = documents.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text")).where(_within(involved, "doc"))
-    asked = lines(some, "doc", "text").where(_within(involved, "doc", "pos"))
+    asked = lines(documents, key, text).where(_within(involved, "doc", "pos"))
     words = asked.select("doc", "pos", _tokens(F.col("line"), rarity).alias("t")).groupBy("doc", "pos").agg(F.min("t").alias("t"))
     words = materialize(words)
     left = pairs.join(words.withColumnRenamed("t", "t1"), ["doc", "pos"])
@@ -164,8 +179,8 @@ def removed_sets(documents: DataFrame, sets: DataFrame, rarity: bytes, key: str,
     """(doc, pos) of the earliest lines of their sets that are similar to an earlier line."""
 
     def postings(rows: DataFrame) -> DataFrame:
-        named = rows.select("doc", "pos", "size", "parity", F.posexplode("prefix").alias("at", "word"))
-        return named.select("word", F.struct("doc", "pos", "size", "parity", "at").alias("x"))
+        named = rows.select("doc", "pos", "size", "parity", "wide", F.posexplode("prefix").alias("at", "word"))
+        return named.select("word", F.struct("doc", "pos", "size", "parity", "at", "wide").alias("x"))
 
     near = (F.struct("y.doc", "y.pos") < F.struct("x.doc", "x.pos")) & _similar_enough("x", "y", num, den)
     apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
@@ -200,12 +215,12 @@ def dedup_lines(
     stay = sets.select("doc", "pos").join(gone, ["doc", "pos"], "left_anti")
     kept = stay.groupBy("doc").agg(F.collect_list("pos").alias("_kept")).withColumnRenamed("doc", "_doc")
     row = F.col("_row")
-    held = packed(documents).select("_row", row[key].alias("_key"), row[text].alias("_text"))
-    joined = held.join(kept, F.col("_key") == F.col("_doc"), "left").withColumn("_lines", F.split("_text", "\n"))
+    joined = packed(documents).join(kept, row[key] == F.col("_doc"), "left")
+    joined = joined.select("_row", "_kept", row[text].alias("_text"), F.split(row[text], "\n").alias("_lines"))
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
     blank = F.filter(every, lambda i: F.btrim(F.get("_lines", i), F.lit(_TRIMMED)) == "")
     inside = F.filter(F.coalesce("_kept", F.array().cast("array<int>")), lambda i: i < F.size("_lines"))
-    own = F.when(F.col("_key").isNull(), every).otherwise(F.array_sort(F.array_union(blank, inside)))
+    own = F.when(row[key].isNull(), every).otherwise(F.array_sort(F.array_union(blank, inside)))
     chosen = joined.withColumn("_own", F.when(F.col("_text").isNotNull(), own))
     cleaned = F.array_join(F.transform("_own", lambda i: F.get("_lines", i)), "\n")
     count = lambda c: F.when(F.col("_own").isNull(), 0).otherwise(F.size(c)).cast("long")
