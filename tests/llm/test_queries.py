@@ -1,0 +1,82 @@
+from __future__ import annotations
+
+import os
+from collections import Counter
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from staywise.llm import bpe, langid, linededup, mixing, queries, simhash
+
+FOLDER = "/root/testdata/sf0.001"
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+pytestmark = pytest.mark.skipif(not os.path.exists(FOLDER), reason="sample tables are not here")
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_and_its_sql(spark, name):
+    got = queries.QUERIES[name](spark, FOLDER)
+    base = duckdb.connect()
+    for table in TABLES:
+        base.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
+    columns = ", ".join(sorted(got.columns))
+    theirs = base.execute(f"select {columns} from ({queries.ORACLES[name]})").fetchall()
+    assert Counter(theirs) == Counter(map(tuple, got.select(*sorted(got.columns)).collect()))
+
+
+def test_pipeline_is_its_stages_by_hand(spark):
+    """The rows of run() against a plain version of every stage on what its predecessor kept."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    names = docs.columns
+    model = langid.train(docs.where(~langid.held_out()))
+    rejected = {r.doc_id for r in langid.predict(docs, model).where("rejected").collect()}
+    rows = {r.doc_id: r.asDict() for r in docs.collect() if r.doc_id not in rejected}
+
+    def word_set(line):
+        return frozenset(w for w in line.encode().split() if w)
+
+    lines = [(i, p, word_set(x)) for i in sorted(rows) for p, x in enumerate((rows[i]["text"] or "").split("\n"))]
+    lines = [x for x in lines if x[2]]
+    gone = {(i, p) for k, (i, p, s) in enumerate(lines) for _, _, t in lines[:k] if 9 * len(s & t) >= 4 * (len(s) + len(t))}
+    for i, r in rows.items():
+        if r["text"] is not None:
+            r["text"] = "\n".join(x for p, x in enumerate(r["text"].split("\n")) if (i, p) not in gone)
+            r["n_chars"] = len(r["text"])
+    prints = {i: simhash.fingerprint(r["text"], 4) for i, r in rows.items()}
+    group = {i: i for i in rows}
+    changed = True
+    while changed:
+        changed = False
+        for a in rows:
+            for b in rows:
+                if (prints[a] ^ prints[b]).bit_count() <= 4 and group[b] < group[a]:
+                    group[a], changed = group[b], True
+    rows = {i: r for i, r in rows.items() if group[i] == i}
+    kept = spark.createDataFrame([tuple(r[c] for c in names) for r in rows.values()], docs.schema)
+    times = {r.doc_id: r.repeats for r in mixing.plan(kept).collect()}
+    expected = Counter()
+    for r in bpe.digests(kept, bpe.read_ranks(queries.tokenizer_path())).collect():
+        expected[tuple(r)] += times[r.doc_id]
+    assert Counter(map(tuple, corpus_pipeline.run(spark, FOLDER).collect())) == +expected
+
+
+def test_stages_keep_columns_and_bear_hard_rows(spark, docs):
+    rows = [(1, None, "en", None), (2, "", None, "a"), (3, "some words of a text\nand a line", "en", "a"), (3, "some words of a text\nand a line", "en", "a"),
+            (None, "no id here", "en", "b"), (4, "long " * 30_000, "en", "b"), (5, "other words, another text", "en", None)]
+    for frame in (docs(rows), docs([])):
+        current = frame
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = current
+            current = stage(spark, before, FOLDER)
+            assert current.columns == frame.columns, name
+            current = spark.createDataFrame(current.collect(), frame.schema)
+        last = corpus_pipeline.STAGES[-1][1](spark, current, FOLDER)
+        assert last.count() == current.count()
+    assert [k for k, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "SimHash near-dedup", "mixing", "byte-level BPE"]
+    assert linededup.dedup_lines(docs(rows)).count() == len(rows)
