@@ -48,20 +48,13 @@ _APART = "[^a-z0-9]+"
 WHOLE = -1  # the line number of the file as a whole
 
 
-def _plain(text: Column) -> Column:
-    """Words with one space before and after each."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), _APART, " "), F.lit(" "))
-
-
 def _words(text: Column) -> Column:
-    return F.split(_plain(text), " ")
+    return F.split(F.lower(text), _APART)
 
 
-def _has_one(plain: Column, words: list[str]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(plain, F.lit(f" {word} "))
-    return found
+def _has_one(text: Column, words: list[str]) -> Column:
+    """Is one of the words in the text? The text is named once, so that it is cut once."""
+    return F.arrays_overlap(_words(text), F.array(*[F.lit(w) for w in words]))
 
 
 def _vocabulary() -> dict[str, dict[int, int]]:
@@ -111,14 +104,11 @@ def stated(files: DataFrame, threshold: float = THRESHOLD, path: str = "path", t
     idf, alone = inverse_frequencies(files, text)
     weights = _weights(idf)
     telling = _telling(weights, threshold)
-    named = files.where(F.col(f"`{path}`").isNotNull()).select(
-        F.col(f"`{path}`").alias("path"), F.col(f"`{text}`").alias("text"), _plain(F.col(f"`{text}`")).alias("plain")
-    )
-    chosen = named.where(_has_one(F.col("plain"), telling))
-    cut = chosen.select("path", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
-    lines = cut.select("path", "line", _plain(F.col("unit")).alias("plain")).where(_has_one(F.col("plain"), telling))
-    units = lines.unionByName(chosen.select("path", F.lit(WHOLE).alias("line"), "plain"))
-    words = units.select("path", "line", F.explode(F.split("plain", " ")).alias("w")).where("w <> ''")
+    named = files.where(F.col(f"`{path}`").isNotNull()).select(F.col(f"`{path}`").alias("path"), F.col(f"`{text}`").alias("text"))
+    chosen = materialize(named.where(_has_one(F.col("text"), telling)))  # few files, read twice below
+    lines = chosen.select("path", F.posexplode(F.split("text", "\n")).alias("line", "unit")).where(_has_one(F.col("unit"), telling))
+    units = lines.unionByName(chosen.select("path", F.lit(WHOLE).alias("line"), F.col("text").alias("unit")))
+    words = units.select("path", "line", F.explode(_words(F.col("unit"))).alias("w")).where("w <> ''")
     counted = words.groupBy("path", "line", "w").agg(F.count(F.lit(1)).alias("tf"))
     # A few hundred rows, whatever the data.
     known = spark.createDataFrame(sorted(idf.items()), "w string, idf double")
