@@ -98,10 +98,23 @@ def contract_validation_optional(spark, folder):
 
 @_query
 def qc_table_summary(spark, folder):
+    report = qc.qc_report(sample_catalog(spark, folder))
+    return report.select("table", "n_rows", "n_columns", "missing_truncated", "missing_inspected")
+
+
+@_query
+def qc_table_summary_truncated(spark, folder):
+    """The same with the inspection limited to five columns of each table."""
     report = qc.qc_report(sample_catalog(spark, folder), max_columns=5)
     return report.select("table", "n_rows", "n_columns", "missing_truncated", "missing_inspected")
 
 
+@_query
+def discovered_tables(spark, folder):
+    """Tables found in the folder by their file names."""
+    return TableCatalog.discover(spark, folder).inventory().select("table", "n_columns")
+
+
 @_query
 def qc_null_counts(spark, folder):
     return qc.null_counts(qc.qc_report(hospital_catalog(spark, folder)))
@@ -160,6 +173,12 @@ def label_los(spark, folder):
     return lb.long_stay_labels(hospital_catalog(spark, folder), threshold_hours=120.5)
 
 
+@_query
+def label_outcome_long_stay(spark, folder):
+    """The outcome chosen by its name."""
+    return lb.outcome_labels(hospital_catalog(spark, folder), "los_gt_7d", los_threshold_hours=120.5)
+
+
 @_query
 def label_derived(spark, folder):
     stays = hospital_catalog(spark, folder)["hospitalization"]
@@ -366,6 +385,12 @@ def group_kfold(spark, folder):
     return sp.group_kfold(events, "user_id", 5)
 
 
+@_query
+def group_kfold_small_groups(spark, folder):
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_linenumber", "l_orderkey")
+    return sp.group_kfold(lines, "l_orderkey", 5)
+
+
 @_query
 def three_way_split(spark, folder):
     return sp.three_way_split(hospital_catalog(spark, folder)["hospitalization"].select(PATIENT, STAY), PATIENT)
@@ -458,21 +483,15 @@ def net_benefit_default(spark, folder):
 def calibration_slope(spark, folder):
     counts = ev.score_counts(event_predictions(spark, folder), "label", "score", clip=None)
     intercept, slope = ev.calibration_line(counts)
-    return spark.createDataFrame([(round(intercept, 4), round(slope, 4))], "intercept double, slope double")
+    return spark.createDataFrame([(intercept, slope)], "intercept double, slope double")
 
 
 @_query
 def evaluation_report(spark, folder):
-    """All sections of the prediction report as (section, record) rows."""
+    """All sections of the prediction report as typed rows."""
     sections = rp.evaluation_report(event_predictions(spark, folder), "label", "score", ["subgroup"])
-    frames = [
-        rp.nan_to_null(frame).select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("record"))
-        for name, frame in sections.items()
-    ]
-    whole = frames[0]
-    for frame in frames[1:]:
-        whole = whole.unionByName(frame)
-    return whole
+    keys = {"calibration_bins": ["bin"], "subgroups": ["subgroup_col", "subgroup_value"]}
+    return rp.long_report(sections, keys)
 
 
 # Models
@@ -486,6 +505,17 @@ def imputation_medians(spark, folder):
     return spark.createDataFrame(list(found.items()), "feature string, median double")
 
 
+@_query
+def training_sides(spark, folder):
+    """Rows, positives and total class weight of both sides, after the checks that a fit makes."""
+    sides = sp.group_train_test_split(_model_frame(spark, folder), PATIENT)
+    found = md.check_training_data(sides, "split")
+    weight = F.lit(None).cast("double")
+    for side, (n, positives) in found.items():
+        weight = F.when(F.col("split") == side, md.class_weights("outcome", n, positives)).otherwise(weight)
+    return sides.groupBy("split", "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("weight"))
+
+
 def _fitted(spark, folder, fit):
     frame = materialize(_model_frame(spark, folder))
     features = [c for c in frame.columns if c not in (STAY, PATIENT, "outcome")]
@@ -501,18 +531,18 @@ def logistic_baseline(spark, folder):
 
 @_query
 def gbt_baseline(spark, folder):
-    return _fitted(spark, folder, lambda train, features: md.fit_boosted_trees(train, features, trees=10))
+    return _fitted(spark, folder, lambda train, features: md.fit_boosted_trees(train, features))
 
 
 @_query
 def model_comparison(spark, folder):
-    report = run_baseline(hospital_catalog(spark, folder), trees=5, los_threshold_hours=120.0, outcome="los_gt_7d")
+    report = run_baseline(hospital_catalog(spark, folder), los_threshold_hours=120.0, outcome="los_gt_7d")
     return md.comparison(list(report.models.values()))
 
 
 @_query
 def sequence_baseline(spark, folder):
-    report = run_sequence_baseline(hospital_catalog(spark, folder), penalties=(0.01, 0.1), max_iter=50)
+    report = run_sequence_baseline(hospital_catalog(spark, folder))
     return md.comparison(list(report.models.values()))
 
 

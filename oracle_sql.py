@@ -336,6 +336,16 @@ _WATERFALL = (
 
 _HOSP_GROUPS = "(SELECT DISTINCT patient_id AS g FROM hosp)"
 
+def _kfold(table: str, row: str, group: str) -> str:
+    """Serpentine folds along the groups by rows, then by hash."""
+    return (
+        f"WITH sizes AS (SELECT {group} AS g, count(*) AS n FROM {table} GROUP BY 1), "
+        "ranked AS (SELECT g, row_number() OVER (ORDER BY n DESC, sha256(concat('stable-split-v1:', CAST(g AS VARCHAR)))) - 1 AS r FROM sizes) "
+        f"SELECT t.{row}, t.{group}, CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS BIGINT) AS fold "
+        f"FROM {table} t JOIN ranked ON ranked.g = t.{group}"
+    )
+
+
 ORACLES = {
     "table_inventory": " UNION ALL ".join(
         f"SELECT '{t}' AS \"table\", count(*) AS n_columns FROM (DESCRIBE {t})" for t in _TABLES
@@ -360,10 +370,18 @@ ORACLES = {
         "('medication_admin_intermittent', 0), ('respiratory_support', 3)) v(t, n)"
     ),
     "qc_table_summary": " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM {t}) AS n_rows, count(*) AS n_columns, "
+        f"false AS missing_truncated, count(*) AS missing_inspected FROM (DESCRIBE {t})"
+        for t in _TABLES
+    ),
+    "qc_table_summary_truncated": " UNION ALL ".join(
         f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM {t}) AS n_rows, count(*) AS n_columns, "
         f"count(*) > 5 AS missing_truncated, least(count(*), 5) AS missing_inspected FROM (DESCRIBE {t})"
         for t in _TABLES
     ),
+    "discovered_tables": " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", count(*) AS n_columns FROM (DESCRIBE {t})" for t in _TABLES
+    ),
     "qc_null_counts": _with(_NULL_COUNTS),
     "qc_missingness_pct": _with(
         "SELECT *, round(n_null / n_rows * 100, 1) AS pct_null FROM counts WHERE n_null > 0",
@@ -480,16 +498,8 @@ ORACLES = {
         "folds AS (SELECT seed, sum(pos) / sum(n) AS prev, sum(pos) AS pos FROM tests GROUP BY 1), "
         "best AS (SELECT seed FROM folds WHERE pos > 0 ORDER BY abs(prev - (SELECT sum(pos) / sum(n) FROM sizes)), seed LIMIT 1)",
     ),
-    "group_kfold": (
-        "WITH RECURSIVE sizes AS (SELECT user_id AS g, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, "
-        "CAST(user_id AS VARCHAR)) AS r FROM events GROUP BY 1), "
-        "walk AS (SELECT 0::BIGINT AS r, [0, 0, 0, 0, 0]::BIGINT[] AS loads, -1::BIGINT AS fold "
-        "UNION ALL SELECT s.r, list_transform(range(1, 6), lambda i: w.loads[i] + CASE WHEN i = list_position(w.loads, "
-        "list_min(w.loads)) THEN s.n ELSE 0 END), list_position(w.loads, list_min(w.loads)) - 1 "
-        "FROM walk w JOIN sizes s ON s.r = w.r + 1) "
-        "SELECT e.event_id, e.user_id, CAST(w.fold AS BIGINT) AS fold FROM events e JOIN sizes s ON s.g = e.user_id "
-        "JOIN walk w ON w.r = s.r"
-    ),
+    "group_kfold": _kfold("events", "event_id", "user_id"),
+    "group_kfold_small_groups": _kfold("lineitem", "l_linenumber", "l_orderkey"),
     "three_way_split": _with(
         "SELECT patient_id, hospitalization_id, CASE WHEN patient_id IN (SELECT g FROM held) THEN 'test' "
         "WHEN patient_id IN (SELECT g FROM second) THEN 'validation' ELSE 'train' END AS split FROM hosp",
@@ -554,7 +564,7 @@ ORACLES = {
         "sum(m * (1 - m) * x) AS h01, sum(m * (1 - m) * x * x) AS h11 "
         "FROM (SELECT f.i, f.a, f.b, l.label, l.x, 1 / (1 + exp(-(f.a + f.b * l.x))) AS m FROM fit f, logits l WHERE f.i < 12) "
         "GROUP BY i, a, b)) "
-        "SELECT round(a, 4) AS intercept, round(b, 4) AS slope FROM fit WHERE i = 12"
+        "SELECT round(a, 6) AS intercept, round(b, 6) AS slope FROM fit WHERE i = 12"
     ),
     "imputation_medians": _with(
         " UNION ALL ".join(
@@ -563,3 +573,34 @@ ORACLES = {
         _FRAME_CTES,
     ),
 }
+
+ORACLES["label_outcome_long_stay"] = f"SELECT hospitalization_id, long_los AS outcome FROM ({ORACLES['label_los']})"
+
+
+def _cells(section: str, key: str, metrics: tuple[str, ...], source: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{section}' AS section, {key} AS key, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM ({source})" for m in metrics
+    )
+
+
+_FIVE = ("n", "prevalence", "auroc", "brier", "log_loss")
+_BIN_VALUES = ("n", "mean_predicted_risk", "observed_event_rate", "min_predicted_risk", "max_predicted_risk")
+ORACLES["evaluation_report"] = " UNION ALL ".join(
+    [
+        _cells("overall", "''", _FIVE, ORACLES["binary_metrics"]),
+        _cells("calibration_error", "''", ("expected_calibration_error",), ORACLES["ece"]),
+        _cells("calibration_bins", "CAST(bin AS VARCHAR)", _BIN_VALUES, ORACLES["calibration_equal_freq"]),
+        _cells(
+            "subgroups", "subgroup_col || '=' || subgroup_value", _FIVE,
+            f"SELECT * FROM ({ORACLES['subgroup_metrics']}) WHERE subgroup_col = 'subgroup'",
+        ),
+    ]
+)
+
+ORACLES["training_sides"] = _with(
+    "SELECT split, outcome, count(*) AS n, round(CASE WHEN outcome = 1 THEN count(*) * ((any_value(rows_here) - any_value(pos)) "
+    "/ any_value(pos)::DOUBLE) ELSE count(*)::DOUBLE END, 6) AS weight FROM (SELECT split, outcome, count(*) OVER (PARTITION BY split) "
+    "AS rows_here, sum(outcome) OVER (PARTITION BY split) AS pos FROM sides) GROUP BY split, outcome",
+    f"{_FRAME_CTES}, held AS ({_held('(SELECT DISTINCT patient_id AS g FROM frame)', chr(39) + '42' + chr(39), '0.2::DOUBLE')}), "
+    "sides AS (SELECT outcome, CASE WHEN patient_id IN (SELECT g FROM held) THEN 'test' ELSE 'train' END AS split FROM frame)",
+)

@@ -62,7 +62,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     args = _parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName("staywise").getOrCreate()
     if args.command in ("evaluate-predictions", "decision-curve"):
-        frame = read_predictions(spark, args.predictions)
+        frame = read_predictions(spark, args.predictions, [args.label_col, args.score_col])
         if args.command == "decision-curve":
             sections = reports.decision_report(frame, args.label_col, args.score_col, args.thresholds)
         else:
@@ -101,8 +101,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         )
     reports.write_run(spark, report, args.metrics_out, args.data_root)
     if args.model_out:
-        first = next(iter(report.models.values()))
-        save_model(first.model, args.model_out)
+        save_model(report.models[report.chosen].model, args.model_out)
 
 
 if __name__ == "__main__":

@@ -7,41 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# One task handles this much compressed input comfortably, so below it even a single hot key is harmless.
-ONE_TASK_BYTES = 256 << 20
 # At least this many slices of the data: a key holding more than one slice is hot.
 MIN_SLICES = 2048
-# A global order is cut into buckets of about this many rows; below BUCKET_BYTES one task orders everything.
-BUCKET_BYTES = 64 << 20
+# A key with more rows than this is cut into slices of so many.
+SLICE_ROWS = 1_000_000
+# Keys that are looked up by broadcast, at most.
+FEW_KEYS = 100_000
+# A global order is cut into buckets of about this many rows.
 BUCKET_ROWS = 2_000_000
-MAX_BUCKETS = 4096
-
-
-def planned_bytes(frame: DataFrame) -> int:
-    """Catalyst's size estimate, the one its own broadcast decision uses."""
-    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_limit(spark: SparkSession) -> int:
-    """spark.sql.autoBroadcastJoinThreshold in bytes (negative when switched off)."""
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)) if text != "-1" else -1
-
-
-def _broadcastable(dims: DataFrame) -> bool:
-    """Spark will broadcast dims by itself, and facts stay where they are."""
-    return planned_bytes(dims) <= broadcast_limit(dims.sparkSession)
-
-
-def _fits_hash_join(facts: DataFrame, dims: DataFrame) -> bool:
-    """Is each task's share of dims small enough to hash, so that facts need no sort?
-
-    Same bound as Spark's own rule, which is off unless sort-merge joins are dispreferred globally.
-    """
-    spark = dims.sparkSession
-    size = planned_bytes(dims)
-    limit = max(broadcast_limit(spark), 10 << 20) * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return size <= limit and 3 * size <= planned_bytes(facts)
 
 
 def skew_safe_join(
@@ -54,50 +27,53 @@ def skew_safe_join(
 ) -> DataFrame:
     """Equi-join of a large frame with one row per key, safe when one key holds a large share of the rows.
 
-    Hot keys are counted exactly (map-side combined counts of the key column alone). There are fewer than
-    ``1 / hot_share`` of them whatever the data, so that list may be broadcast; by default a key is hot when it
-    exceeds an average shuffle partition. Each hot key is cut into slices in proportion to its share; facts go
-    to one slice, the matching dims row is copied to every slice. Results do not depend on the slicing.
-    ``salting=None`` decides from planned sizes.
+    Hot keys are counted exactly (map-side combined counts of the key column alone): those with more than
+    SLICE_ROWS rows, or with ``salting=True`` those above ``hot_share`` of all rows, of which there are fewer than
+    ``1 / hot_share``. Each hot key is cut into slices in proportion to its rows; facts go to one slice, the
+    matching dims row is copied to every slice. Without a hot key, or with ``salting=False``, it is a plain join.
+    Results do not depend on the slicing.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, got {how!r}")
-    broadcast = _broadcastable(dims)
-    hint = (lambda side: side) if broadcast or not _fits_hash_join(facts, dims) else (lambda side: side.hint("shuffle_hash"))
-    if salting is None:
-        salting = not broadcast and planned_bytes(facts) > ONE_TASK_BYTES
-    if not salting:
-        return facts.join(hint(dims), key, how)
+    if salting is False:
+        return facts.join(dims, key, how)
 
-    if hot_share is None:
-        hot_share = 1.0 / max(MIN_SLICES, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sizes = facts.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    limit = sizes.agg(F.sum("_rows").alias("_all")).select(F.col("_all") * hot_share).scalar()
+    if salting is None:
+        limit = F.lit(SLICE_ROWS)
+    else:
+        share = hot_share or 1.0 / max(MIN_SLICES, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        limit = sizes.agg(F.sum("_rows").alias("_all")).select(F.col("_all") * share).scalar()
     hot = sizes.where(F.col(key).isNotNull() & (F.col("_rows") > limit)).select(
         key, F.ceil(F.col("_rows") / limit).cast("int").alias("_slices")
     )
+    if salting is None:
+        hot = materialize(hot)
+        count = hot.count()
+        if not count:
+            return facts.join(dims, key, how)
+        lookup = F.broadcast(hot) if count <= FEW_KEYS else hot
+    else:
+        lookup = F.broadcast(hot)
     # Content plus map partition: distinct rows spread by content, exact copies by where they were read.
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns], F.spark_partition_id()), F.col("_slices"))
     sliced_facts = (
-        facts.join(F.broadcast(hot), key, "left")
+        facts.join(lookup, key, "left")
         .withColumn("_slice", F.when(F.col("_slices").isNull(), 0).otherwise(spread).cast("int"))
         .drop("_slices")
     )
     sliced_dims = (
-        dims.join(F.broadcast(hot), key, "left")
+        dims.join(lookup, key, "left")
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
         .drop("_slices")
     )
-    return sliced_facts.join(hint(sliced_dims), [key, "_slice"], how).drop("_slice")
+    return sliced_facts.join(sliced_dims, [key, "_slice"], how).drop("_slice")
 
 
 def _cuts(counts: DataFrame, order: str, buckets: int | None) -> list[float]:
     """Inner bucket limits near the quantiles of ``order``; none when one task can order everything."""
     if buckets is None:
-        if planned_bytes(counts) <= BUCKET_BYTES:
-            return []
-        # Estimates can be far too high: count before paying for quantiles.
-        buckets = min(MAX_BUCKETS, -(-counts.count() // BUCKET_ROWS))
+        buckets = -(-counts.count() // BUCKET_ROWS)
     if buckets <= 1:
         return []
     shares = [i / buckets for i in range(1, buckets)]
@@ -118,6 +94,8 @@ def running_counts(
     the cuts fall does not change the result, and they are fixed as literals before the plan is built.
     """
     by = list(by or [])
+    if buckets is None:
+        counts = materialize(counts)  # counted, cut and read again: the source is scanned once
     cuts = _cuts(counts, order, buckets)
     if not cuts:
         before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staywise.functions.columns import ref, require_columns
-from staywise.functions.scale import running_counts
+from staywise.functions.scale import materialize, running_counts
 from staywise.functions.vocab import DECILE_EDGES
 
 CLIP = 1e-15
@@ -151,7 +151,7 @@ def calibration_bins(
         raise ValueError("n_bins must be at least 2")
     require_columns(frame, [label, score], "calibration table")
     usable = frame.where(ref(label).isNotNull() & ref(score).cast("double").between(0.0, 1.0))
-    counts = score_counts(usable, label, score, clip=None)
+    counts = materialize(score_counts(usable, label, score, clip=None))
     total = counts.agg(F.sum("n").alias("t")).first().t
     if not total:
         raise ValueError("no valid rows for a calibration table")
@@ -195,21 +195,17 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
     )
 
 
-def reliability_deciles(frame: DataFrame, label: str, score: str, keep_empty: bool = False) -> DataFrame:
-    """Fixed-width bins 0..9 of the score: bin, mean_pred, mean_actual, count. Empty bins only on request."""
+def reliability_deciles(frame: DataFrame, label: str, score: str) -> DataFrame:
+    """Fixed-width bins 0..9 of the score that hold rows: bin, mean_pred, mean_actual, count."""
     require_columns(frame, [label, score], "reliability table")
     p = ref(score).cast("double")
     # Compared with the edge values themselves: floor(10 p) lands in the wrong bin at 0.3, 0.6 and 0.7.
     bin_of = sum((p >= F.lit(edge)).cast("int") for edge in DECILE_EDGES)
-    table = (
+    return (
         frame.select(bin_of.alias("bin"), p.alias("p"), ref(label).cast("double").alias("y"))
         .groupBy("bin")
         .agg(F.avg("p").alias("mean_pred"), F.avg("y").alias("mean_actual"), F.count(F.lit(1)).alias("count"))
     )
-    if not keep_empty:
-        return table
-    every = frame.sparkSession.range(len(DECILE_EDGES) + 1).select(F.col("id").cast("int").alias("bin"))
-    return every.join(table, "bin", "left").fillna(0, ["count"])
 
 
 def calibration_line(counts: DataFrame) -> tuple[float, float]:
@@ -276,7 +272,7 @@ def _ranking(counts: DataFrame, buckets: int | None) -> DataFrame:
 
 def model_metrics(frame: DataFrame, label: str, score: str, buckets: int | None = None) -> DataFrame:
     """One row with the six holdout metrics: ranking metrics plus calibration_intercept and calibration_slope."""
-    counts = score_counts(frame, label, score, clip=None)
+    counts = materialize(score_counts(frame, label, score, clip=None))
     intercept, slope = calibration_line(counts)
     return _ranking(counts, buckets).select(
         "*",

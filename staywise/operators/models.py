@@ -13,10 +13,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from staywise.functions.columns import ref, require_columns
-from staywise.functions.scale import ensure_checkpoint_dir
+from staywise.functions.scale import ensure_checkpoint_dir, materialize, running_counts
 from staywise.operators.evaluation import model_metrics, reliability_deciles
 
 LABEL, SCORE = "outcome", "predicted_risk"
@@ -75,20 +74,21 @@ def exact_medians(frame: DataFrame, columns: Sequence[str]) -> dict[str, float |
         [(r.i, r.q[0], r.q[1], (r.n + 1) // 2, r.n // 2 + 1) for r in limits],
         "i int, low double, high double, first bigint, second bigint",
     )
-    counts = (
+    counts = materialize(
         cells.join(F.broadcast(wanted), "i")
         .where("v <= high")
-        .groupBy("i", "first", "second", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v"))
+        .groupBy("i", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = Window.partitionBy("i").orderBy(F.col("v").asc_nulls_first())
-    last = F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    start = F.col("last") - F.col("n")
+    below = counts.where("v is null").select("i", F.col("n").alias("below"))
+    ranked = running_counts(counts.where("v is not null").select("i", "v", "n"), "v", ["n"], ["i"])
+    placed = ranked.join(F.broadcast(below), "i", "left").join(F.broadcast(wanted), "i")
+    start = F.coalesce("below", F.lit(0)) + F.col("below_n")
 
     def at(rank: str):
-        return F.max(F.when((F.col(rank) > start) & (F.col(rank) <= F.col("last")), F.col("v"))).alias(rank)
+        return F.max(F.when((F.col(rank) > start) & (F.col(rank) <= start + F.col("n")), F.col("v"))).alias(rank)
 
-    for row in counts.withColumn("last", last).groupBy("i").agg(at("first"), at("second")).collect():
+    for row in placed.groupBy("i").agg(at("first"), at("second")).collect():
         if row["first"] is None or row["second"] is None:
             raise RuntimeError(f"median of {columns[row.i]} lies outside its bracket")
         medians[columns[row.i]] = (row["first"] + row["second"]) / 2
@@ -142,7 +142,7 @@ def _run(stages: Sequence, frame: DataFrame) -> DataFrame:
     return frame
 
 
-def _class_weights(y: str, n: int, pos: int):
+def class_weights(y: str, n: int, pos: int):
     """Positives weigh as much as all negatives together; the weights sum to twice the negatives."""
     return F.when(F.col(y) == 1, F.lit((n - pos) / max(pos, 1))).otherwise(F.lit(1.0))
 
@@ -187,7 +187,7 @@ def fit_logistic(
         )
         scaled = _run([scaler, rescale], ready)
         if reweight:
-            scaled = scaled.withColumn("__w", _class_weights("__y", size.n, size.pos))
+            scaled = scaled.withColumn("__w", class_weights("__y", size.n, size.pos))
             estimator = estimator.setWeightCol("__w")
         return PipelineModel(stages=[*stages, scaler, rescale, estimator.fit(scaled)])
     finally:
@@ -231,7 +231,7 @@ def fit_boosted_trees(
     )
     ready = _run(stages, train).select("__features", ref(label).cast("double").alias("__y"))
     if is_unbalance:
-        ready = ready.withColumn("__w", _class_weights("__y", counted.n, counted.pos))
+        ready = ready.withColumn("__w", class_weights("__y", counted.n, counted.pos))
         estimator = estimator.setWeightCol("__w")
     ready = ready.persist()
     try:
@@ -247,8 +247,8 @@ def predict(model: PipelineModel, frame: DataFrame, score: str = SCORE) -> DataF
 
 
 def evaluate(name: str, model: PipelineModel, test: DataFrame, label: str = LABEL) -> ModelResult:
-    """Score the holdout once and keep it for the metrics."""
-    predictions = predict(model, test).persist()
+    """Score the holdout once and write it down: metrics, tables and reports read it again."""
+    predictions = materialize(predict(model, test))
     row = model_metrics(predictions, label, SCORE).first()
     metrics = {m: float(row[m]) for m in METRICS}
     return ModelResult(name, model, predictions, metrics, reliability_deciles(predictions, label, SCORE))

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from staywise.functions.columns import ref
 from staywise.sources.catalog import TableCatalog
 
-INSPECTED_COLUMNS = 50
+def table_profile(catalog: TableCatalog, name: str, max_columns: int | None = None) -> DataFrame:
+    """One row: sizes, columns and a map of null counts over all columns, or the first ``max_columns`` of them.
 
-
-def table_profile(catalog: TableCatalog, name: str, max_columns: int = INSPECTED_COLUMNS) -> DataFrame:
-    """One row: sizes, columns and a map of null counts over the first ``max_columns`` columns. NaN is not null."""
+    NaN is not null.
+    """
     frame = catalog[name]
     inspected = frame.columns[:max_columns]
     counted = frame.agg(
@@ -33,12 +33,12 @@ def table_profile(catalog: TableCatalog, name: str, max_columns: int = INSPECTED
         F.lit(len(frame.columns)).alias("n_columns"),
         F.array(*[F.lit(c) for c in frame.columns]).cast("array<string>").alias("columns"),
         nulls.alias("missing_first_columns"),
-        F.lit(len(frame.columns) > max_columns).alias("missing_truncated"),
+        F.lit(len(inspected) < len(frame.columns)).alias("missing_truncated"),
         F.lit(len(inspected)).alias("missing_inspected"),
     )
 
 
-def qc_report(catalog: TableCatalog, max_columns: int = INSPECTED_COLUMNS) -> DataFrame:
+def qc_report(catalog: TableCatalog, max_columns: int | None = None) -> DataFrame:
     """Profiles of all tables in name order."""
     return reduce(DataFrame.unionByName, [table_profile(catalog, name, max_columns) for name in catalog])
 

@@ -193,13 +193,16 @@ def build_sequences(
         fields = [(HOUR, "int"), *[(f"v_{c}", "double") for c in numeric], *[(f"s_{c}", "int") for c in numeric + flags]]
         kind = ", ".join(f"`{name}`: {type_}" for name, type_ in fields)
         stays = stays.select(STAY, F.lit(None).cast(f"array<struct<{kind}>>").alias("cells"))
-    hours = F.sequence(F.lit(0), F.lit(int(window_hours) - 1))
+    # Hours with a cell and hours without one, together every hour once: linear in the window.
+    nothing = F.lit(None).cast(stays.schema["cells"].dataType.elementType)
+    cells = F.coalesce("cells", F.array().cast(stays.schema["cells"].dataType))
+    empty = F.array_except(F.sequence(F.lit(0), F.lit(int(window_hours) - 1)), F.transform(cells, lambda c: c[HOUR].cast("int")))
     grid = stays.select(
         STAY,
         F.inline(
-            F.transform(
-                hours,
-                lambda h: F.struct(h.alias(HOUR), F.get(F.filter("cells", lambda c: c[HOUR] == h), 0).alias("cell")),
+            F.concat(
+                F.transform(cells, lambda c: F.struct(c[HOUR].cast("int").alias(HOUR), c.alias("cell"))),
+                F.transform(empty, lambda h: F.struct(h.alias(HOUR), nothing.alias("cell"))),
             )
         ),
     )

@@ -6,7 +6,6 @@ held-out side. Only the cut hash is needed, so the rows are classified by one co
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import defaultdict
 from dataclasses import dataclass
@@ -16,13 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from staywise.functions.columns import hash_fraction, hash_hex, ref, require_columns
+from staywise.functions.scale import materialize
 
 DEFAULT_SEED = "stable-split-v1"
 STRATIFY_ATTEMPTS = 32
-# Groups are counted per leading hash digits; 16**3 counters per seed are small and evenly filled.
-_PREFIX = 3
-# Groups above 1 / (HEAVY_PARTS * folds) of the rows are placed one by one in group_kfold.
-HEAVY_PARTS = 4096
+# Groups are counted per leading hash digits; so many of them that a task orders about GROUPS_PER_TASK.
+GROUPS_PER_TASK = 500_000
 
 
 def assign_split(
@@ -63,22 +61,31 @@ class _Cut:
 
 
 def _group_sizes(frame: DataFrame, group: str, label: str | None) -> DataFrame:
+    """(g, rows, positives) per group, written once: the cuts read it several times."""
     positives = F.sum(ref(label).cast("bigint")) if label else F.lit(0).cast("bigint")
-    return frame.groupBy(ref(group).alias("g")).agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(positives, F.lit(0)).alias("positives")
+    return materialize(
+        frame.groupBy(ref(group).alias("g")).agg(
+            F.count(F.lit(1)).alias("rows"), F.coalesce(positives, F.lit(0)).alias("positives")
+        )
     )
 
 
+def _digits(groups: int) -> int:
+    """Leading hash digits that part so many groups into runs one task orders."""
+    return max(1, math.ceil(math.log(max(1, groups) / GROUPS_PER_TASK, 16)))
+
+
 def _cuts(sizes: DataFrame, seeds: list[int], share: float) -> tuple[list[_Cut], int, int, int]:
     """Exact cut per seed, plus (groups, rows, positives) overall.
 
-    First job: totals per (seed, hash prefix), at most 4096 per seed, tell which prefix holds the cut. Second
-    job: only the groups under those prefixes are ordered, one window per seed.
+    First job: totals per (seed, hash prefix) tell which prefix holds the cut; the depth of the prefix follows the
+    number of groups. Second job: only the groups under those prefixes are ordered, one window per seed.
     """
+    digits = max(2, _digits(sizes.count()))
     hashed = sizes.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumn(
         "h", F.sha2(F.concat(F.col("seed").cast("string"), F.lit(":"), F.coalesce(F.col("g").cast("string"), F.lit(""))), 256)
     )
-    hashed = hashed.withColumn("prefix", F.substring("h", 1, _PREFIX))
+    hashed = hashed.withColumn("prefix", F.substring("h", 1, digits))
     per_prefix = defaultdict(list)
     for row in (
         hashed.groupBy("seed", "prefix")
@@ -193,56 +200,48 @@ def three_way_split(
     )
 
 
-def _place_heavy(sizes: list[tuple], n_splits: int) -> tuple[dict, list[int]]:
-    """Largest group first onto the lightest fold (lowest number on ties)."""
-    folds = [(0, i) for i in range(n_splits)]
-    placed = {}
-    for group, rows in sizes:
-        load, fold = heapq.heappop(folds)
-        placed[group] = fold
-        heapq.heappush(folds, (load + rows, fold))
-    return placed, [load for load, _ in sorted(folds, key=lambda f: f[1])]
-
-
 def group_kfold(frame: DataFrame, group: str, n_splits: int = 5, fold_column: str = "fold") -> DataFrame:
     """Add the test fold 0..n_splits-1 of each row; whole groups, folds balanced by rows, no seed.
 
-    Groups above 1/(4096 * n_splits) of the rows - fewer than 4096 * n_splits of them, whatever the data - are
-    placed greedily and looked up through a broadcast. The many small ones fill the remaining room by hash.
+    Groups are ranked by rows, largest first, and by the hash of their text among equals; the folds are dealt
+    forwards and backwards in turn along the ranks. The rank is exact and needs no global order: groups of equal
+    size are counted per leading hash digits, running totals of these counts give the offsets, and only the groups
+    under one size and one run of digits are ordered in a task.
     """
     if n_splits < 2:
         raise ValueError(f"n_splits must be at least 2, got {n_splits}")
     require_columns(frame, [group], "k-fold")
-    sizes = frame.groupBy(ref(group).alias("g")).agg(F.count(F.lit(1)).alias("rows"))
-    total = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("rows")).first()
-    if total.groups == 0:
+    text = F.coalesce(ref(group).cast("string"), F.lit(""))
+    sizes = materialize(
+        frame.groupBy(ref(group).alias("_g"), hash_hex(text, DEFAULT_SEED).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    )
+    # One row per distinct size: fewer than the square root of twice the rows.
+    per_size = sizes.groupBy("_n").agg(F.count(F.lit(1)).alias("_groups"))
+    total = per_size.agg(F.sum("_groups").alias("groups"), F.max("_groups").alias("most")).first()
+    if not total.groups:
         raise ValueError("cannot split empty data")
     if total.groups < n_splits:
         raise ValueError(f"cannot make {n_splits} folds from {total.groups} groups")
-    limit = total.rows / (HEAVY_PARTS * n_splits)
-    heavy = sizes.where(F.col("rows") > limit).collect()
-    # Ties are ordered by the text of the group so that the result does not depend on row order.
-    ranked = sorted(((r.g, r.rows) for r in heavy), key=lambda r: (-r[1], str(r[0])))
-    placed, loads = _place_heavy(ranked, n_splits)
-
-    light = total.rows - sum(loads)
-    room = [max(0.0, total.rows / n_splits - load) for load in loads]
-    share = hash_fraction(F.coalesce(ref(group).cast("string"), F.lit("")), DEFAULT_SEED)
-    by_hash = F.lit(n_splits - 1)
-    if light and sum(room):
-        edges = [sum(room[: i + 1]) / sum(room) for i in range(n_splits)]
-        last = max(i for i in range(n_splits) if room[i] > 0)
-        by_hash = F.lit(last)
-        for fold in reversed(range(last)):
-            by_hash = F.when(share < F.lit(edges[fold]), fold).otherwise(by_hash)
-    if not placed:
-        return frame.withColumn(fold_column, by_hash.cast("int"))
-    kind = frame.schema[group].dataType
-    lookup = frame.sparkSession.createDataFrame(
-        list(placed.items()), f"_g {kind.simpleString()}, _fold int"
+    digits = _digits(total.most)
+    larger = Window.orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_size.select("_n", F.coalesce(F.sum("_groups").over(larger), F.lit(0)).alias("_start"))
+    placed = sizes.withColumn("_p", F.substring("_h", 1, digits))
+    before = Window.partitionBy("_n").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("_n", "_p").agg(F.count(F.lit(1)).alias("_groups"))
+    offsets = parts.select("_n", "_p", F.coalesce(F.sum("_groups").over(before), F.lit(0)).alias("_offset")).join(starts, "_n")
+    # Equal hashes mean equal texts: such groups (null and the empty text) keep a fixed order by being null or not.
+    within = Window.partitionBy("_n", "_p").orderBy("_h", F.col("_g").isNull())
+    rank = F.col("_start") + F.col("_offset") + F.row_number().over(within) - 1
+    dealt = F.pmod(rank, F.lit(n_splits))
+    forwards = F.pmod(F.floor(rank / n_splits), F.lit(2)) == 0
+    folds = materialize(
+        placed.join(offsets, ["_n", "_p"]).select(
+            "_g", F.when(forwards, dealt).otherwise(n_splits - 1 - dealt).cast("int").alias("_fold")
+        )
     )
-    joined = frame.join(F.broadcast(lookup), ref(group).eqNullSafe(F.col("_g")), "left")
-    return joined.withColumn(fold_column, F.coalesce("_fold", by_hash).cast("int")).drop("_g", "_fold")
+    # Both sides are plain shuffles, so that adaptive execution may split a hot group.
+    joined = frame.join(folds, ref(group).eqNullSafe(F.col("_g")))
+    return joined.select(*[ref(c) for c in frame.columns if c != fold_column], F.col("_fold").alias(fold_column))
 
 
 def split_summary(

@@ -190,6 +190,13 @@ def in_window(rows: DataFrame, anchors: DataFrame, hours: float, salting: bool |
     return skew_safe_join(rows, starts, STAY, salting=salting).where(inside)
 
 
+def anchors_of(anchors: DataFrame, cohort: DataFrame, what: str) -> DataFrame:
+    """Anchors of the cohort only, so that events of other stays end at the join."""
+    require_columns(cohort, [STAY], "cohort")
+    require_same_key_type(cohort, anchors, STAY, what)
+    return anchors.join(cohort.select(STAY).distinct(), STAY, "left_semi")
+
+
 def windowed_stats(
     catalog: TableCatalog,
     table: str,
@@ -204,7 +211,8 @@ def windowed_stats(
     rows = channel_rows(catalog, ChannelSource(table, prefix), anchors)
     frame = catalog[table]
     require_parseable(frame, value_column(frame, table), table, max_unparseable_fraction)
-    stats = in_window(rows, anchors, window_hours, salting).groupBy(STAY).agg(*_stat_columns(f"{prefix}_"))
+    wanted = anchors if cohort is None else anchors_of(anchors, cohort, table)
+    stats = in_window(rows, wanted, window_hours, salting).groupBy(STAY).agg(*_stat_columns(f"{prefix}_"))
     return stats if cohort is None else _onto_cohort(stats, cohort, [f"{prefix}_n"], table)
 
 
@@ -223,7 +231,7 @@ def channel_matrix(
     """
     codes = channel_codes(sources)
     wide = (
-        in_window(rows, anchors, window_hours, salting)
+        in_window(rows, anchors_of(anchors, base, "cohort"), window_hours, salting)
         .groupBy(STAY)
         .pivot("channel", list(codes.values()))
         .agg(*_stat_columns())

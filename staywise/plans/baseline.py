@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
@@ -20,6 +19,7 @@ from staywise.operators.models import (
     LABEL,
     SCORE,
     ModelResult,
+    better_model,
     check_training_data,
     evaluate,
     fit_boosted_trees,
@@ -45,31 +45,56 @@ class RunReport:
     models: dict[str, ModelResult]
     warnings: tuple[str, ...] = field(default=())
     training: dict[str, Any] = field(default_factory=dict)
+    chosen: str | None = None
 
 
-def labelled_cohort(
-    catalog: TableCatalog,
-    spec: CohortSpec,
-    outcome: str,
-    include_hospice: bool,
-    los_threshold_hours: float,
-    window_hours: float,
-    censoring_guard: bool,
-) -> tuple[DataFrame, dict[str, Any]]:
+@dataclass(frozen=True)
+class RunConfig:
+    """What both jobs are asked for; the report repeats it."""
+
+    cohort_spec: CohortSpec = field(default_factory=CohortSpec)
+    window_hours: float = 24.0
+    seed: int = 42
+    outcome: str = "mortality"
+    include_hospice: bool = False
+    los_threshold_hours: float = 168.0
+    censoring_guard: bool = False
+
+
+@dataclass(frozen=True)
+class FlatConfig(RunConfig):
+    test_size: float = 0.2
+    feature_set: str = "basic"
+    stratify: bool = False
+    trees: int = 200
+
+
+@dataclass(frozen=True)
+class SequenceConfig(RunConfig):
+    window_hours: int = 24
+    censoring_guard: bool = True
+    include_mask: bool = False
+    use_pos_weight: bool = False
+    penalties: tuple[float, ...] = (0.01, 0.1, 1.0)
+    patience: int = 3
+    max_iter: int = 1000
+
+
+def labelled_cohort(catalog: TableCatalog, config: RunConfig) -> tuple[DataFrame, dict[str, Any]]:
     """Checkpointed (patient, stay, age, outcome) and the waterfall; fails on an empty or one-class result."""
-    labels = outcome_labels(catalog, outcome, include_hospice, los_threshold_hours)
-    cohort, waterfall = cohort_with_waterfall(catalog, spec)
+    labels = outcome_labels(catalog, config.outcome, config.include_hospice, config.los_threshold_hours)
+    cohort, waterfall = cohort_with_waterfall(catalog, config.cohort_spec)
     steps = waterfall.first().asDict()
     if steps["final"] == 0:
         raise ValueError(f"the cohort is empty after its filters: {steps}")
     require_same_key_type(cohort, labels, STAY, "cohort and labels")
     labelled = cohort.join(labels, STAY)
-    if censoring_guard:
-        labelled = drop_short_stays(labelled, catalog, window_hours)
+    if config.censoring_guard:
+        labelled = drop_short_stays(labelled, catalog, config.window_hours)
     labelled = materialize(labelled)
     found = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(LABEL).cast("bigint")).alias("pos")).first()
     if found.n == 0:
-        raise ValueError("no cohort stay has a label" + (" and covers the window" if censoring_guard else ""))
+        raise ValueError("no cohort stay has a label" + (" and covers the window" if config.censoring_guard else ""))
     require_two_classes(found.pos, found.n)
     return labelled, steps
 
@@ -85,52 +110,28 @@ def _sides(frame: DataFrame) -> dict[str, dict[str, float]]:
     }
 
 
-def run_baseline(
-    catalog: TableCatalog,
-    spec: CohortSpec | None = None,
-    window_hours: float = 24.0,
-    test_size: float = 0.2,
-    seed: int = 42,
-    include_hospice: bool = False,
-    feature_set: str = "basic",
-    outcome: str = "mortality",
-    los_threshold_hours: float = 168.0,
-    censoring_guard: bool = False,
-    stratify: bool = False,
-    trees: int = 200,
-) -> RunReport:
+def run_baseline(catalog: TableCatalog, spec: CohortSpec | None = None, **options) -> RunReport:
     """Cohort, labels, windowed features, patient-disjoint split, boosted trees and logistic regression.
 
-    The model frame is checkpointed once: the many passes of the fits never go back to the event tables.
+    ``options`` are the fields of FlatConfig. The model frame is checkpointed once: the many passes of the fits never
+    go back to the event tables.
     """
-    spec = spec or CohortSpec()
-    config = {
-        "cohort_spec": asdict(spec),
-        "window_hours": window_hours,
-        "test_size": test_size,
-        "seed": seed,
-        "include_hospice": include_hospice,
-        "feature_set": feature_set,
-        "outcome": outcome,
-        "los_threshold_hours": los_threshold_hours,
-        "censoring_guard": censoring_guard,
-        "stratify": stratify,
-        "trees": trees,
-    }
-    labelled, steps = labelled_cohort(
-        catalog, spec, outcome, include_hospice, los_threshold_hours, window_hours, censoring_guard
-    )
-    matrix = feature_matrix(catalog, labelled, cohort_anchors(catalog, labelled), window_hours, feature_set)
+    config = FlatConfig(spec or CohortSpec(), **options)
+    labelled, steps = labelled_cohort(catalog, config)
+    matrix = feature_matrix(catalog, labelled, cohort_anchors(catalog, labelled), config.window_hours, config.feature_set)
     if not matrix.features:
         raise ValueError(f"no usable feature table: {list(matrix.warnings)}")
     full = materialize(model_frame(matrix, labelled))
-    full = group_train_test_split(full, PATIENT, test_size, seed, LABEL, stratify)
+    full = group_train_test_split(full, PATIENT, config.test_size, config.seed, LABEL, config.stratify)
     check_training_data(full, "split")
     train, test = full.where("split = 'train'"), full.where("split = 'test'")
-    boosted = evaluate("boosted_trees", fit_boosted_trees(train, matrix.features, seed=seed, trees=trees), test)
+    trees = fit_boosted_trees(train, matrix.features, seed=config.seed, trees=config.trees)
+    boosted = evaluate("boosted_trees", trees, test)
     linear = evaluate("logistic", fit_logistic(train, matrix.features), test)
+    chosen = better_model(boosted, linear)
     return RunReport(
-        "baseline", config, steps, matrix.features, _sides(full), {m.name: m for m in (boosted, linear)}, matrix.warnings
+        "baseline", asdict(config), steps, matrix.features, _sides(full), {m.name: m for m in (boosted, linear)},
+        matrix.warnings, chosen=chosen.name,
     )
 
 
@@ -142,56 +143,26 @@ def flatten_sequences(sequences: SequenceFrame, include_mask: bool = False) -> D
     return per_stay.select(STAY, array_to_vector(F.flatten(F.col("steps.row"))).alias("x"))
 
 
-def run_sequence_baseline(
-    catalog: TableCatalog,
-    spec: CohortSpec | None = None,
-    window_hours: int = 24,
-    seed: int = 42,
-    outcome: str = "mortality",
-    include_hospice: bool = False,
-    los_threshold_hours: float = 168.0,
-    censoring_guard: bool = True,
-    include_mask: bool = False,
-    use_pos_weight: bool = False,
-    penalties: Sequence[float] = (0.01, 0.1, 1.0),
-    patience: int = 3,
-    max_iter: int = 200,
-) -> RunReport:
+def run_sequence_baseline(catalog: TableCatalog, spec: CohortSpec | None = None, **options) -> RunReport:
     """Hourly sequences, 70/15/15 split by patient, model choice on validation AUROC, metrics on the test side.
 
-    Candidates differ in the inverse penalty strength and are tried in order; the first of equals stays, and
-    ``patience`` candidates without a strict improvement end the search.
+    ``options`` are the fields of SequenceConfig. Candidates differ in the inverse penalty strength and are tried in
+    order; the first of equals stays, and ``patience`` candidates without a strict improvement end the search.
     """
-    spec = spec or CohortSpec()
-    config = {
-        "cohort_spec": asdict(spec),
-        "window_hours": window_hours,
-        "seed": seed,
-        "outcome": outcome,
-        "include_hospice": include_hospice,
-        "los_threshold_hours": los_threshold_hours,
-        "censoring_guard": censoring_guard,
-        "include_mask": include_mask,
-        "use_pos_weight": use_pos_weight,
-        "penalties": list(penalties),
-        "patience": patience,
-        "max_iter": max_iter,
-    }
-    labelled, steps = labelled_cohort(
-        catalog, spec, outcome, include_hospice, los_threshold_hours, window_hours, censoring_guard
-    )
-    sequences = build_sequences(catalog, labelled, cohort_anchors(catalog, labelled), window_hours)
-    flat = flatten_sequences(sequences, include_mask)
+    config = SequenceConfig(spec or CohortSpec(), **options)
+    labelled, steps = labelled_cohort(catalog, config)
+    sequences = build_sequences(catalog, labelled, cohort_anchors(catalog, labelled), config.window_hours)
+    flat = flatten_sequences(sequences, config.include_mask)
     full = materialize(labelled.select(STAY, PATIENT, LABEL).join(flat, STAY))
-    full = three_way_split(full, PATIENT, seed)
+    full = three_way_split(full, PATIENT, config.seed)
     check_training_data(full, "split")
     train, validation, test = (full.where(F.col("split") == s) for s in ("train", "validation", "test"))
 
     best = best_area = best_penalty = None
     tried = stale = 0
-    for penalty in penalties:
+    for penalty in config.penalties:
         candidate = fit_logistic(
-            train, "x", penalty=penalty, reweight=use_pos_weight, tol=1e-6, max_iter=max_iter
+            train, "x", penalty=penalty, reweight=config.use_pos_weight, tol=1e-6, max_iter=config.max_iter
         )
         row = auroc(predict(candidate, validation), LABEL, SCORE).first()
         area = 0.5 if row.auroc is None else row.auroc  # one class in the validation fold: no preference
@@ -200,10 +171,11 @@ def run_sequence_baseline(
             best, best_area, best_penalty, stale = candidate, area, penalty, 0
         else:
             stale += 1
-            if stale >= patience:
+            if stale >= config.patience:
                 break
     result = evaluate("sequence_logistic", best, test)
     training = {"candidates_tried": tried, "best_penalty": best_penalty, "best_validation_auroc": best_area}
     return RunReport(
-        "sequence-baseline", config, steps, sequences.channels, _sides(full), {result.name: result}, (), training
+        "sequence-baseline", asdict(config), steps, sequences.channels, _sides(full), {result.name: result}, (), training,
+        result.name,
     )

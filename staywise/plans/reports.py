@@ -6,6 +6,7 @@ import json
 import math
 from collections.abc import Mapping, Sequence
 from datetime import UTC, datetime
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,7 @@ from staywise.operators.evaluation import (
     expected_calibration_error,
     subgroup_metrics,
 )
+from staywise.operators.models import calibration_verdict
 from staywise.plans.baseline import RunReport
 
 
@@ -61,6 +63,18 @@ def evaluation_report(
     }
 
 
+def long_report(sections: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]]) -> DataFrame:
+    """All sections as typed rows (section, key, metric, value); ``keys`` names the columns that tell rows apart."""
+    frames = []
+    for name, frame in sections.items():
+        own = list(keys.get(name, ()))
+        numbers = [f.name for f in frame.schema if isinstance(f.dataType, T.NumericType) and f.name not in own]
+        cells = F.array(*[F.struct(F.lit(c).alias("metric"), ref(c).cast("double").alias("value")) for c in numbers])
+        key = F.concat_ws("=", *[ref(c).cast("string") for c in own]) if own else F.lit("")
+        frames.append(nan_to_null(frame).select(F.lit(name).alias("section"), key.alias("key"), F.inline(cells)))
+    return reduce(DataFrame.unionByName, frames)
+
+
 def decision_report(
     predictions: DataFrame, label: str, score: str, thresholds: Sequence[float] | None = None
 ) -> dict[str, DataFrame]:
@@ -88,6 +102,7 @@ def run_payload(report: RunReport, data_root: str, code_version: str | None = No
     models = {
         name: {
             "metrics": result.metrics,
+            "calibration": calibration_verdict(result.metrics),
             # At most ten rows.
             "calibration_table": [r.asDict() for r in result.reliability.orderBy("bin").collect()],
         }
@@ -102,6 +117,7 @@ def run_payload(report: RunReport, data_root: str, code_version: str | None = No
             "feature_names": list(report.features),
             "split": report.split,
             "models": models,
+            "chosen_model": report.chosen,
             "training": report.training,
             "warnings": list(report.warnings),
             "generated_at": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"),

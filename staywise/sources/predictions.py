@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from staywise.functions.columns import ref
+
 
+def read_predictions(spark: SparkSession, path: str, numeric: Sequence[str] = ()) -> DataFrame:
+    """Parquet or CSV with header, chosen by suffix.
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet or CSV with header, chosen by suffix. CSV types come from a separate pass over the file."""
+    CSV is read in one pass: every column is text, and those named in ``numeric`` (label and score) become doubles,
+    null where the text is no number.
+    """
     lowered = str(path).rstrip("/").lower()
     if lowered.endswith(".parquet"):
         return spark.read.parquet(str(path))
     if lowered.endswith(".csv"):
-        return spark.read.csv(str(path), header=True, inferSchema=True)
+        frame = spark.read.csv(str(path), header=True)
+        return frame.select(*[ref(c).try_cast("double").alias(c) if c in numeric else ref(c) for c in frame.columns])
     raise ValueError(f"unsupported prediction file {path}; expected .csv or .parquet")

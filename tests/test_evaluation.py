@@ -18,7 +18,7 @@ from staywise.operators.evaluation import (
     subgroup_metrics,
 )
 
-SMALL = [(0, 0.1), (0, 0.4), (1, 0.35), (1, 0.8)]
+SMALL = [(1, 0.92), (0, 0.55), (1, 0.15), (0, 0.05), (1, 0.6)]
 
 
 def frame_of(spark, rows):
@@ -32,9 +32,10 @@ def pairwise_auroc(rows):
 
 def test_known_metrics(spark):
     row = binary_metrics(frame_of(spark, SMALL), "y", "p").first()
-    assert (row.n, row.prevalence, row.auroc) == (4, 0.5, 0.75)
-    assert row.brier == pytest.approx(0.158125)
-    assert row.log_loss == pytest.approx(-sum(math.log(p if y else 1 - p) for y, p in SMALL) / 4)
+    assert (row.n, row.prevalence) == (5, 0.6)
+    assert row.auroc == pytest.approx(pairwise_auroc(SMALL))
+    assert row.brier == pytest.approx(sum((y - p) ** 2 for y, p in SMALL) / 5)
+    assert row.log_loss == pytest.approx(-sum(math.log(p if y else 1 - p) for y, p in SMALL) / 5)
 
 
 @pytest.mark.parametrize("buckets", [1, 2, 9])
@@ -48,7 +49,7 @@ def test_auroc_with_ties_matches_all_pairs(spark, buckets):
 def test_single_class_unfinite_and_bad_labels(spark):
     assert auroc(frame_of(spark, [(1, 0.1), (1, 0.9)]), "y", "p").first()[0] is None
     dirty = SMALL + [(1, None), (None, 0.3), (1, float("nan")), (0, float("inf")), (0, float("-inf"))]
-    assert binary_metrics(frame_of(spark, dirty), "y", "p").first().n == 4
+    assert binary_metrics(frame_of(spark, dirty), "y", "p").first().n == 5
     with pytest.raises(Exception, match="no finite"):
         binary_metrics(frame_of(spark, [(1, None)]), "y", "p").collect()
     with pytest.raises(Exception, match="binary"):
@@ -145,18 +146,17 @@ def test_reliability_deciles_at_the_edges(spark):
     scores = [0.0, 0.1, 0.3, 0.30000000000000004, 0.6, 0.7, 0.8, 0.9, 1.0]
     found = {r.bin: r["count"] for r in reliability_deciles(frame_of(spark, [(1, s) for s in scores]), "y", "p").collect()}
     assert found == {0: 1, 1: 1, 2: 1, 3: 1, 5: 1, 6: 1, 8: 1, 9: 2}
-    dense = reliability_deciles(frame_of(spark, [(1, 0.05)]), "y", "p", keep_empty=True)
-    assert dense.count() == 10 and dense.where("count = 0").count() == 9
 
 
 def test_subgroups(spark):
     frame = spark.createDataFrame(
-        [(0, 0.1, "F", 1), (1, 0.8, "F", 1), (1, 0.7, "M", 2), (1, 0.9, None, 2)], "y int, p double, sex string, unit int"
+        [(1, 0.33, "x", 7), (0, 0.21, "x", 7), (0, 0.65, "y", 8), (1, 0.44, None, 8), (0, 0.44, "y", 7)], "y int, p double, sex string, unit int"
     )
     found = {(r.subgroup_col, r.subgroup_value): r for r in subgroup_metrics(frame, "y", "p", ["sex", "unit"]).collect()}
-    assert set(found) == {("sex", "F"), ("sex", "M"), ("sex", "Unknown"), ("unit", "1"), ("unit", "2")}
-    assert found["sex", "F"].auroc == 1.0 and found["sex", "F"].warning is None
-    assert found["sex", "M"].auroc is None and found["sex", "M"].warning
+    assert set(found) == {("sex", "x"), ("sex", "y"), ("sex", "Unknown"), ("unit", "7"), ("unit", "8")}
+    assert found["sex", "x"].auroc == 1.0 and found["sex", "x"].warning is None
+    assert found["unit", "8"].auroc == 0.0 and found["unit", "7"].auroc == 0.5
+    assert found["sex", "y"].auroc is None and found["sex", "y"].warning
     assert found["sex", "Unknown"].warning and found["sex", "Unknown"].n == 1
     assert subgroup_metrics(frame, "y", "p", []).count() == 0
     with pytest.raises(ValueError, match="missing"):
@@ -176,12 +176,14 @@ def test_hot_subgroup_in_buckets(spark):
 
 
 def test_decision_curve(spark):
-    frame = frame_of(spark, [(0, 0.1), (0, 0.2), (1, 0.8), (1, 0.9)])
-    rows = decision_curve(frame, "y", "p", [0.2, 0.5]).collect()
-    assert len(rows) == 2 and len(rows[0]) == 8
-    assert [(r.true_positives, r.false_positives) for r in rows] == [(2, 1), (2, 0)]
-    assert rows[0].net_benefit_model == pytest.approx(0.5 - 0.25 * 0.25)
-    assert rows[0].net_benefit_treat_all == pytest.approx(0.5 - 0.5 * 0.25) and rows[0].net_benefit_treat_none == 0.0
+    scored = [(1, 0.45), (0, 0.3), (0, 0.12), (1, 0.07), (0, 0.02), (1, 0.77), (0, 0.3), (1, 0.3)]
+    frame = frame_of(spark, scored)
+    for r in decision_curve(frame, "y", "p", [0.07, 0.3, 0.6]).collect():
+        odds = r.threshold / (1 - r.threshold)
+        tp, fp = (sum(y == wanted and p >= r.threshold for y, p in scored) for wanted in (1, 0))
+        assert (r.n, r.prevalence, r.true_positives, r.false_positives) == (8, 0.5, tp, fp)
+        assert r.net_benefit_model == pytest.approx((tp - fp * odds) / 8)
+        assert r.net_benefit_treat_all == pytest.approx(0.5 - 0.5 * odds) and r.net_benefit_treat_none == 0.0
     assert default_thresholds() == [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5]
     assert decision_curve(frame, "y", "p").count() == 10
     nan = decision_curve(frame_of(spark, [(1, float("nan")), (0, 0.9), (1, None)]), "y", "p", [0.5]).first()

@@ -1,5 +1,6 @@
 import hashlib
 import math
+from collections import Counter
 
 import pytest
 
@@ -101,27 +102,30 @@ def test_kfold_places_each_group_once_and_balances(spark):
         group_kfold(stays_of(spark).limit(0), "p", 5)
 
 
-def test_kfold_gives_a_hot_group_its_own_fold(spark):
-    frame = spark.range(3000).selectExpr("IF(id < 1000, 'hot', CAST(id AS string)) AS p", "id")
-    folds = sides(group_kfold(frame, "p", 5), "fold")
-    hot = next(v for v in folds.values() if "hot" in v)
-    assert set(hot) == {"hot"}
-    assert all(len(v) == 500 for v in folds.values() if v is not hot)
+def serpentine(sizes, k):
+    """Fold of each group: dealt forwards and backwards along (rows descending, hash)."""
+    order = sorted(sizes, key=lambda g: (-sizes[g], hashlib.sha256(f"stable-split-v1:{g}".encode()).hexdigest()))
+    return {g: r % k if r // k % 2 == 0 else k - 1 - r % k for r, g in enumerate(order)}
 
 
-def test_kfold_hashes_many_small_groups(spark, monkeypatch):
+@pytest.mark.parametrize("per_task", [500_000, 3])
+def test_kfold_is_dealt_along_the_exact_rank(spark, monkeypatch, per_task):
     from staywise.operators import splits
 
-    monkeypatch.setattr(splits, "HEAVY_PARTS", 4)
-    frame = spark.range(6000).selectExpr("IF(id < 2000, 'hot', CAST(id AS string)) AS p", "id")
-    found = group_kfold(frame, "p", 5)
-    folds = sides(found, "fold")
-    assert sum(len(v) for v in folds.values()) == 6000
-    assert sum(len(set(v)) for v in folds.values()) == 4001
-    hot = next(v for v in folds.values() if "hot" in v)
-    assert set(hot) == {"hot"}
-    assert all(880 < len(v) < 1120 for v in folds.values() if v is not hot)
-    assert sorted(found.collect()) == sorted(group_kfold(frame.repartition(7), "p", 5).collect())
+    monkeypatch.setattr(splits, "GROUPS_PER_TASK", per_task)  # orders more or fewer groups in a task: same folds
+    frame = spark.range(6000).selectExpr("IF(id < 2000, 'hot', CAST(id % 1500 AS string)) AS p", "id")
+    found = group_kfold(frame, "p", 5).collect()
+    sizes = Counter(r.p for r in found)
+    expected = serpentine(sizes, 5)
+    assert len(found) == 6000 and all(r.fold == expected[r.p] for r in found)
+    assert sorted(found) == sorted(group_kfold(frame.repartition(7), "p", 5).collect())
+
+
+def test_kfold_keeps_null_groups_together(spark):
+    frame = spark.range(60).selectExpr("IF(id % 6 = 0, NULL, CAST(id % 6 AS string)) AS p", "id", "1 AS fold")
+    found = group_kfold(frame, "p", 3)
+    assert found.columns == ["p", "id", "fold"] and found.count() == 60
+    assert len({r.fold for r in found.where("p IS NULL").collect()}) == 1
 
 
 def test_split_summary(spark):
