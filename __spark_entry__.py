@@ -5,6 +5,7 @@ Doubles are rounded to six places and integers widened to bigint on both sides.
 
 from __future__ import annotations
 
+import os
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -565,8 +566,21 @@ except ImportError:
     _LLM, _LLM_SQL = {}, {}
 
 
+def _ready(build: Query) -> Query:
+    """Python workers find the package wherever the session was started."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+        here = str(Path(__file__).resolve().parent)
+        if here not in known:
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([here, *filter(None, known)])
+        return build(spark, folder)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {**_QUERIES, **_LLM}
+    return {name: _ready(build) for name, build in {**_QUERIES, **_LLM}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
