@@ -157,7 +157,8 @@ def near_duplicates(
     lowest = reached.join(first, reached["node"] == first["fp"]).select("root", "node", "first")
     groups = lowest.groupBy("root").agg(F.min("first").alias("component"))
     linked = lowest.join(groups, "root").select(F.col("node").alias("fp"), "component")
-    ends = first.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
+    # Written first: then both sides below are plain shuffles, and a fingerprint of very many copies can be split.
+    ends = materialize(first.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component")))
     return own.join(ends, "fp").select(key, "fp", "component")
 
 
