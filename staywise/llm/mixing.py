@@ -25,7 +25,7 @@ from staywise.llm.common import in_batches, materialize, missing, packed
 
 WEIGHTS, MAX_EPOCHS, SEED = (5, 2, 1), 3, 20
 #: Documents of a source that are visited one after the other.
-BLOCK_DOCS = 20_000
+BLOCK_DOCS = 4000
 #: Sources are looked up by broadcast up to so many, by a shuffled join beyond.
 FEW_SOURCES = 50_000
 
