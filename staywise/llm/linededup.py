@@ -25,13 +25,11 @@ from pyspark.sql.window import Window
 from staywise.llm.common import materialize, missing, packed, tidy
 
 NUM, DEN = 4, 5
-RARITY_BITS = 17
+RARITY_BITS = 18
 #: Parts of the words that are joined one after the other: only one part's shuffle files are on disk at a time.
 ROUNDS = 2
 #: Bytes of the map that tells which lines are to be verified, as a power of two.
 MAP_BITS = 17
-#: A byte of the rarity table holds the logarithm of a bucket's count in steps of a quarter.
-STEPS = 4
 _TRIMMED = " \t\n\x0b\f\r"
 _LOW = (1 << 56) - 1
 
@@ -49,12 +47,12 @@ def _word_hashes(line: Column) -> Column:
 
 
 def rarity_table(documents: DataFrame, text: str = "text") -> bytes:
-    """One byte for each hash bucket: how frequent its words are in all documents."""
+    """A level below 16 for each hash bucket: the logarithm of how often its words stand in all documents, 15 at most."""
     size = 1 << RARITY_BITS
     # Words are parted at spaces and line ends here; other blanks are rare, and an order may be coarse.
     words = documents.select(F.explode(F.split(F.replace(F.col(f"`{text}`"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(size)).cast("int").alias("b")).count()
-    level = F.least(F.lit(127), F.round(STEPS * F.log2(F.col("count") + 1))).cast("long")
+    level = F.least(F.lit(15), F.floor(F.log2("count"))).cast("long")
     return _bytes(counts.select("b", level.alias("value")), size)
 
 
@@ -73,8 +71,13 @@ def _bytes(values: DataFrame, size: int) -> bytes:
 
 def _token(h: Column, rarity: bytes) -> Column:
     """Rarity of the word's bucket, then 56 bits of its hash: a word as a long that sorts by rarity."""
-    levels = F.split(F.lit(",".join(map(str, rarity))), ",").cast("array<bigint>")  # folded to a constant array
-    level = F.get(levels, F.pmod(h, F.lit(1 << RARITY_BITS)).cast("int"))
+    # Sixteen levels to a long, as the table is part of the plan; the text is folded to a constant array.
+    pairs = bytes(a | b << 4 for a, b in zip(rarity[::2], rarity[1::2], strict=True))
+    longs = [int.from_bytes(pairs[i : i + 8], "little", signed=True) for i in range(0, len(pairs), 8)]
+    levels = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
+    bucket = F.pmod(h, F.lit(1 << RARITY_BITS)).cast("int")
+    held = F.get(levels, F.shiftright(bucket, 4))
+    level = F.call_function("shiftright", held, bucket.bitwiseAND(F.lit(15)) * 4).bitwiseAND(F.lit(15))
     return F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
 
 
