@@ -10,6 +10,7 @@ import sys
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -525,6 +526,31 @@ def _fitted(spark, folder, fit):
     return md.predict(model, sides.where("split = 'test'")).select(STAY, "outcome", md.SCORE)
 
 
+@_query
+def logistic_design(spark, folder):
+    """Mean and deviation of each imputed training feature, and the slope of the penalised loss at the fitted weights.
+
+    The loss is strictly convex: weights at which every slope is zero are the solution.
+    """
+    frame = materialize(_model_frame(spark, folder))
+    features = [c for c in frame.columns if c not in (STAY, PATIENT, "outcome")]
+    train = sp.group_train_test_split(frame, PATIENT).where("split = 'train'")
+    model = md.fit_logistic(train, features)
+    scaler, fit = model.stages[-3], model.stages[-1]
+    residual = vector_to_array("probability").getItem(1) - F.col("outcome")
+    slopes = (
+        model.transform(train)
+        .select(residual.alias("r"), F.posexplode(vector_to_array("__features")).alias("i", "z"))
+        .groupBy("i").agg(F.sum(F.col("r") * F.col("z")).alias("g"), F.count(F.lit(1)).alias("n"))
+    )
+    rows = [  # one per feature
+        (features[r.i], float(scaler.mean[r.i]), float(scaler.std[r.i]) * ((r.n - 1) / r.n) ** 0.5,
+         round(abs(r.g + float(fit.coefficients[r.i])) / r.n, 4))
+        for r in slopes.collect()
+    ]
+    return spark.createDataFrame(rows, "feature string, mean double, deviation double, slope double")
+
+
 @_query
 def logistic_baseline(spark, folder):
     return _fitted(spark, folder, md.fit_logistic)

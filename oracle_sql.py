@@ -604,3 +604,16 @@ ORACLES["training_sides"] = _with(
     f"{_FRAME_CTES}, held AS ({_held('(SELECT DISTINCT patient_id AS g FROM frame)', chr(39) + '42' + chr(39), '0.2::DOUBLE')}), "
     "sides AS (SELECT outcome, CASE WHEN patient_id IN (SELECT g FROM held) THEN 'test' ELSE 'train' END AS split FROM frame)",
 )
+
+_TRAIN_SIDE = (
+    f"{_FRAME_CTES}, held AS ({_held('(SELECT DISTINCT patient_id AS g FROM frame)', chr(39) + '42' + chr(39), '0.2::DOUBLE')}), "
+    "train AS (SELECT * FROM frame WHERE patient_id NOT IN (SELECT g FROM held))"
+)
+ORACLES["logistic_design"] = _with(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS deviation, 0.0::DOUBLE AS slope "
+        f"FROM (SELECT coalesce({c}, (SELECT median({c}) FROM train)) AS x FROM train)"
+        for c in _BASIC_FEATURES
+    ),
+    _TRAIN_SIDE,
+)
