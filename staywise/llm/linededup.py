@@ -97,22 +97,27 @@ def _toggle(bits: Column, token: Column) -> Column:
     return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(F.lit(63)).cast("int")))
 
 
+def _parity(tokens: Column, slot: int) -> Column:
+    """One half of a map of 128 bits: a word toggles the bit that its hash names."""
+    mine = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1)) == slot
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: F.when(mine(x), _toggle(a, x)).otherwise(a))
+
+
 def distinct_sets(documents: DataFrame, rarity: bytes, key: str, text: str, num: int, den: int) -> DataFrame:
-    """Rows (doc, pos, size, prefix, parity, wide), one for each set of words: its earliest line."""
+    """Rows (doc, pos, size, prefix, parity, parity2, wide), one for each set of words: its earliest line."""
     own = lines(documents, key, text).select("doc", "pos", _tokens(F.col("line"), rarity).alias("t"))
     size = F.size("t")
     # A line of n words with a similar one shares one of its n - ceil(n * num / den) + 1 rarest words.
     # Here 31 bits of a word do: they only choose which lines meet.
     prefix = F.transform(F.slice("t", F.lit(1), size - F.ceil(size * num / den).cast("int") + 1), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    parity = F.aggregate("t", F.lit(0).cast("long"), _toggle)
-    # One more map with as many bits as a long line has words: the small one is full then.
+    # One more map with as many bits as a long line has words: the one of 128 bits is full then.
     slots = F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(size / 64.0)).cast("int"))
-    wide = F.when(size > 64, F.transform(F.sequence(F.lit(0), slots - 1), lambda k: F.aggregate(
+    wide = F.when(size > 128, F.transform(F.sequence(F.lit(0), slots - 1), lambda k: F.aggregate(
         F.filter("t", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit((1 << 20) - 1)) % slots == k), F.lit(0).cast("long"), _toggle
     )))
     described = own.select(
         F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(7), "t").alias("s2"), "doc", "pos",
-        F.struct(size.alias("size"), prefix.alias("prefix"), parity.alias("parity"), wide.alias("wide")).alias("what"),
+        F.struct(size.alias("size"), prefix.alias("prefix"), _parity(F.col("t"), 0).alias("parity"), _parity(F.col("t"), 1).alias("parity2"), wide.alias("wide")).alias("what"),
     )
     first = F.struct("doc", "pos")
     return described.groupBy("s1", "s2").agg(F.min(first).alias("first"), F.min_by("what", first).alias("what")).select(
@@ -125,7 +130,7 @@ def _similar_enough(x: str, y: str, num: int, den: int) -> Column:
     c = lambda side, name: F.col(f"{side}.{name}")
     total = c(x, "size") + c(y, "size")
     rest = F.least(c(x, "size") - c(x, "at"), c(y, "size") - c(y, "at"))  # the shared word included
-    apart = F.bit_count(c(x, "parity").bitwiseXOR(c(y, "parity")))
+    apart = sum(F.bit_count(c(x, p).bitwiseXOR(c(y, p))) for p in ("parity", "parity2"))
     return (
         (c(x, "size") * den >= c(y, "size") * num)
         & (c(y, "size") * den >= c(x, "size") * num)
@@ -182,11 +187,11 @@ def removed_sets(documents: DataFrame, sets: DataFrame, rarity: bytes, key: str,
     """(doc, pos) of the earliest lines of their sets that are similar to an earlier line."""
 
     def postings(rows: DataFrame) -> DataFrame:
-        named = rows.select("doc", "pos", "size", "parity", "wide", F.posexplode("prefix").alias("at", "word"))
-        return named.select("word", F.struct("doc", "pos", "size", "parity", "at", "wide").alias("x"))
+        named = rows.select("doc", "pos", "size", "parity", "parity2", "wide", F.posexplode("prefix").alias("at", "word"))
+        return named.select("word", F.struct("doc", "pos", "size", "parity", "parity2", "at", "wide").alias("x"))
 
     near = (F.struct("y.doc", "y.pos") < F.struct("x.doc", "x.pos")) & _similar_enough("x", "y", num, den)
-    apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
+    apart = sum(F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in ("parity", "parity2"))
     # The earliest line of each word; of those that may be similar to a line, the one that seems nearest is tried.
     led = postings(sets).withColumn("y", F.min("x").over(Window.partitionBy("word")))
     nearest = led.where(near).groupBy("x.doc", "x.pos").agg(F.min(F.struct(apart.alias("apart"), F.col("y.doc"), F.col("y.pos"))).alias("b"))
