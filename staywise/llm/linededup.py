@@ -28,6 +28,8 @@ NUM, DEN = 4, 5
 RARITY_BITS = 18
 #: Parts of the words that are joined one after the other: only one part's shuffle files are on disk at a time.
 ROUNDS = 2
+#: Columns of the parity map of all lines, and the number of words above which a line has a wide map as well.
+PARITY, LONG = ("parity0", "parity1", "parity2", "parity3"), 384
 #: Bytes of the map that tells which lines are to be verified, as a power of two.
 MAP_BITS = 17
 _TRIMMED = " \t\n\x0b\f\r"
@@ -98,26 +100,26 @@ def _toggle(bits: Column, token: Column) -> Column:
 
 
 def _parity(tokens: Column, slot: int) -> Column:
-    """One half of a map of 128 bits: a word toggles the bit that its hash names."""
-    mine = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1)) == slot
+    """A quarter of a map of 256 bits: a word toggles the bit that its hash names."""
+    mine = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == slot
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: F.when(mine(x), _toggle(a, x)).otherwise(a))
 
 
 def distinct_sets(documents: DataFrame, rarity: bytes, key: str, text: str, num: int, den: int) -> DataFrame:
-    """Rows (doc, pos, size, prefix, parity, parity2, wide), one for each set of words: its earliest line."""
+    """Rows (doc, pos, size, prefix, PARITY..., wide), one for each set of words: its earliest line."""
     own = lines(documents, key, text).select("doc", "pos", _tokens(F.col("line"), rarity).alias("t"))
     size = F.size("t")
     # A line of n words with a similar one shares one of its n - ceil(n * num / den) + 1 rarest words.
     # Here 31 bits of a word do: they only choose which lines meet.
     prefix = F.transform(F.slice("t", F.lit(1), size - F.ceil(size * num / den).cast("int") + 1), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    # One more map with as many bits as a long line has words: the one of 128 bits is full then.
+    # One more map with as many bits as a long line has words: the one of 256 bits is full then.
     slots = F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(size / 64.0)).cast("int"))
-    wide = F.when(size > 128, F.transform(F.sequence(F.lit(0), slots - 1), lambda k: F.aggregate(
+    wide = F.when(size > LONG * num / den, F.transform(F.sequence(F.lit(0), slots - 1), lambda k: F.aggregate(
         F.filter("t", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit((1 << 20) - 1)) % slots == k), F.lit(0).cast("long"), _toggle
     )))
     described = own.select(
         F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(7), "t").alias("s2"), "doc", "pos",
-        F.struct(size.alias("size"), prefix.alias("prefix"), _parity(F.col("t"), 0).alias("parity"), _parity(F.col("t"), 1).alias("parity2"), wide.alias("wide")).alias("what"),
+        F.struct(size.alias("size"), prefix.alias("prefix"), *[_parity(F.col("t"), k).alias(p) for k, p in enumerate(PARITY)], wide.alias("wide")).alias("what"),
     )
     first = F.struct("doc", "pos")
     return described.groupBy("s1", "s2").agg(F.min(first).alias("first"), F.min_by("what", first).alias("what")).select(
@@ -130,16 +132,19 @@ def _similar_enough(x: str, y: str, num: int, den: int) -> Column:
     c = lambda side, name: F.col(f"{side}.{name}")
     total = c(x, "size") + c(y, "size")
     rest = F.least(c(x, "size") - c(x, "at"), c(y, "size") - c(y, "at"))  # the shared word included
-    apart = sum(F.bit_count(c(x, p).bitwiseXOR(c(y, p))) for p in ("parity", "parity2"))
+    apart = _apart(x, y)
     return (
         (c(x, "size") * den >= c(y, "size") * num)
         & (c(y, "size") * den >= c(x, "size") * num)
         & (rest * (num + den) >= total * num)
         & (apart * (num + den) <= total * (den - num))
-        & (c(x, "wide").isNull() | c(y, "wide").isNull() | (_wide_apart(c(x, "wide"), c(y, "wide")) * (num + den) <= total * (den - num)))
     )
 
 
+def _apart(x: str, y: str) -> Column:
+    return sum(F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITY)
+
+
 def _wide_apart(a: Column, b: Column) -> Column:
     """Bits in which two wide maps differ; the longer one, which has twice the slots or more, is folded."""
     n = F.least(F.size(a), F.size(b))
@@ -186,12 +191,12 @@ def _verified(documents: DataFrame, pairs: DataFrame, rarity: bytes, key: str, t
 def removed_sets(documents: DataFrame, sets: DataFrame, rarity: bytes, key: str, text: str, num: int, den: int) -> DataFrame:
     """(doc, pos) of the earliest lines of their sets that are similar to an earlier line."""
 
-    def postings(rows: DataFrame) -> DataFrame:
-        named = rows.select("doc", "pos", "size", "parity", "parity2", "wide", F.posexplode("prefix").alias("at", "word"))
-        return named.select("word", F.struct("doc", "pos", "size", "parity", "parity2", "at", "wide").alias("x"))
+    def postings(rows: DataFrame, *more: str) -> DataFrame:
+        named = rows.select("doc", "pos", "size", *PARITY, *more, F.posexplode("prefix").alias("at", "word"))
+        return named.select("word", F.struct("doc", "pos", "size", *PARITY, "at", *more).alias("x"))
 
     near = (F.struct("y.doc", "y.pos") < F.struct("x.doc", "x.pos")) & _similar_enough("x", "y", num, den)
-    apart = sum(F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in ("parity", "parity2"))
+    apart = _apart("x", "y")
     # The earliest line of each word; of those that may be similar to a line, the one that seems nearest is tried.
     led = postings(sets).withColumn("y", F.min("x").over(Window.partitionBy("word")))
     nearest = led.where(near).groupBy("x.doc", "x.pos").agg(F.min(F.struct(apart.alias("apart"), F.col("y.doc"), F.col("y.pos"))).alias("b"))
@@ -200,14 +205,19 @@ def removed_sets(documents: DataFrame, sets: DataFrame, rarity: bytes, key: str,
     # Lines that are not settled meet all earlier lines of their words, one part of the words after the other.
     perhaps = _within(settled, "doc", "pos")
     open_sets = sets.where(~perhaps).unionByName(sets.where(perhaps).join(settled, ["doc", "pos"], "left_anti"))
-    rest = None
+    def meet(xs: DataFrame, ys: DataFrame, close: Column) -> DataFrame:
+        met = xs.join(ys.select(F.col("word").alias("word2"), F.col("x").alias("y")), (F.col("word") == F.col("word2")) & close)
+        return materialize(met.select("x.doc", "x.pos", F.col("y.doc").alias("doc2"), F.col("y.pos").alias("pos2")).distinct())
+
+    # Long lines meet by themselves: comparing wide maps would take the join of all others out of generated code.
+    total = F.col("x.size") + F.col("y.size")
+    wide = _wide_apart(F.col("x.wide"), F.col("y.wide")) * (num + den) <= total * (den - num)
+    long_enough = F.col("size") > LONG * num / den
+    rest = meet(postings(open_sets.where(F.col("size") > LONG), "wide"), postings(sets.where(long_enough), "wide"), near & wide)
     for part in range(ROUNDS):
         mine = F.pmod(F.col("word"), F.lit(ROUNDS)) == part
-        left = postings(open_sets).where(mine)
-        right = postings(sets).where(mine).select(F.col("word").alias("word2"), F.col("x").alias("y"))
-        met = left.join(right, (F.col("word") == F.col("word2")) & near)
-        pairs = materialize(met.select("x.doc", "x.pos", F.col("y.doc").alias("doc2"), F.col("y.pos").alias("pos2")).distinct())
-        rest = pairs if rest is None else rest.unionByName(pairs)
+        short = postings(open_sets.where(F.col("size") <= LONG)).where(mine)
+        rest = rest.unionByName(meet(short, postings(sets).where(mine), near))
     rest = rest.distinct()
     return settled.unionByName(materialize(_verified(documents, rest, rarity, key, text, num, den)))
 
