@@ -2,12 +2,16 @@ from __future__ import annotations
 
 import itertools
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from staywise.llm import htmltext
 
+ROOT = Path(__file__).resolve().parents[2]
 PLAIN = np.array(htmltext.PLAIN_WEIGHTS)
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>No title</title><style>p{margin:0}</style></head><body class="has-sidebar">
 <header><h1>Site</h1><a href="/x">Log in</a></header><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>
@@ -50,6 +54,14 @@ def test_cut_off_and_broken_pages():
     assert text("<article>5 > 3 <3 &amp;lt;") == "5 > 3 <3 &lt;"
 
 
+def test_pages_cut_off_after_a_long_tag():
+    """In a process of its own: a pattern that tries all ways would never end."""
+    cuts = ["<a " + "href title " * 40, '<a title="x ' + "abc " * 100, "<word and text " * 40, '<a title="x ' + "abc " * 100 + "> two"]
+    code = f"from staywise.llm import htmltext as h\nfor c in {cuts!r}: print([''.join(b.parts) for b in h.blocks('<article><p>One</p>' + c)])"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=30, check=True)
+    assert done.stdout.splitlines() == ["['One']"] * 3 + ["['One', ' two']"]
+
+
 def test_long_pages():
     many = "".join(f"<p>Paragraph {i}, with some words.</p><div class=ad>Buy {i}</div>" for i in range(3000))
     got = text(f"<body><nav>Menu</nav><article>{many}</article></body>").split("\n")
