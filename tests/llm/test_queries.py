@@ -80,3 +80,24 @@ def test_stages_keep_columns_and_bear_hard_rows(spark, docs):
         assert last.count() == current.count()
     assert [k for k, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "SimHash near-dedup", "mixing", "byte-level BPE"]
     assert linededup.dedup_lines(docs(rows)).count() == len(rows)
+
+
+def test_near_copies_go_by_row(spark, docs):
+    """Rows that share an id or have none are decided each for itself; one of each group stays."""
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(40))
+    rows = [(3, text(1)), (3, text(1)), (3, text(1)), (None, text(2)), (None, text(2)), (None, text(2), "en"), (2, text(3)), (7, text(3)), (7, text(4)), (None, text(3)), (8, text(5))]
+    kept = corpus_pipeline.near_copies(spark, docs(rows), FOLDER).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(3, text(1)), (None, text(2)), (2, text(3)), (7, text(4)), (8, text(5))])
+
+
+def test_mixture_goes_by_row(spark, docs):
+    """A source of rows with repeated or no ids gives what it must give, within one document a block."""
+    rows = [(None, f"w{i} " * 10, "en", "a") for i in range(60)] + [(5, f"v{i} " * 10, "en", "b") for i in range(60)]
+    rows += [(9, "same " * 10, "en", "b")] * 40 + [(1000 + i, "x " * 10, "en", "c") for i in range(70)]
+    frame = docs(rows).drop("n_lines", "score")
+    target = {r.source: r.target for r in mixing.targets(mixing.sizes(frame)).collect()}
+    taken = Counter()
+    for r in corpus_pipeline.mixture(spark, frame, FOLDER).collect():
+        assert (r.doc_id, r.text, "en", r.source) in rows
+        taken[r.source] += 10
+    assert all(abs(taken[s] - target[s]) <= 10 for s in target)
