@@ -2,8 +2,8 @@
 
 The values that the base patterns find are labelled credentials. For each kind, a prefix tree of them is folded
 into a probabilistic automaton: states are merged where the Hoeffding bound says that their futures may be the same
-(the ALERGIA method). Symbols are character classes, so an automaton is a format. Every other token of at least
-MIN_TOKEN characters is a candidate; it is added when, for some kind, its likelihood for each symbol lies where that
+(the ALERGIA method). Symbols are character classes, so an automaton is a format. Every other token at least
+as long as the shortest labelled value may be (LEAST) is a candidate; it is added when, for some kind, its likelihood for each symbol lies where that
 of nearly all labelled credentials lies and is well above that under a character model of the other tokens.
 
 The automata are fitted on at most SAMPLE labelled values for each kind, of at most SAMPLE_CHARS characters, chosen by
@@ -32,12 +32,14 @@ ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{32,}")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 #: Words of which an assignment must have one: looked for first, as that is fast.
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+TOKEN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{min(LEAST.values())},}}")
 
 #: Labelled values for each kind and other tokens (expected numbers) that models are fitted on.
 SAMPLE, OTHERS, SAMPLE_CHARS = 1500, 5000, 256
 #: Confidence of the merge test, share of labelled values that may lie outside on each side, nats above other tokens.
 ALPHA, TAIL, MARGIN = 0.05, 0.005, 0.5
+#: Symbols for which a value must have the margin at least: a shorter one says less, and needs as much in all.
+WEIGHED = 17
 
 SPAN = "struct<kind:string,start:int,stop:int,value:string>"
 
@@ -243,13 +245,15 @@ class Model:
 
     def kind(self, value: str) -> str | None:
         """The kind whose format the value has, if any: that of the largest gain over other tokens."""
-        best, gain = None, MARGIN
-        plain = self.others.character_score(value)
+        best, gain = None, MARGIN * max(1.0, WEIGHED / (len(value) + 1))
+        plain = None
         for name, automaton in self.automata.items():
             own = automaton.score(value)
-            more = automaton.character_score(value) - plain
-            if automaton.low <= own <= automaton.high and more > gain:
-                best, gain = name, more
+            if automaton.low <= own <= automaton.high:
+                if plain is None:
+                    plain = self.others.character_score(value) + sum(math.log(SIZES[CLASSES[c]]) for c in value) / (len(value) + 1)
+                if (more := own - plain) > gain:
+                    best, gain = name, more
         return best
 
 

@@ -86,3 +86,15 @@ def test_automaton_folds_to_the_format():
     fixed = secrets.Automaton(["ab-" + "".join(draw.choice("0123456789") for _ in range(6)) for _ in range(400)])
     inside, outside = fixed.score("cd-123456"), [fixed.score(x) for x in ("cd123456-", "123456", "cd-12x456", "-")]
     assert fixed.low <= inside <= fixed.high and all(x < fixed.low for x in outside)
+
+
+def test_short_credentials_in_the_format_of_labelled_ones(docs):
+    """Bare values of 8 to 15 characters are scored like longer ones; words of such lengths are not added."""
+    draw = random.Random(3)
+    value = lambda n: "".join(draw.choice(HEX) for _ in range(n))
+    words = ["".join(draw.choice("etaoinshrdlu") for _ in range(draw.randint(1, 20))) for _ in range(400)]
+    for length in (8, 12, 15):
+        rows = [(i, " ".join([*[draw.choice(words) for _ in range(30)], f"password={value(length)}"])) for i in range(300)]
+        rows.append((900, f"it is {value(length)} for you"))
+        added = {r.doc_id: r.spans for r in secrets.digests(docs(rows)).collect() if r.n_added}
+        assert added == {900: f"like_assign:6:{6 + length}"}
