@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import sys
-from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -11,12 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from staywise.sources.catalog import TableCatalog
 
-START = datetime(2024, 1, 1)
-
-
-def at(hours: float, start: datetime = START) -> datetime:
-    return start + timedelta(hours=hours)
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -46,10 +39,3 @@ def tables(spark):
         return TableCatalog(spark, frames={n: spark.createDataFrame(rows, schema) for n, (schema, rows) in given.items()})
 
     return build
-
-
-def rows_by(frame, *keys):
-    """Collected rows as dicts, keyed by one or several columns."""
-    return {
-        (tuple(r[k] for k in keys) if len(keys) > 1 else r[keys[0]]): r.asDict() for r in frame.collect()
-    }

@@ -6,7 +6,7 @@ from staywise.operators.qc import missingness, null_counts, qc_report
 from staywise.sources.catalog import TableCatalog, table_key
 from staywise.sources.predictions import read_predictions
 
-from conftest import rows_by
+from helpers import rows_by
 
 
 @pytest.mark.parametrize(

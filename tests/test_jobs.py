@@ -12,7 +12,7 @@ from staywise.plans.baseline import run_baseline, run_sequence_baseline
 from staywise.plans.reports import decision_report, evaluation_report, run_payload, write_report
 from staywise.sources.catalog import TableCatalog
 
-from conftest import at
+from helpers import at
 
 EVENTS = "hospitalization_id string, {ts} timestamp, {extra}value double"
 WARDS = ("Medical ICU", "Surgical ICU", "Cardiac ICU")

@@ -3,7 +3,7 @@ import pytest
 from staywise.functions.columns import KeyTypeMismatch
 from staywise.operators.sequences import build_sequences, hourly_indicator, hourly_means, rich_sources
 
-from conftest import at, rows_by
+from helpers import at, rows_by
 
 VITALS = "hospitalization_id int, recorded_dttm timestamp, vital_category string, vital_value double"
 LABS = "hospitalization_id int, lab_collect_dttm timestamp, lab_category string, lab_value_numeric double"

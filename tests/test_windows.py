@@ -15,7 +15,7 @@ from staywise.operators.windows import (
 from staywise.plans.matrix import basic_matrix, rich_matrix
 from staywise.sources.catalog import TableCatalog
 
-from conftest import at, rows_by
+from helpers import at, rows_by
 
 VITALS = "hospitalization_id int, recorded_dttm timestamp, vital_value double"
 CATEGORY = "hospitalization_id int, recorded_dttm timestamp, vital_category string, vital_value double"
