@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staywise.llm import bpe, htmltext, langid, licenses, linededup, mixing, secrets, simhash, topk, vectordedup
+from staywise.llm import alignment, bpe, decontam, htmltext, langid, licenses, linededup, mixing, secrets, simhash, topk, vectordedup
 from staywise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,20 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op9_line_dedup"] = linededup.ORACLE
+
+
+@_query
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers of every document."""
+    return alignment.alignment(
+        table(spark, folder, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    )
+
+
+@_query
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that stand in a window of a benchmark item."""
+    return decontam.digests(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text"))
+
+
+ORACLES["op13_decontamination"] = decontam.ORACLE
