@@ -124,7 +124,8 @@ def contaminated_texts(documents: DataFrame, windows: DataFrame, text: str, few:
     around = materialize(starts.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
     # Copies of a text are read once: the rows are grouped by name before the words are made again.
     texts = given.select(*_name(F.col("text")), "text")
-    held = texts.join(_few(around, few), ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
+    asked = texts.join(_few(around.select("k1", "k2"), few), ["k1", "k2"], "left_semi")
+    held = asked.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(around, ["k1", "k2"])
 
     def cut(ws: Column) -> Column:
         inside = F.filter("spans", lambda x: x["start"] + x["n"] <= F.size(ws))

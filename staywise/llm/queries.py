@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staywise.llm import alignment, bpe, decontam, htmltext, langid, licenses, linededup, mixing, secrets, simhash, topk, vectordedup
+from staywise.llm import alignment, bpe, decontam, htmltext, langid, lexical, licenses, linededup, mixing, secrets, simhash, topk, vectordedup
 from staywise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,15 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical.search(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text"))
+
+
+ORACLES["op12_lexical_search"] = lexical.ORACLE
+
+
 @_query
 def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that stand in a window of a benchmark item."""
