@@ -337,12 +337,22 @@ _WATERFALL = (
 _HOSP_GROUPS = "(SELECT DISTINCT patient_id AS g FROM hosp)"
 
 def _kfold(table: str, row: str, group: str) -> str:
-    """Serpentine folds along the groups by rows, then by hash."""
+    """Greedy folds: the largest group left goes to the lightest fold, the first of equals.
+
+    Groups of one size are interchangeable: how many of them a fold gets is counted, which ones follows from their hash.
+    """
     return (
-        f"WITH sizes AS (SELECT {group} AS g, count(*) AS n FROM {table} GROUP BY 1), "
-        "ranked AS (SELECT g, row_number() OVER (ORDER BY n DESC, sha256(concat('stable-split-v1:', CAST(g AS VARCHAR)))) - 1 AS r FROM sizes) "
-        f"SELECT t.{row}, t.{group}, CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS BIGINT) AS fold "
-        f"FROM {table} t JOIN ranked ON ranked.g = t.{group}"
+        f"WITH RECURSIVE sizes AS (SELECT {group} AS g, count(*) AS n FROM {table} GROUP BY 1), "
+        "ranked AS (SELECT g, n, row_number() OVER (ORDER BY n DESC) AS i, row_number() OVER (PARTITION BY n ORDER BY "
+        "sha256(concat('stable-split-v1:', CAST(g AS VARCHAR)))) - 1 AS r FROM sizes), "
+        "dealt(i, n, fold, loads) AS (SELECT 0::BIGINT, 0::BIGINT, 0, [0, 0, 0, 0, 0]::BIGINT[] UNION ALL "
+        "SELECT q.i, q.n, list_position(d.loads, list_min(d.loads)) - 1, "
+        "[CASE WHEN f = list_position(d.loads, list_min(d.loads)) THEN d.loads[f] + q.n ELSE d.loads[f] END FOR f IN [1, 2, 3, 4, 5]] "
+        "FROM dealt d JOIN ranked q ON q.i = d.i + 1), "
+        "shares AS (SELECT n, fold, count(*) AS c FROM dealt WHERE i > 0 GROUP BY 1, 2), "
+        "spans AS (SELECT n, fold, sum(c) OVER (PARTITION BY n ORDER BY fold) AS upto, c FROM shares), "
+        "placed AS (SELECT g, fold FROM ranked JOIN spans ON ranked.n = spans.n AND r >= upto - c AND r < upto) "
+        f"SELECT t.{row}, t.{group}, CAST(fold AS BIGINT) AS fold FROM {table} t JOIN placed ON placed.g = t.{group}"
     )
 
 

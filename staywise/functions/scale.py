@@ -9,10 +9,6 @@ from pyspark.sql.window import Window
 
 # At least this many slices of the data: a key holding more than one slice is hot.
 MIN_SLICES = 2048
-# A key with more rows than this is cut into slices of so many.
-SLICE_ROWS = 1_000_000
-# Keys that are looked up by broadcast, at most.
-FEW_KEYS = 100_000
 # A global order is cut into buckets of about this many rows.
 BUCKET_ROWS = 2_000_000
 
@@ -27,34 +23,27 @@ def skew_safe_join(
 ) -> DataFrame:
     """Equi-join of a large frame with one row per key, safe when one key holds a large share of the rows.
 
-    Hot keys are counted exactly (map-side combined counts of the key column alone): those with more than
-    SLICE_ROWS rows, or with ``salting=True`` those above ``hot_share`` of all rows, of which there are fewer than
-    ``1 / hot_share``. Each hot key is cut into slices in proportion to its rows; facts go to one slice, the
-    matching dims row is copied to every slice. Without a hot key, or with ``salting=False``, it is a plain join.
-    Results do not depend on the slicing.
+    By default it is a plain join in which adaptive execution splits the partitions of hot keys at run time, also where
+    what follows wants the same partitioning (that then moves partial aggregates once more, not rows): nothing is
+    counted beforehand and the facts are read once. With ``salting=True`` keys above ``hot_share`` of all rows, of which there
+    are fewer than ``1 / hot_share``, are counted exactly and cut into slices in proportion to their rows; facts go
+    to one slice, the matching dims row is copied to every slice. That needs no adaptive execution, but one more pass.
+    Results do not depend on it.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, got {how!r}")
-    if salting is False:
+    if not salting:
+        if salting is None:
+            facts.sparkSession.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         return facts.join(dims, key, how)
 
     sizes = facts.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    if salting is None:
-        limit = F.lit(SLICE_ROWS)
-    else:
-        share = hot_share or 1.0 / max(MIN_SLICES, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        limit = sizes.agg(F.sum("_rows").alias("_all")).select(F.col("_all") * share).scalar()
+    share = hot_share or 1.0 / max(MIN_SLICES, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    limit = sizes.agg(F.sum("_rows").alias("_all")).select(F.col("_all") * share).scalar()
     hot = sizes.where(F.col(key).isNotNull() & (F.col("_rows") > limit)).select(
         key, F.ceil(F.col("_rows") / limit).cast("int").alias("_slices")
     )
-    if salting is None:
-        hot = materialize(hot)
-        count = hot.count()
-        if not count:
-            return facts.join(dims, key, how)
-        lookup = F.broadcast(hot) if count <= FEW_KEYS else hot
-    else:
-        lookup = F.broadcast(hot)
+    lookup = F.broadcast(hot)
     # Content plus map partition: distinct rows spread by content, exact copies by where they were read.
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns], F.spark_partition_id()), F.col("_slices"))
     sliced_facts = (

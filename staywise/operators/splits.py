@@ -6,8 +6,10 @@ held-out side. Only the cut hash is needed, so the rows are classified by one co
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import defaultdict
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -200,13 +202,44 @@ def three_way_split(
     )
 
 
+def greedy_shares(histogram: Sequence[tuple[int, int]], folds: int) -> dict[int, list[int]]:
+    """How many groups of each size every fold gets when the largest group left always goes to the lightest fold.
+
+    ``histogram`` holds (size, groups of that size). Groups of one size are interchangeable: a fold with ``load`` rows
+    offers places at load, load + size, load + 2 * size, ..., and the cheapest places over all folds are taken, the
+    first fold among equals. The limit below which all places are taken is found by bisection, so the work grows with
+    the number of distinct sizes and not with the number of groups.
+    """
+    loads = [0] * folds
+    shares = {}
+    for size, groups in sorted(histogram, reverse=True):
+
+        def below(limit: int, size: int = size) -> list[int]:
+            return [max(0, -((load - limit) // size)) for load in loads]
+
+        low, high = min(loads), max(loads) + groups * size + 1
+        while high - low > 1:  # most places that lie below a limit without exceeding the groups
+            middle = (low + high) // 2
+            low, high = (middle, high) if sum(below(middle)) <= groups else (low, middle)
+        taken = below(low)
+        left = groups - sum(taken)
+        for fold, load in enumerate(loads):
+            if left and low >= load and (low - load) % size == 0:
+                taken[fold] += 1
+                left -= 1
+        shares[size] = taken
+        loads = [load + n * size for load, n in zip(loads, taken, strict=True)]
+    return shares
+
+
 def group_kfold(frame: DataFrame, group: str, n_splits: int = 5, fold_column: str = "fold") -> DataFrame:
     """Add the test fold 0..n_splits-1 of each row; whole groups, folds balanced by rows, no seed.
 
-    Groups are ranked by rows, largest first, and by the hash of their text among equals; the folds are dealt
-    forwards and backwards in turn along the ranks. The rank is exact and needs no global order: groups of equal
-    size are counted per leading hash digits, running totals of these counts give the offsets, and only the groups
-    under one size and one run of digits are ordered in a task.
+    Groups are dealt largest first, each to the fold with the fewest rows so far. Only a histogram of group sizes,
+    which has fewer rows than the square root of twice the table, is dealt on the driver; it says how many groups of
+    a size each fold gets. Which ones they are follows from their exact rank by the hash of their text among groups of
+    that size. The rank needs no global order: groups are counted per leading hash digits, running totals of these
+    counts give the offsets, and only the groups under one size and one run of digits are ordered in a task.
     """
     if n_splits < 2:
         raise ValueError(f"n_splits must be at least 2, got {n_splits}")
@@ -215,30 +248,27 @@ def group_kfold(frame: DataFrame, group: str, n_splits: int = 5, fold_column: st
     sizes = materialize(
         frame.groupBy(ref(group).alias("_g"), hash_hex(text, DEFAULT_SEED).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
     )
-    # One row per distinct size: fewer than the square root of twice the rows.
-    per_size = sizes.groupBy("_n").agg(F.count(F.lit(1)).alias("_groups"))
-    total = per_size.agg(F.sum("_groups").alias("groups"), F.max("_groups").alias("most")).first()
-    if not total.groups:
+    histogram = [tuple(r) for r in sizes.groupBy("_n").agg(F.count(F.lit(1))).collect()]
+    total = sum(n for _, n in histogram)
+    if not total:
         raise ValueError("cannot split empty data")
-    if total.groups < n_splits:
-        raise ValueError(f"cannot make {n_splits} folds from {total.groups} groups")
-    digits = _digits(total.most)
-    larger = Window.orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_size.select("_n", F.coalesce(F.sum("_groups").over(larger), F.lit(0)).alias("_start"))
+    if total < n_splits:
+        raise ValueError(f"cannot make {n_splits} folds from {total} groups")
+    # Of the groups of one size the first ranks go to fold 0, the next to fold 1 and so on.
+    ends = [(size, list(itertools.accumulate(n))) for size, n in greedy_shares(histogram, n_splits).items()]
+    limits = frame.sparkSession.createDataFrame(ends, "_n bigint, _ends array<bigint>")
+    digits = _digits(max(n for _, n in histogram))
     placed = sizes.withColumn("_p", F.substring("_h", 1, digits))
     before = Window.partitionBy("_n").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     parts = placed.groupBy("_n", "_p").agg(F.count(F.lit(1)).alias("_groups"))
-    offsets = parts.select("_n", "_p", F.coalesce(F.sum("_groups").over(before), F.lit(0)).alias("_offset")).join(starts, "_n")
+    offsets = parts.select("_n", "_p", F.coalesce(F.sum("_groups").over(before), F.lit(0)).alias("_offset")).join(limits, "_n")
     # Equal hashes mean equal texts: such groups (null and the empty text) keep a fixed order by being null or not.
     within = Window.partitionBy("_n", "_p").orderBy("_h", F.col("_g").isNull())
-    rank = F.col("_start") + F.col("_offset") + F.row_number().over(within) - 1
-    dealt = F.pmod(rank, F.lit(n_splits))
-    forwards = F.pmod(F.floor(rank / n_splits), F.lit(2)) == 0
-    folds = materialize(
-        placed.join(offsets, ["_n", "_p"]).select(
-            "_g", F.when(forwards, dealt).otherwise(n_splits - 1 - dealt).cast("int").alias("_fold")
-        )
+    ranked = placed.join(offsets, ["_n", "_p"]).select(
+        "_g", "_ends", (F.col("_offset") + F.row_number().over(within) - 1).alias("_rank")
     )
+    fold = F.expr("size(filter(_ends, e -> e <= _rank))")
+    folds = materialize(ranked.select("_g", fold.cast("int").alias("_fold")))
     # Both sides are plain shuffles, so that adaptive execution may split a hot group.
     joined = frame.join(folds, ref(group).eqNullSafe(F.col("_g")))
     return joined.select(*[ref(c) for c in frame.columns if c != fold_column], F.col("_fold").alias(fold_column))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import math
 from collections import Counter
 
@@ -7,6 +8,7 @@ import pytest
 from staywise.operators.splits import (
     DEFAULT_SEED,
     add_stable_split,
+    greedy_shares,
     group_kfold,
     group_train_test_split,
     split_summary,
@@ -102,25 +104,56 @@ def test_kfold_places_each_group_once_and_balances(spark):
         group_kfold(stays_of(spark).limit(0), "p", 5)
 
 
-def serpentine(sizes, k):
-    """Fold of each group: dealt forwards and backwards along (rows descending, hash)."""
-    order = sorted(sizes, key=lambda g: (-sizes[g], hashlib.sha256(f"stable-split-v1:{g}".encode()).hexdigest()))
-    return {g: r % k if r // k % 2 == 0 else k - 1 - r % k for r, g in enumerate(order)}
+def greedy(sizes, k):
+    """Fold of each group: largest first to the lightest fold; groups of one size follow their hash, fold by fold."""
+    loads, counts = [0] * k, {}
+    for n in sorted(sizes.values(), reverse=True):
+        fold = loads.index(min(loads))
+        loads[fold] += n
+        counts.setdefault(n, [0] * k)[fold] += 1
+    out = {}
+    for n, share in counts.items():
+        own = sorted((g for g in sizes if sizes[g] == n), key=lambda g: hashlib.sha256(f"stable-split-v1:{g}".encode()).hexdigest())
+        out.update(zip(own, [f for f in range(k) for _ in range(share[f])], strict=True))
+    return out
 
 
 @pytest.mark.parametrize("per_task", [500_000, 3])
-def test_kfold_is_dealt_along_the_exact_rank(spark, monkeypatch, per_task):
+def test_kfold_is_greedy_along_the_exact_rank(spark, monkeypatch, per_task):
     from staywise.operators import splits
 
     monkeypatch.setattr(splits, "GROUPS_PER_TASK", per_task)  # orders more or fewer groups in a task: same folds
     frame = spark.range(6000).selectExpr("IF(id < 2000, 'hot', CAST(id % 1500 AS string)) AS p", "id")
     found = group_kfold(frame, "p", 5).collect()
     sizes = Counter(r.p for r in found)
-    expected = serpentine(sizes, 5)
+    expected = greedy(sizes, 5)
     assert len(found) == 6000 and all(r.fold == expected[r.p] for r in found)
     assert sorted(found) == sorted(group_kfold(frame.repartition(7), "p", 5).collect())
 
 
+def test_kfold_balances_rows_around_a_hot_group(spark):
+    """One group of 4,000 rows and 1,000 of 6: it fills a fold alone, the others share the rest."""
+    frame = spark.range(10_000).selectExpr("IF(id < 4000, 'hot', CAST((id - 4000) % 1000 AS string)) AS p", "id")
+    rows = sorted(r["count"] for r in group_kfold(frame, "p", 5).groupBy("fold").count().collect())
+    assert rows == [1500, 1500, 1500, 1500, 4000]
+
+
+def test_greedy_shares_equal_dealing_one_by_one():
+    rng = random.Random(7)
+    for _ in range(300):
+        k = rng.randint(2, 6)
+        histogram = [(n, rng.randint(1, 9)) for n in rng.sample(range(1, 30), rng.randint(1, 8))]
+        loads, counts = [0] * k, {}
+        for n, groups in sorted(histogram, reverse=True):
+            for _ in range(groups):
+                fold = loads.index(min(loads))
+                loads[fold] += n
+                counts.setdefault(n, [0] * k)[fold] += 1
+        assert greedy_shares(histogram, k) == counts
+    # A billion groups of one size cost no more than a few.
+    assert greedy_shares([(10**6, 1), (1, 10**9)], 4)[1] == [249_250_000, 250_250_000, 250_250_000, 250_250_000]
+
+
 def test_kfold_keeps_null_groups_together(spark):
     frame = spark.range(60).selectExpr("IF(id % 6 = 0, NULL, CAST(id % 6 AS string)) AS p", "id", "1 AS fold")
     found = group_kfold(frame, "p", 3)

@@ -205,6 +205,34 @@ def test_hot_stay_is_spread_over_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_events_are_read_once_and_a_hot_stay_is_split_at_run_time(spark, tmp_path):
+    """No counting pass: one scan of the events in the plan, and the partition of the hot stay read in parts."""
+    adaptive = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.shuffle.partitions": "16",
+    }
+    spark.range(0, 60_000, 1, 8).selectExpr(
+        "CAST(IF(id < 20000, 7, id % 500) AS int) AS hospitalization_id", "timestamp'2024-01-01 01:00:00' AS recorded_dttm", "rand(1) AS vital_value",
+        "uuid() AS other",
+    ).write.parquet(str(tmp_path / "vitals.parquet"))
+    catalog = TableCatalog.discover(spark, str(tmp_path))
+    anchors = spark.range(600).selectExpr("CAST(id AS int) AS hospitalization_id", "timestamp'2024-01-01' AS anchor_dttm")
+    for key, value in adaptive.items():
+        spark.conf.set(key, value)
+    try:
+        stats = windowed_stats(catalog, "vitals", "vitals", anchors, 24)
+        found = {r.hospitalization_id: r for r in stats.collect()}
+        plan = stats._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in adaptive:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    final = plan.split("Initial Plan")[0]
+    assert final.count("FileScan parquet") == 1 and "skew=true" in final
+    assert found[7].vitals_n == 20_000 + 80 and sum(r.vitals_n for r in found.values()) == 60_000
+
+
 def matrix_tables(tables, **extra):
     return tables(vitals=(CATEGORY, [(1, at(1), "sbp", 120.0)]), **extra)
 
