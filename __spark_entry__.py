@@ -5,8 +5,10 @@ Doubles are rounded to six places and integers widened to bigint on both sides.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from oracle_sql import ORACLES
-from staywise.functions.scale import materialize
+from staywise.functions.scale import ensure_checkpoint_dir, materialize
 from staywise.functions.vocab import ANCHOR, OPTIONAL_CONTRACTS, PATIENT, STAY, VITAL_CATEGORIES
 from staywise.operators import cohort as co
 from staywise.operators import contracts as ct
@@ -33,6 +35,7 @@ from staywise.plans import matrix as mx
 from staywise.plans import reports as rp
 from staywise.plans.baseline import run_baseline, run_sequence_baseline
 from staywise.sources.catalog import TableCatalog
+from staywise.sources.predictions import read_predictions
 from staywise.sources.sample import (
     event_predictions,
     hospital_catalog,
@@ -111,6 +114,13 @@ def qc_table_summary_truncated(spark, folder):
     return report.select("table", "n_rows", "n_columns", "missing_truncated", "missing_inspected")
 
 
+@_query
+def qc_table_count(spark, folder):
+    """Number of tables of the report, beside what it counts over all of them."""
+    report = qc.qc_report(sample_catalog(spark, folder))
+    return report.groupBy("n_tables").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_columns").alias("n_columns"))
+
+
 @_query
 def discovered_tables(spark, folder):
     """Tables found in the folder by their file names."""
@@ -496,6 +506,65 @@ def evaluation_report(spark, folder):
     return rp.long_report(sections, keys)
 
 
+# Sinks and readers: written, read back, compared
+
+
+def _scratch(spark, name):
+    """A new place in the folder that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@_query
+def cohort_csv(spark, folder):
+    path = _scratch(spark, "cohort")
+    cohort = _cohort(hospital_catalog(spark, folder))
+    rp.write_cohort(cohort, path)
+    return spark.read.csv(path, header=True, schema=cohort.schema)
+
+
+@_query
+def decision_report_json(spark, folder):
+    """The decision report as it is written; NaN has become null on the way."""
+    path = _scratch(spark, "decision")
+    report = rp.decision_report(event_predictions(spark, folder), "label", "score")
+    report = {"decision_curve": report["decision_curve"].withColumn("gap", F.lit(float("nan")))}
+    rp.write_report(report, path)
+    schema = report["decision_curve"].schema
+    found = spark.read.schema(schema).json(f"{path}/decision_curve")
+    return found.withColumn("gap", F.coalesce("gap", F.lit(0.0)))
+
+
+@_query
+def prediction_file(spark, folder):
+    """Metrics of predictions that went through a CSV file."""
+    path = _scratch(spark, "predictions") + ".csv"
+    event_predictions(spark, folder).select("label", "score").write.csv(path, header=True)
+    return ev.binary_metrics(read_predictions(spark, path, ["label", "score"]), "label", "score")
+
+
+@_query
+def read_with_limit(spark, folder):
+    """The feature is the limit: any 7 rows of a table, all columns."""
+    found = sample_catalog(spark, folder).read("events", 7)
+    return found.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(found.columns)).alias("n_columns"))
+
+
+@_query
+def label_guards(spark, folder):
+    """Does the guard on degenerate labels object to the labels, to their positives alone, to their negatives alone?"""
+    outcomes = _stay_outcomes(spark, folder)
+    objects = []
+    for name, rows in (("all", outcomes), ("negatives", outcomes.where("mortality = 0")), ("positives", outcomes.where("mortality = 1"))):
+        found = lb.class_balance(rows, "mortality").first()
+        try:
+            lb.require_two_classes(found.n_positive, found.n_positive + found.n_negative)
+            objects.append((name, False))
+        except ValueError:
+            objects.append((name, True))
+    return spark.createDataFrame(objects, "rows string, objects boolean")
+
+
 # Models
 
 
@@ -545,7 +614,7 @@ def logistic_design(spark, folder):
     )
     rows = [  # one per feature
         (features[r.i], float(scaler.mean[r.i]), float(scaler.std[r.i]) * ((r.n - 1) / r.n) ** 0.5,
-         round(abs(r.g + float(fit.coefficients[r.i])) / r.n, 4))
+         round(abs(r.g + float(fit.coefficients[r.i])) / r.n, 6))
         for r in slopes.collect()
     ]
     return spark.createDataFrame(rows, "feature string, mean double, deviation double, slope double")
@@ -578,8 +647,9 @@ def entry(spark: SparkSession) -> DataFrame:
     return _QUERIES["matrix_rich"](spark, "/root/testdata/sf0.001")
 
 
-# The subpackage llm and the pipeline made of its operators may be absent.
-try:
+# The subpackage llm and the pipeline made of its operators may be absent; if they are there, a fault in them is one.
+_LLM, _LLM_SQL = {}, {}
+if importlib.util.find_spec("staywise.llm") and importlib.util.find_spec("corpus_pipeline"):
     import corpus_pipeline
     from staywise.llm.queries import ORACLES as LLM_ORACLES
     from staywise.llm.queries import QUERIES as LLM_QUERIES
@@ -588,8 +658,6 @@ try:
     _LLM_SQL = dict(LLM_ORACLES)
     if corpus_pipeline.ORACLE_SQL:
         _LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
-except ImportError:
-    _LLM, _LLM_SQL = {}, {}
 
 
 def _ready(build: Query) -> Query:

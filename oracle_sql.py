@@ -627,3 +627,15 @@ ORACLES["logistic_design"] = _with(
     ),
     _TRAIN_SIDE,
 )
+
+ORACLES["qc_table_count"] = (
+    f"SELECT {len(_TABLES)}::BIGINT AS n_tables, count(*) AS n_rows, CAST(sum(n_columns) AS BIGINT) AS n_columns FROM ({ORACLES['qc_table_summary']})"
+)
+ORACLES["cohort_csv"] = ORACLES["cohort_adult_icu"]
+ORACLES["decision_report_json"] = f"SELECT *, 0.0::DOUBLE AS gap FROM ({ORACLES['net_benefit_default']})"
+ORACLES["prediction_file"] = ORACLES["binary_metrics"]
+ORACLES["read_with_limit"] = "SELECT least(count(*), 7) AS n_rows, (SELECT count(*) FROM (DESCRIBE events)) AS n_columns FROM events"
+ORACLES["label_guards"] = _with(
+    "SELECT 'all' AS rows, min(mortality) = max(mortality) AS objects FROM mortality UNION ALL "
+    "SELECT unnest(['negatives', 'positives']), true"
+)

@@ -83,7 +83,12 @@ def binary_metrics(
 
     AUROC uses average ranks for ties and is null when a group has one class. No finite row at all fails.
     """
-    ranked = running_counts(score_counts(frame, label, score, by), "score", ["n"], list(by), buckets)
+    return metrics_of_counts(score_counts(frame, label, score, by), by, buckets)
+
+
+def metrics_of_counts(counts: DataFrame, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """The binary metrics of rows (by..., score, n, pos) whose scores are clipped and distinct within a group."""
+    ranked = running_counts(counts, "score", ["n"], list(by), buckets)
     p, n, pos = F.col("score"), F.col("n"), F.col("pos")
     neg = n - pos
     sums = ranked.groupBy(*by).agg(
@@ -108,6 +113,43 @@ def auroc(frame: DataFrame, label: str, score: str, by: Sequence[str] = (), buck
     return binary_metrics(frame, label, score, by, buckets).select(*by, "auroc")
 
 
+def score_cube(frame: DataFrame, label: str, score: str, subgroups: Sequence[str] = ()) -> DataFrame:
+    """(subgroup_col, subgroup_value, score, n, pos): counts per distinct score, overall and per subgroup value.
+
+    One scan and one aggregation by grouping sets; the overall rows have a null subgroup_col. Scores are not clipped;
+    a missing subgroup value is the group "Unknown". Rows without a finite label and score count as n = 0, so that a
+    group made of nothing else is still seen.
+    """
+    require_columns(frame, [label, score, *subgroups], "evaluation")
+    y, p = ref(label).cast("double"), ref(score).cast("double")
+    usable = _finite(y) & _finite(p)
+    names = [f"g{i}" for i in range(len(subgroups))]
+    rows = frame.select(
+        F.when(usable, p + F.lit(0.0)).otherwise(F.lit(0.5)).alias("score"),
+        F.when(usable, _binary(y)).alias("y"),
+        *[F.coalesce(ref(c).cast("string"), F.lit("Unknown")).alias(g) for c, g in zip(subgroups, names, strict=True)],
+    )
+    counted = [F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).cast("bigint").alias("pos")]
+    if not names:
+        cube = rows.groupBy("score").agg(*counted)
+        return cube.select(F.lit(None).cast("string").alias("subgroup_col"), F.lit(None).cast("string").alias("subgroup_value"), "score", "n", "pos")
+    sets = [["score"], *[["score", g] for g in names]]
+    cube = rows.groupingSets([[F.col(c) for c in one] for one in sets], F.col("score"), *[F.col(g) for g in names]).agg(
+        *counted, *[F.grouping(g).alias(f"_{g}") for g in names]
+    )
+    column, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for c, g in zip(subgroups, names, strict=True):
+        column = F.when(F.col(f"_{g}") == 0, c).otherwise(column)
+        value = F.when(F.col(f"_{g}") == 0, F.col(g)).otherwise(value)
+    return cube.select(column.alias("subgroup_col"), value.alias("subgroup_value"), "score", "n", "pos")
+
+
+def clipped_counts(counts: DataFrame, by: Sequence[str] = (), clip: float = CLIP) -> DataFrame:
+    """Rows (by..., score, n, pos) with the scores clipped to (0, 1)."""
+    inside = F.least(F.greatest("score", F.lit(clip)), F.lit(1.0 - clip))
+    return counts.groupBy(*by, inside.alias("score")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+
+
 def subgroup_metrics(
     frame: DataFrame, label: str, score: str, subgroups: Sequence[str], buckets: int | None = None
 ) -> DataFrame:
@@ -123,20 +165,14 @@ def subgroup_metrics(
             "subgroup_col string, subgroup_value string, n bigint, prevalence double, auroc double, "
             "brier double, log_loss double, warning string",
         )
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("subgroup_col"),
-                F.coalesce(ref(c).cast("string"), F.lit("Unknown")).alias("subgroup_value"),
-            )
-            for c in subgroups
-        ]
-    )
-    long = frame.select(ref(label).cast("double").alias("y"), ref(score).cast("double").alias("p"), F.inline(pairs))
+    return subgroup_metrics_of(score_cube(frame, label, score, subgroups), buckets)
+
+
+def subgroup_metrics_of(cube: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The subgroup metrics of a score cube."""
     by = ["subgroup_col", "subgroup_value"]
-    return binary_metrics(long, "y", "p", by, buckets).withColumn(
-        "warning", F.when(F.col("auroc").isNull(), SINGLE_CLASS)
-    )
+    counts = clipped_counts(cube.where(F.col("subgroup_col").isNotNull()), by)
+    return metrics_of_counts(counts, by, buckets).withColumn("warning", F.when(F.col("auroc").isNull(), SINGLE_CLASS))
 
 
 def calibration_bins(
@@ -151,7 +187,13 @@ def calibration_bins(
         raise ValueError("n_bins must be at least 2")
     require_columns(frame, [label, score], "calibration table")
     usable = frame.where(ref(label).isNotNull() & ref(score).cast("double").between(0.0, 1.0))
-    counts = materialize(score_counts(usable, label, score, clip=None))
+    return bins_of_counts(materialize(score_counts(usable, label, score, clip=None)), n_bins, buckets)
+
+
+def bins_of_counts(counts: DataFrame, n_bins: int = 10, buckets: int | None = None) -> DataFrame:
+    """The equal-frequency table of rows (score, n, pos) with distinct scores in [0, 1]."""
+    if n_bins < 2:
+        raise ValueError("n_bins must be at least 2")
     total = counts.agg(F.sum("n").alias("t")).first().t
     if not total:
         raise ValueError("no valid rows for a calibration table")
@@ -175,7 +217,8 @@ def calibration_bins(
         "bin",
         "score",
         (F.col("stop") - F.col("start")).alias("rows"),
-        F.expr("(stop * pos) div n - (start * pos) div n").alias("events"),
+        # Decimals: the product of two counts may leave 64 bits.
+        F.expr("(CAST(stop AS DECIMAL(20,0)) * CAST(pos AS DECIMAL(18,0))) div n - (CAST(start AS DECIMAL(20,0)) * CAST(pos AS DECIMAL(18,0))) div n").alias("events"),
     )
     return share.groupBy("bin").agg(
         F.sum("rows").alias("n"),

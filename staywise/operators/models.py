@@ -240,6 +240,33 @@ def fit_boosted_trees(
         ready.unpersist()
 
 
+def fit_stopped_trees(
+    frame: DataFrame, features: str, held_out: str, label: str = LABEL, seed: int = 42, trees: int = 40, step: float = 0.1,
+    depth: int = 3, is_unbalance: bool = False,
+) -> PipelineModel:
+    """Gradient-boosted trees on one complete vector column; rows marked by ``held_out`` say when to stop.
+
+    They take no part in the growth. It ends as soon as the loss on them gets worse, and the trees up to the best one are kept.
+    """
+    require_columns(frame, [features, held_out, label], "boosted trees")
+    ensure_checkpoint_dir(frame.sparkSession)
+    first = VectorAssembler(inputCols=[features], outputCol="__features")
+    ready = first.transform(frame).select("__features", ref(label).cast("double").alias("__y"), ref(held_out).alias("__held"))
+    estimator = GBTClassifier(
+        featuresCol="__features", labelCol="__y", validationIndicatorCol="__held", maxIter=trees, stepSize=step,
+        maxDepth=depth, seed=seed, validationTol=0.0,
+    )
+    if is_unbalance:
+        size = ready.where("not __held").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").cast("bigint").alias("pos")).first()
+        ready = ready.withColumn("__w", class_weights("__y", size.n, size.pos))
+        estimator = estimator.setWeightCol("__w")
+    ready = ready.persist()
+    try:
+        return PipelineModel(stages=[first, estimator.fit(ready)])
+    finally:
+        ready.unpersist()
+
+
 def predict(model: PipelineModel, frame: DataFrame, score: str = SCORE) -> DataFrame:
     """The frame with the probability of the positive class."""
     scored = model.transform(frame).withColumn(score, vector_to_array("probability").getItem(1))

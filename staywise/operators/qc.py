@@ -39,8 +39,9 @@ def table_profile(catalog: TableCatalog, name: str, max_columns: int | None = No
 
 
 def qc_report(catalog: TableCatalog, max_columns: int | None = None) -> DataFrame:
-    """Profiles of all tables in name order."""
-    return reduce(DataFrame.unionByName, [table_profile(catalog, name, max_columns) for name in catalog])
+    """Profiles of all tables in name order; each row also tells how many tables there are."""
+    profiles = reduce(DataFrame.unionByName, [table_profile(catalog, name, max_columns) for name in catalog])
+    return profiles.withColumn("n_tables", F.lit(len(catalog)))
 
 
 def null_counts(report: DataFrame) -> DataFrame:

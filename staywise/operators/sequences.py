@@ -8,7 +8,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from staywise.functions.columns import ref, require_columns, require_same_key_type
 from staywise.functions.vocab import (
@@ -112,15 +111,25 @@ def hourly_indicator(
 class SequenceFrame:
     """Dense hourly channels.
 
-    ``grid`` has one row per (stay, hour) with one filled column per channel and a ``mask_<channel>`` column
-    (0/1, observed in that very hour) per numeric channel.
+    ``packed`` has one row per stay: one array of ``window_hours`` doubles per channel, filled, and an array
+    ``mask_<channel>`` (0/1, observed in that very hour) per numeric channel.
     """
 
-    grid: DataFrame
+    packed: DataFrame
     channels: tuple[str, ...]
     numeric_channels: tuple[str, ...]
     window_hours: int
 
+    @property
+    def _hours(self):
+        return F.sequence(F.lit(0), F.lit(self.window_hours - 1))
+
+    @property
+    def grid(self) -> DataFrame:
+        """One row per (stay, hour) with a column per channel and per mask, unrolled from the arrays in place."""
+        names = [*self.channels, *[f"mask_{c}" for c in self.numeric_channels]]
+        return self.packed.select(STAY, F.inline(F.arrays_zip(self._hours.alias(HOUR), *[ref(n) for n in names]))).toDF(STAY, HOUR, *names)
+
     def arrays(self) -> DataFrame:
         """(stay, hour, features array<float>, mask array<tinyint>)."""
         return self.grid.select(
@@ -130,17 +139,34 @@ class SequenceFrame:
             F.array(*[ref(f"mask_{c}") for c in self.numeric_channels]).cast("array<tinyint>").alias("mask"),
         )
 
+    def _by_hour(self, names: Sequence[str], kind: str):
+        """The arrays of a stay turned round: for each hour one array over the channels."""
+        held = F.array(F.array(*[ref(n) for n in names]).cast(f"array<array<{kind}>>"))
+        turned = lambda every: F.transform(self._hours, lambda h: F.transform(every, lambda own: F.get(own, h)))
+        return F.get(F.transform(held, turned), F.lit(0))
+
     def per_stay(self) -> DataFrame:
         """One row per stay with hour-major nested arrays. A stay holds exactly ``window_hours`` entries."""
-        steps = F.array_sort(F.collect_list(F.struct(HOUR, "features", "mask")))
-        return (
-            self.arrays()
-            .groupBy(STAY)
-            .agg(steps.alias("_steps"))
-            .select(STAY, F.col("_steps.features").alias("features"), F.col("_steps.mask").alias("mask"))
+        masks = [f"mask_{c}" for c in self.numeric_channels]
+        return self.packed.select(
+            STAY, self._by_hour(self.channels, "float").alias("features"), self._by_hour(masks, "tinyint").alias("mask")
         )
 
 
+def _runs(entries, window_hours: int, before, value, after):
+    """A dense array made of runs: ``before`` until the first entry, then from each entry's hour to the next one's
+    its ``value`` followed by ``after`` in every further hour. Entries rise by hour; linear in the window."""
+
+    def fill(known):
+        stop = lambda i: F.coalesce(F.get(known, i + 1).getField(HOUR), F.lit(window_hours))
+        run = lambda x, i: F.concat(F.array(value(x)), F.array_repeat(after(x), stop(i) - x.getField(HOUR) - 1))
+        first = F.coalesce(F.get(known, F.lit(0)).getField(HOUR), F.lit(window_hours))
+        return F.concat(F.array_repeat(before, first), F.flatten(F.transform(known, run)))
+
+    # As the only element of an array the entries are made once, however often they are named.
+    return F.get(F.transform(F.array(entries), fill), F.lit(0))
+
+
 def build_sequences(
     catalog: TableCatalog,
     cohort: DataFrame,
@@ -183,44 +209,33 @@ def build_sequences(
                 *[F.max(F.when(is_channel[c], 1)).alias(f"s_{c}") for c in numeric + flags],
             )
         )
-        # At most window_hours cells per stay. From here on everything is keyed by stay alone, so the dense
-        # grid is made in place and never shuffled.
-        packed = cells.groupBy(STAY).agg(
-            F.collect_list(F.struct(HOUR, *[c for c in cells.columns if c not in (STAY, HOUR)])).alias("cells")
-        )
-        stays = stays.join(packed, STAY, "left")
+        # At most window_hours cells per stay, in order. From here on a stay is one row: nothing is sorted, spread
+        # or grouped again.
+        order = F.struct(F.col(HOUR).cast("int").alias(HOUR), *[c for c in cells.columns if c not in (STAY, HOUR)])
+        ordered = cells.groupBy(STAY).agg(F.array_sort(F.collect_list(order)).alias("cells"))
+        stays = stays.join(ordered, STAY, "left")
     else:
         fields = [(HOUR, "int"), *[(f"v_{c}", "double") for c in numeric], *[(f"s_{c}", "int") for c in numeric + flags]]
         kind = ", ".join(f"`{name}`: {type_}" for name, type_ in fields)
         stays = stays.select(STAY, F.lit(None).cast(f"array<struct<{kind}>>").alias("cells"))
-    # Hours with a cell and hours without one, together every hour once: linear in the window.
-    nothing = F.lit(None).cast(stays.schema["cells"].dataType.elementType)
+    hours = int(window_hours)
     cells = F.coalesce("cells", F.array().cast(stays.schema["cells"].dataType))
-    empty = F.array_except(F.sequence(F.lit(0), F.lit(int(window_hours) - 1)), F.transform(cells, lambda c: c[HOUR].cast("int")))
-    grid = stays.select(
-        STAY,
-        F.inline(
-            F.concat(
-                F.transform(cells, lambda c: F.struct(c[HOUR].cast("int").alias(HOUR), c.alias("cell"))),
-                F.transform(empty, lambda h: F.struct(h.alias(HOUR), nothing.alias("cell"))),
-            )
-        ),
-    )
-
-    so_far = Window.partitionBy(STAY).orderBy(HOUR).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def carried(channel: str):
-        known = F.nanvl(F.col("cell").getField(f"v_{channel}"), F.lit(None).cast("double"))
-        return F.coalesce(F.last(known, ignorenulls=True).over(so_far), F.lit(0.0)).alias(channel)
+        """The last known hourly mean; hours before the first are 0."""
+        name, zero = f"v_{channel}", F.lit(0.0)
+        known = F.filter(cells, lambda c: c.getField(name).isNotNull() & ~F.isnan(c.getField(name)))
+        return _runs(known, hours, zero, lambda c: c.getField(name), lambda c: c.getField(name))
 
-    def seen(channel: str):
-        return F.coalesce(F.col("cell").getField(f"s_{channel}"), F.lit(0))
+    def seen(channel: str, kind: str):
+        """1 in the hours that have a row."""
+        zero, one = F.lit(0).cast(kind), F.lit(1).cast(kind)
+        return _runs(F.filter(cells, lambda c: c.getField(f"s_{channel}") == 1), hours, zero, lambda c: one, lambda c: zero)
 
-    dense = grid.select(
+    packed = stays.select(
         STAY,
-        HOUR,
-        *[carried(c) for c in numeric],
-        *[seen(c).cast("double").alias(c) for c in flags],
-        *[seen(c).cast("tinyint").alias(f"mask_{c}") for c in numeric],
+        *[carried(c).alias(c) for c in numeric],
+        *[seen(c, "double").alias(c) for c in flags],
+        *[seen(c, "tinyint").alias(f"mask_{c}") for c in numeric],
     )
-    return SequenceFrame(dense, tuple(numeric + flags), tuple(numeric), int(window_hours))
+    return SequenceFrame(packed, tuple(numeric + flags), tuple(numeric), hours)

@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from staywise.functions.columns import ref
+from staywise.functions.scale import materialize
 from staywise.functions.vocab import STAY
 from staywise.operators.evaluation import (
-    binary_metrics,
-    calibration_bins,
+    bins_of_counts,
+    clipped_counts,
     decision_curve,
     expected_calibration_error,
+    metrics_of_counts,
+    score_cube,
     subgroup_metrics,
+    subgroup_metrics_of,
 )
 from staywise.operators.models import calibration_verdict
 from staywise.plans.baseline import RunReport
@@ -51,15 +55,20 @@ def write_json(frame: DataFrame, path: str) -> None:
 def evaluation_report(
     predictions: DataFrame, label: str, score: str, subgroups: Sequence[str] = (), n_bins: int = 10
 ) -> dict[str, DataFrame]:
-    """Overall metrics, calibration bins with their error, and subgroup metrics."""
-    bins = calibration_bins(predictions, label, score, n_bins)
+    """Overall metrics, calibration bins with their error, and subgroup metrics, all from one count table.
+
+    The predictions are read once: counts per distinct score, overall and per subgroup value, are written down, and
+    every section is worked out from them.
+    """
+    cube = materialize(score_cube(predictions, label, score, list(subgroups)))
+    overall = cube.where(F.col("subgroup_col").isNull()).select("score", "n", "pos")
+    bins = materialize(bins_of_counts(overall.where((F.col("n") > 0) & F.col("score").between(0.0, 1.0)), n_bins))
+    no_groups = subgroup_metrics(predictions, label, score, [])
     return {
-        "overall": binary_metrics(predictions, label, score),
+        "overall": metrics_of_counts(clipped_counts(overall)),
         "calibration_error": expected_calibration_error(bins),
         "calibration_bins": bins.orderBy("bin"),
-        "subgroups": subgroup_metrics(predictions, label, score, list(subgroups)).orderBy(
-            "subgroup_col", "subgroup_value"
-        ),
+        "subgroups": (subgroup_metrics_of(cube) if subgroups else no_groups).orderBy("subgroup_col", "subgroup_value"),
     }
 
 

@@ -97,7 +97,7 @@ def test_sequence_job(spark):
     assert sum(s["n"] for s in report.split.values()) == 30 and set(report.split) == {"train", "validation", "test"}
     (result,) = report.models.values()
     assert tuple(result.metrics) == METRICS and len(report.features) == 26
-    assert report.training["candidates_tried"] == 2
+    assert report.training["candidates_tried"] == 3 and set(report.training["validation_auroc"]) == {"logistic", "boosted_trees"}
     with pytest.raises(ValueError, match="covers the window"):
         run_sequence_baseline(catalog, window_hours=161)
 
