@@ -11,9 +11,10 @@ buckets, whose size does not depend on the data. It orders, and an order may be
 Similar lines may come in their thousands, so pairs of a group are not listed: a line first meets the earliest line
 for each of its rare words, which settles nearly all; only lines not settled meet all others.
 
-A line without words is kept. A document that loses all its lines keeps an empty text; a null text stays null. Rows
-that repeat a key count as one document and keep the lines that any of them may keep; rows with a null key stay as
-they are. Extra columns pass unchanged.
+A line without words is kept. A document that loses all its lines keeps an empty text; a null text stays null. A line
+is named by document, place and set of words: rows that repeat a key with different texts are decided line by line,
+and of two sets at the same place the one with the smaller hash counts as earlier. Rows of one key whose lines at a
+place have the same set decide alike. Rows with a null key stay as they are. Extra columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ PARITY, LONG = ("parity0", "parity1", "parity2", "parity3"), 384
 MAP_BITS = 17
 _TRIMMED = " \t\n\x0b\f\r"
 _LOW = (1 << 56) - 1
+#: What names a line: document, place and two hashes of its set of words.
+NAME = ("doc", "pos", "s1", "s2")
+OTHER = tuple(f"{c}_2" for c in NAME)
 
 
 #: xxhash64 of the empty string (fixed value).
@@ -95,6 +99,10 @@ def _tokens(line: Column, rarity: bytes) -> Column:
     return F.sort_array(F.transform(_word_hashes(line), lambda h: _token(h, rarity)))
 
 
+def _set_name(tokens: Column) -> list[Column]:
+    return [F.xxhash64(tokens).alias("s1"), F.xxhash64(F.lit(7), tokens).alias("s2")]
+
+
 def _toggle(bits: Column, token: Column) -> Column:
     return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(F.lit(63)).cast("int")))
 
@@ -106,7 +114,7 @@ def _parity(tokens: Column, slot: int) -> Column:
 
 
 def distinct_sets(documents: DataFrame, rarity: bytes, key: str, text: str, num: int, den: int) -> DataFrame:
-    """Rows (doc, pos, size, prefix, PARITY..., wide), one for each set of words: its earliest line."""
+    """Rows (NAME..., size, prefix, PARITY..., wide), one for each set of words: its earliest line."""
     own = lines(documents, key, text).select("doc", "pos", _tokens(F.col("line"), rarity).alias("t"))
     size = F.size("t")
     # A line of n words with a similar one shares one of its n - ceil(n * num / den) + 1 rarest words.
@@ -118,12 +126,12 @@ def distinct_sets(documents: DataFrame, rarity: bytes, key: str, text: str, num:
         F.filter("t", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit((1 << 20) - 1)) % slots == k), F.lit(0).cast("long"), _toggle
     )))
     described = own.select(
-        F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(7), "t").alias("s2"), "doc", "pos",
+        *_set_name(F.col("t")), "doc", "pos",
         F.struct(size.alias("size"), prefix.alias("prefix"), *[_parity(F.col("t"), k).alias(p) for k, p in enumerate(PARITY)], wide.alias("wide")).alias("what"),
     )
     first = F.struct("doc", "pos")
     return described.groupBy("s1", "s2").agg(F.min(first).alias("first"), F.min_by("what", first).alias("what")).select(
-        "first.doc", "first.pos", "what.*"
+        "first.doc", "first.pos", "s1", "s2", "what.*"
     )
 
 
@@ -169,45 +177,52 @@ def _within(keys: DataFrame, *names: str) -> Column:
     return F.ascii(F.substring(table, place + 1, F.lit(1)).cast("string")).bitwiseAND(mask) == mask
 
 
+def _pairs(met: DataFrame, x: str, y: str) -> DataFrame:
+    return met.select(*[F.col(f"{x}.{c}") for c in NAME], *[F.col(f"{y}.{c}").alias(o) for c, o in zip(NAME, OTHER, strict=True)])
+
+
 def _verified(documents: DataFrame, pairs: DataFrame, rarity: bytes, key: str, text: str, num: int, den: int) -> DataFrame:
-    """(doc, pos) of the later lines of the pairs (doc, pos, doc2, pos2) whose word sets are similar enough.
+    """NAME of the later lines of the pairs (NAME..., OTHER...) whose word sets are similar enough.
 
     Reads the words from the documents again; lines that are not in question leave before the shuffle.
     """
-    involved = pairs.select("doc", "pos").unionByName(pairs.select(F.col("doc2").alias("doc"), F.col("pos2").alias("pos")))
+    second = [F.col(o).alias(c) for c, o in zip(NAME, OTHER, strict=True)]
+    involved = pairs.select(*NAME).unionByName(pairs.select(*second))
     asked = lines(documents, key, text).where(_within(involved, "doc", "pos"))
-    words = asked.select("doc", "pos", _tokens(F.col("line"), rarity).alias("t")).groupBy("doc", "pos").agg(F.min("t").alias("t"))
-    words = materialize(words)
-    left = pairs.join(words.withColumnRenamed("t", "t1"), ["doc", "pos"])
-    right = words.select(F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), F.col("t").alias("t2"))
+    words = asked.select("doc", "pos", _tokens(F.col("line"), rarity).alias("t"))
+    words = materialize(words.select("doc", "pos", *_set_name(F.col("t")), "t").groupBy(*NAME).agg(F.min("t").alias("t")))
+    left = pairs.join(words.withColumnRenamed("t", "t1"), list(NAME))
+    right = words.select(*[F.col(c).alias(o) for c, o in zip(NAME, OTHER, strict=True)], F.col("t").alias("t2"))
     both = F.size(F.array_intersect("t1", "t2"))
     return (
-        left.join(right, ["doc2", "pos2"])
+        left.join(right, list(OTHER))
         .where(both * (num + den) >= (F.size("t1") + F.size("t2")) * num)
-        .select("doc", "pos").distinct()
+        .select(*NAME).distinct()
     )
 
 
 def removed_sets(documents: DataFrame, sets: DataFrame, rarity: bytes, key: str, text: str, num: int, den: int) -> DataFrame:
-    """(doc, pos) of the earliest lines of their sets that are similar to an earlier line."""
+    """NAME of the earliest lines of their sets that are similar to an earlier line."""
 
     def postings(rows: DataFrame, *more: str) -> DataFrame:
-        named = rows.select("doc", "pos", "size", *PARITY, *more, F.posexplode("prefix").alias("at", "word"))
-        return named.select("word", F.struct("doc", "pos", "size", *PARITY, "at", *more).alias("x"))
+        named = rows.select(*NAME, "size", *PARITY, *more, F.posexplode("prefix").alias("at", "word"))
+        return named.select("word", F.struct(*NAME, "size", *PARITY, "at", *more).alias("x"))
 
-    near = (F.struct("y.doc", "y.pos") < F.struct("x.doc", "x.pos")) & _similar_enough("x", "y", num, den)
+    name = lambda side: F.struct(*[f"{side}.{c}" for c in NAME])
+    near = (name("y") < name("x")) & _similar_enough("x", "y", num, den)
     apart = _apart("x", "y")
     # The earliest line of each word; of those that may be similar to a line, the one that seems nearest is tried.
     led = postings(sets).withColumn("y", F.min("x").over(Window.partitionBy("word")))
-    nearest = led.where(near).groupBy("x.doc", "x.pos").agg(F.min(F.struct(apart.alias("apart"), F.col("y.doc"), F.col("y.pos"))).alias("b"))
-    first = materialize(nearest.select("doc", "pos", F.col("b.doc").alias("doc2"), F.col("b.pos").alias("pos2")))
+    nearest = led.where(near).groupBy(name("x").alias("x")).agg(F.min(F.struct(apart.alias("apart"), name("y").alias("y"))).alias("b"))
+    first = materialize(_pairs(nearest.select("x", F.col("b.y").alias("y")), "x", "y"))
     settled = materialize(_verified(documents, first, rarity, key, text, num, den))
     # Lines that are not settled meet all earlier lines of their words, one part of the words after the other.
-    perhaps = _within(settled, "doc", "pos")
-    open_sets = sets.where(~perhaps).unionByName(sets.where(perhaps).join(settled, ["doc", "pos"], "left_anti"))
+    perhaps = _within(settled, *NAME)
+    open_sets = sets.where(~perhaps).unionByName(sets.where(perhaps).join(settled, list(NAME), "left_anti").select(*sets.columns))
+
     def meet(xs: DataFrame, ys: DataFrame, close: Column) -> DataFrame:
         met = xs.join(ys.select(F.col("word").alias("word2"), F.col("x").alias("y")), (F.col("word") == F.col("word2")) & close)
-        return materialize(met.select("x.doc", "x.pos", F.col("y.doc").alias("doc2"), F.col("y.pos").alias("pos2")).distinct())
+        return materialize(_pairs(met, "x", "y").distinct())
 
     # Long lines meet by themselves: comparing wide maps would take the join of all others out of generated code.
     total = F.col("x.size") + F.col("y.size")
@@ -230,14 +245,33 @@ def dedup_lines(
     rarity = rarity_table(documents, text)
     sets = materialize(distinct_sets(documents, rarity, key, text, num, den))
     gone = removed_sets(documents, sets, rarity, key, text, num, den)
-    stay = sets.select("doc", "pos").join(gone, ["doc", "pos"], "left_anti")
-    kept = stay.groupBy("doc").agg(F.collect_list("pos").alias("_kept")).withColumnRenamed("doc", "_doc")
+    stay = sets.select(*NAME).join(gone, list(NAME), "left_anti")
+    # Keys on rows with different texts: there a place does not tell which line is meant.
+    named = documents.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
+    several = materialize(named.groupBy("doc").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc"))
+    if several.isEmpty():
+        return _without(documents, stay, key, text, None)
+    rows = packed(documents)
+    unclear = rows.join(several, F.col("_row")[key] == F.col("doc"), "left_semi").select("_row.*")
+    clear = rows.join(several, F.col("_row")[key] == F.col("doc"), "left_anti").select("_row.*")
+    return _without(clear, stay, key, text, None).unionByName(_without(unclear, stay, key, text, rarity))
+
+
+def _without(documents: DataFrame, stay: DataFrame, key: str, text: str, rarity: bytes | None) -> DataFrame:
+    """The documents with only the lines that stay: by their places, or with a rarity table by place and set."""
+    what = F.col("pos") if rarity is None else F.struct("pos", "s1", "s2")
+    kept = stay.groupBy("doc").agg(F.collect_list(what).alias("_kept")).withColumnRenamed("doc", "_doc")
     row = F.col("_row")
     joined = packed(documents).join(kept, row[key] == F.col("_doc"), "left")
     joined = joined.select("_row", "_kept", row[text].alias("_text"), F.split(row[text], "\n").alias("_lines"))
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
     blank = F.filter(every, lambda i: F.btrim(F.get("_lines", i), F.lit(_TRIMMED)) == "")
-    inside = F.filter(F.coalesce("_kept", F.array().cast("array<int>")), lambda i: i < F.size("_lines"))
+    if rarity is None:
+        inside = F.filter(F.coalesce("_kept", F.array().cast("array<int>")), lambda i: i < F.size("_lines"))
+    else:
+        tokens = F.transform("_lines", lambda x, i: F.struct(i.alias("pos"), _tokens(x, rarity).alias("t")))
+        names = F.transform(tokens, lambda x: F.struct(x["pos"].alias("pos"), *_set_name(x["t"])))
+        inside = F.transform(F.filter(names, lambda x: F.coalesce(F.array_contains("_kept", x), F.lit(False))), lambda x: x["pos"])
     own = F.when(row[key].isNull(), every).otherwise(F.array_sort(F.array_union(blank, inside)))
     chosen = joined.withColumn("_own", F.when(F.col("_text").isNotNull(), own))
     cleaned = F.array_join(F.transform("_own", lambda i: F.get("_lines", i)), "\n")

@@ -90,6 +90,33 @@ def test_repeated_rows_null_keys_and_empty_tables(docs):
     assert linededup.dedup_lines(docs([(1, None)])).first().text is None
 
 
+def test_repeated_keys_with_different_texts(docs):
+    """Clean lines stay and similar ones go, whichever row of a key they stand on."""
+    rows, expected = [], []
+    for g in range(12):
+        word = lambda x: f"{x}{g}"  # noqa: E731, B023
+        line = lambda text: " ".join(map(word, text.split()))  # noqa: E731, B023
+        first, similar, clean = line("a b c d e"), line("a b c d e f"), line("x y z w v")
+        rows += [(10 * g, first), (10 * g + 1, similar), (10 * g + 1, clean), (None, similar)]
+        expected += [(10 * g, first), (10 * g + 1, ""), (10 * g + 1, clean), (-1, similar)]
+    got = [(-1 if r.doc_id is None else r.doc_id, r.text) for r in linededup.dedup_lines(docs(rows)).collect()]
+    assert sorted(got) == sorted(expected)
+
+
+def test_repeated_keys_like_brute_force(docs):
+    """Lines named by key, place and set: order by key and place, no two sets share both."""
+    rows = [(i // 2, text if i % 2 else "\n" * 9 + text) for i, (_, text) in enumerate(corpus(6, 60))]
+    own = {}
+    for n, (i, text) in enumerate(rows):
+        for pos, line in enumerate(text.split("\n")):
+            if words := frozenset(re.findall(r"[^\x20\x09-\x0D]+", line)):
+                own[i, pos, n] = words
+    order = sorted(own)
+    removed = {b for k, b in enumerate(order) for a in order[:k] if 9 * len(own[a] & own[b]) >= 4 * (len(own[a]) + len(own[b]))}
+    expected = [(i, "\n".join(x for pos, x in enumerate(t.split("\n")) if (i, pos, n) not in removed)) for n, (i, t) in enumerate(rows)]
+    assert sorted((r.doc_id, r.text) for r in linededup.dedup_lines(docs(rows)).collect()) == sorted(expected)
+
+
 def test_other_thresholds(docs):
     rows = corpus(4)
     got = {r.doc_id: r.text for r in linededup.dedup_lines(docs(rows), 1, 2).collect()}
