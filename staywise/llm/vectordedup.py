@@ -76,10 +76,9 @@ def _points(frame: DataFrame, key: str, vector: str, label: str) -> tuple[DataFr
     v = F.col(f"`{vector}`").cast("array<double>")
     named = rows.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").alias("label"), v.alias("v"))
     hashed = named.select("id", "label", F.xxhash64("v").alias("s1"), F.xxhash64(F.lit(7), "v").alias("s2"), "v")
-    points = hashed.groupBy("label", "s1", "s2").agg(
-        F.min("id").alias("point"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")
-    )
-    return hashed.drop("v"), materialize(points)
+    points = hashed.groupBy("label", "s1", "s2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
+    # An id may stand on several vectors: a point is named by its smallest id and, to tell it apart, what it is.
+    return hashed.drop("v"), materialize(points.withColumn("point", F.struct("id", "label", "s1", "s2")).drop("id"))
 
 
 def _assigned(points: DataFrame) -> DataFrame:
@@ -173,7 +172,7 @@ def near_duplicates(
     known = materialize(
         points.select("label", "s1", "s2", "point", "n").join(counts, "point", "left").join(groups, "point", "left").select(
             "label", "s1", "s2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
-            F.coalesce("root", "point").alias("component"),
+            F.coalesce("root", "point").getField("id").alias("component"),
         )
     )
     linked = rows.join(known, ["label", "s1", "s2"]).select("id", "links", "component")

@@ -87,3 +87,11 @@ def test_hard_rows(spark):
 def test_empty_tables(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None, None)]) == [(1, 0, 1)]
+
+
+def test_an_id_on_several_vectors(spark):
+    """Each row links by its own vector; components name the smallest id, whichever vectors it stands on."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [1.0, 0.02], 0), (4, [0.01, 1.0], 0), (2, [5.0, 5.0], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component, r.kept) for r in vectordedup.near_duplicates(frame).collect())
+    assert got == sorted([(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 1, False), (2, 0, 2, True)])
