@@ -8,7 +8,9 @@ when what the source still owes reaches a seeded share of its size, so that what
 documents. Large sources are split by hash into blocks that are visited side by side.
 
 Null and empty texts have size 0. Equal sizes are ordered by the hash of the key. An empty table gives no rows. Rows
-that repeat a key are planned each for itself; ``repeat`` gives each of them the largest number of repetitions.
+that repeat a key, or have none, are planned each for itself: those of one source and size are interchangeable, so they are
+counted and numbered, and the number spreads them over the blocks. ``repeat`` gives all rows of a key the largest number of
+repetitions.
 """
 
 from __future__ import annotations
@@ -86,8 +88,10 @@ def plan(
     per_source = materialize(targets(counted, weights, max_epochs))
     few = per_source.count() <= FEW_SOURCES
     right = per_source.select(F.col("source").alias("_source"), "docs", "source_size", "target")
+    equal = counted.groupBy(F.col(f"`{key}`"), "source", "size").agg(F.count(F.lit(1)).alias("_equal"))
+    counted = equal.withColumn("_number", F.explode(F.sequence(F.lit(1), F.col("_equal").cast("int"))))
     joined = counted.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("_source")))
-    mark = F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string"))
+    mark = F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string"), "_number")
     rows = joined.select(
         F.col(f"`{key}`"), "source", "size", "source_size", "target", mark.alias("_mark"),
         F.pmod(mark, F.ceil(F.col("docs") / BLOCK_DOCS)).alias("_block"),

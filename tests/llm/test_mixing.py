@@ -89,3 +89,19 @@ def test_empty_tables(docs):
     assert mixing.mixture(docs([])).collect() == []
     only = mixing.mixture(docs([(1, None, None, None), (2, " ", None, "a")])).collect()
     assert [(r["size"], r.target, r.taken) for r in only] == [(0, 0.0, 0)] * 2
+
+
+def test_rows_without_ids_are_spread(spark, docs, monkeypatch):
+    """A source of rows with one key or none is visited in many blocks, and still gives what it must."""
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 50)
+    rows = [(None, "w " * (1 + i % 7), "en", "a") for i in range(1500)] + [(5, "v " * 3, "en", "b")] * 900 + [(i, "x " * 4, "en", "c") for i in range(800)]
+    planned = mixing.plan(docs(rows))
+    assert planned.count() == len(rows)
+    for r in planned.groupBy("source").agg({"taken": "sum", "target": "max", "size": "max"}).collect():
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 7 * 40
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = mixing.plan(docs(rows)).where("source = 'a'").rdd.glom().map(len).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(parts) < 750  # 30 blocks dealt over the partitions
