@@ -2,9 +2,12 @@
 
 The values that the base patterns find are labelled credentials. For each kind, a prefix tree of them is folded
 into a probabilistic automaton: states are merged where the Hoeffding bound says that their futures may be the same
-(the ALERGIA method). Symbols are character classes, so an automaton is a format. Every other token at least
-as long as the shortest labelled value may be (LEAST) is a candidate; it is added when, for some kind, its likelihood for each symbol lies where that
-of nearly all labelled credentials lies and is well above that under a character model of the other tokens.
+(the ALERGIA method). Symbols are character classes, so an automaton is a format. Folding forgets lengths, so their
+frequencies are taken from the values before and multiply the likelihood. Every other token at least as long as the
+shortest labelled value may be (LEAST) is a candidate. It is added when, for some kind, its length and its likelihood
+for each symbol are like those of nearly all labelled credentials, and its likelihood in characters is well above that under the
+best model of other tokens: pairs of characters, or plain numbers. How far above is chosen on other tokens that the pair
+model has not seen, so that at most PASSING of them would be added. Of kinds that gain alike the first wins.
 
 The automata are fitted on at most SAMPLE labelled values for each kind, of at most SAMPLE_CHARS characters, chosen by
 hash; every whole text is scanned and every candidate scored. Null texts are empty; without labelled values nothing
@@ -15,7 +18,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+import statistics
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,10 +40,10 @@ TOKEN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{min(LEAST.values())},}}")
 
 #: Labelled values for each kind and other tokens (expected numbers) that models are fitted on.
 SAMPLE, OTHERS, SAMPLE_CHARS = 1500, 5000, 256
-#: Confidence of the merge test, share of labelled values that may lie outside on each side, nats above other tokens.
-ALPHA, TAIL, MARGIN = 0.05, 0.005, 0.5
-#: Symbols for which a value must have the margin at least: a shorter one says less, and needs as much in all.
-WEIGHED = 17
+#: Confidence of the merge test, share of labelled values that may lie outside on each side.
+ALPHA, TAIL = 0.05, 0.005
+#: Nats that a value must gain over other tokens at least, and share of other tokens that may be added.
+MARGIN, PASSING = 8.5, 0.001
 
 SPAN = "struct<kind:string,start:int,stop:int,value:string>"
 
@@ -114,9 +118,20 @@ class Automaton:
             self._add([CLASSES[c] for c in value])
         self._fold()
         self._keep_reached()
+        cut = int(TAIL * len(values))
         scores = sorted(self.score(v) for v in values)
-        cut = int(TAIL * len(scores))
-        self.low, self.high = scores[cut], scores[len(scores) - 1 - cut]
+        # A few values do not show the whole range: it is widened by their deviation.
+        spread = statistics.pstdev(scores)
+        self.low, self.high = scores[cut] - spread, scores[len(scores) - 1 - cut] + spread
+        # A length counts for its neighbours as well, as values of a format may differ a little.
+        seen = Counter(len(v) for v in values)
+        near = {n + d: 0.0 for n in seen for d in (-2, -1, 0, 1, 2)}
+        for n, times in seen.items():
+            for d, share in zip((-2, -1, 0, 1, 2), (0.02, 0.08, 0.8, 0.08, 0.02), strict=True):
+                near[n + d] += times * share
+        self.lengths = {n: math.log(x / len(values)) for n, x in near.items()}
+        usual = sorted(self.lengths[len(v)] for v in values)
+        self.shortest_odds = usual[cut]
 
     def _add(self, symbols: list[str]) -> None:
         state = 0
@@ -207,16 +222,24 @@ class Automaton:
             known, unseen = self.log[state]
             total += known.get(s, unseen)
             state = self.arcs[state].get(s, state)
-        known, unseen = self.log[state]
-        return (total + known.get(END, unseen)) / (len(value) + 1)
+        return total / len(value)
 
-    def character_score(self, value: str) -> float:
-        """The same for characters: those of a class are equally likely."""
-        return self.score(value) - sum(math.log(SIZES[CLASSES[c]]) for c in value) / (len(value) + 1)
+    def fits(self, value: str) -> bool:
+        """Are the length and the format like those of nearly all labelled values?"""
+        odds = self.lengths.get(len(value))
+        return odds is not None and odds >= self.shortest_odds - 1e-9 and self.low - 1e-9 <= self.score(value) <= self.high + 1e-9
+
+    def likelihood(self, value: str) -> float:
+        """Log-likelihood of length and characters; those of a class are equally likely."""
+        return self.lengths[len(value)] + self.score(value) * len(value) - sum(math.log(SIZES[CLASSES[c]]) for c in value)
+
+
+#: Characters of numbers as they are written: cards, phones, addresses, dates.
+NUMERIC = "0123456789.-/=+"
 
 
 class Others:
-    """Character model of tokens that no base pattern finds: pairs of characters, smoothed."""
+    """What tokens look like that no base pattern finds: the better of pairs of characters, smoothed, and plain numbers."""
 
     def __init__(self, values: list[str]):
         self.pairs: dict[str, int] = defaultdict(int)
@@ -227,34 +250,45 @@ class Others:
                 self.singles[a] += 1
         self.pairs, self.singles = dict(self.pairs), dict(self.singles)
 
-    def character_score(self, value: str) -> float:
+    def likelihood(self, value: str) -> float:
         size = len(CLASSES) + 1
-        total = sum(
+        paired = sum(
             math.log((self.pairs.get(a + b, 0) + 1) / (self.singles.get(a, 0) + size))
             for a, b in zip("^" + value, value + "$", strict=True)
         )
-        return total / (len(value) + 1)
+        if any(c not in NUMERIC for c in value):
+            return paired
+        # A number ends after any of its digits: one more symbol.
+        return max(paired, -(len(value) + 1) * math.log(len(NUMERIC) + 1))
 
 
 class Model:
     """Automata by kind, and what other tokens look like."""
 
     def __init__(self, labelled: dict[str, list[str]], others: list[str]):
-        self.automata = {k: Automaton(v) for k, v in labelled.items() if v}
-        self.others = Others(others)
-
-    def kind(self, value: str) -> str | None:
-        """The kind whose format the value has, if any: that of the largest gain over other tokens."""
-        best, gain = None, MARGIN * max(1.0, WEIGHED / (len(value) + 1))
+        self.automata = {k: Automaton(labelled[k]) for k in KINDS if labelled.get(k)}
+        # Every second token fits the model of other tokens, the rest says how far above it a value must lie.
+        self.others = Others(others[::2])
+        gains = sorted((g for v in others[1::2] if (g := self.gain(v)[1]) is not None), reverse=True)
+        may_pass = int(PASSING * len(others[1::2]))
+        self.margin = max([MARGIN, *gains[may_pass : may_pass + 1]])
+
+    def gain(self, value: str) -> tuple[str | None, float | None]:
+        """The kind that explains the value best, and by how much better than the other tokens do."""
+        best, most = None, None
         plain = None
         for name, automaton in self.automata.items():
-            own = automaton.score(value)
-            if automaton.low <= own <= automaton.high:
-                if plain is None:
-                    plain = self.others.character_score(value) + sum(math.log(SIZES[CLASSES[c]]) for c in value) / (len(value) + 1)
-                if (more := own - plain) > gain:
-                    best, gain = name, more
-        return best
+            if automaton.fits(value):
+                plain = self.others.likelihood(value) if plain is None else plain
+                more = automaton.likelihood(value) - plain
+                if most is None or more > most:
+                    best, most = name, more
+        return best, most
+
+    def kind(self, value: str) -> str | None:
+        """The kind whose format the value has, if any."""
+        best, most = self.gain(value)
+        return best if most is not None and most > self.margin else None
 
 
 def learn(scanned: DataFrame) -> Model:

@@ -98,3 +98,35 @@ def test_short_credentials_in_the_format_of_labelled_ones(docs):
         rows.append((900, f"it is {value(length)} for you"))
         added = {r.doc_id: r.spans for r in secrets.digests(docs(rows)).collect() if r.n_added}
         assert added == {900: f"like_assign:6:{6 + length}"}
+
+
+def test_precision_and_recall_on_planted_credentials(docs):
+    """Bare credentials of three formats among card numbers, phone numbers, hosts, addresses, ids and words."""
+    draw = random.Random(12)
+    of = lambda n, letters: "".join(draw.choice(letters) for _ in range(n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    formats = [lambda: of(40, HEX), lambda: f"{of(20, mixed)}", lambda: "AKIA" + of(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")]
+    words = ["".join(draw.choice("etaoinshrdlu") for _ in range(draw.randint(1, 20))) for _ in range(600)]
+    rows, planted = [], {}
+    for i in range(900):
+        text = " ".join(draw.choice(words) for _ in range(20))
+        plain_tokens = [
+            of(16, "0123456789"), f"555-{of(4, '0123456789')}", f"mail{i}.example.com", ".".join(str(draw.randrange(256)) for _ in range(4)),
+            f"2024-0{draw.randint(1, 9)}-1{draw.randrange(10)}", f"item-{of(6, '0123456789')}", f"some/path/{draw.choice(words)}.html",
+        ]
+        text += " " + " ".join(plain_tokens)
+        if i % 3 == 0:
+            text += f" password={formats[i // 3 % 2]()} {formats[2]()}"
+        if i % 20 == 7:
+            secret = formats[i // 20 % 2]()
+            planted[i] = (len(text) + 1, len(text) + 1 + len(secret))
+            text += f" {secret}"
+        rows.append((i, text))
+    # A planted hexadecimal value is found by the base pattern already; what counts is what is found at all.
+    found = {}
+    for r in secrets.digests(docs(rows)).collect():
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        found[r.doc_id] = [(int(a), int(b)) for k, a, b in spans if k.startswith("like_") or (k == "hex" and int(a) == planted.get(r.doc_id, (-1,))[0])]
+    hits = sum(planted[i] in found[i] for i in planted)
+    extra = sum(len(x) for x in found.values()) - hits
+    assert hits >= 0.9 * len(planted) and extra <= 0.05 * hits
