@@ -3,8 +3,13 @@
 A page is cut into blocks of text at block-level tags. A classifier gives every block a cost of being content and one
 of being boilerplate: what the nearest telling element around it says, and a logistic model of its text, fitted on
 blocks where such an element is present. The costs are the capacities of edges from the source and to the sink;
-neighbouring blocks and blocks of the same parent are joined by smoothness edges. The minimum cut, found by maximum
-flow, is the labelling of least cost: blocks on the source side are the article.
+neighbouring blocks and blocks of the same parent are joined by smoothness edges, which together are worth about as much
+as a telling element. The minimum cut, found by maximum flow, is the labelling of least cost: blocks on the source side
+are the article.
+
+An element tells by its tag, role or the words of its class and id. Words of a class that only says what a page has or
+has not (``has-sidebar``, ``comments-open``) say nothing about the text. An element that speaks against content, but holds
+more than HALF of the page's text, says nothing if the page has no article outside of it: it is a wrapper.
 
 Scripts, styles and other raw elements never become blocks. Character references are decoded, white space inside a
 block becomes one space, blocks are joined by line ends. Null pages, pages without text and pages whose blocks are
@@ -16,7 +21,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +55,8 @@ AGAINST_WORDS = frozenset(
     " pagination pager toolbar widget copyright legal disclaimer search form tags byline".split()
 )
 FOR_WORDS = frozenset("article content post entry story main articlebody maincontent".split())
+#: With one of these in it a class says what there is on a page, or about what, and not what its element is.
+ABOUT_WORDS = frozenset("has no not with without open closed enabled disabled tag category".split())
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""",
@@ -59,7 +66,9 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: Capacity that a telling element gives, bound of the text model's capacity, and capacities of smoothness edges.
-TELLING, TEXT_BOUND, NEXT_TO, SAME_PARENT = 6.0, 2.0, 0.6, 0.3
+TELLING, TEXT_BOUND, NEXT_TO, SAME_PARENT = 3.0, 1.5, 0.9, 0.45
+#: Share of a page's text from which on an element that speaks against content may be a wrapper.
+HALF = 0.5
 #: Pages (expected number) on whose blocks the text model is fitted, and blocks of them.
 SAMPLE_PAGES, SAMPLE_BLOCKS = 2000, 40_000
 
@@ -67,55 +76,80 @@ SAMPLE_PAGES, SAMPLE_BLOCKS = 2000, 40_000
 class Block:
     """A run of text between block-level tags."""
 
-    __slots__ = ("linked", "parent", "parts", "tag", "tells", "text")
+    __slots__ = ("element", "linked", "parent", "parts", "tag", "tells", "text")
 
-    def __init__(self, parent: int, tag: str, tells: int):
-        self.parent, self.tag, self.tells = parent, tag, tells
+    def __init__(self, parent: int, tag: str, element: int):
+        self.parent, self.tag, self.element = parent, tag, element
         self.parts: list[str] = []
-        self.linked = 0
+        self.linked = self.tells = 0
         self.text = ""
 
 
-def _tells(tag: str, attributes: str, inside_article: bool) -> int:
-    """+1: speaks for content, -1: against, 0: nothing. What speaks against counts first."""
-    if tag in AGAINST_TAGS or (tag == "header" and not inside_article):
-        return -1
+def _tells(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+    """Does an element speak for content, and does it speak against?"""
+    against = tag in AGAINST_TAGS or (tag == "header" and not inside_article)
     positive = tag in FOR_TAGS
     if attributes and "=" in attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name == "role":
                 roles = set(value.lower().split())
-                if roles & AGAINST_ROLES:
-                    return -1
+                against |= bool(roles & AGAINST_ROLES)
                 positive |= bool(roles & FOR_ROLES)
             elif name in ("class", "id"):
-                words = {w.lower() for w in _WORD.findall(value)}
-                if words & AGAINST_WORDS and tag not in ("body", "html"):
-                    return -1
-                positive |= bool(words & FOR_WORDS) and tag not in ("body", "html")
+                if tag in ("body", "html"):
+                    continue
+                for own in value.split():
+                    words = {w.lower() for w in _WORD.findall(own)}
+                    if not words & ABOUT_WORDS:
+                        against |= bool(words & AGAINST_WORDS)
+                        positive |= bool(words & FOR_WORDS)
             elif name == "itemprop":
                 positive |= value.lower() == "articlebody"
             elif (name == "style" and "display:none" in value.replace(" ", "").lower()) or (name == "aria-hidden" and value == "true"):
-                return -1
-    return int(positive)
+                against = True
+    return positive, against
+
+
+def _settle(found: list[Block], above: list[int], says: list[tuple[bool, bool]]) -> None:
+    """What the nearest telling element says about each block, once it is known how much text the elements hold."""
+    size = [0] * len(above)
+    for b in found:
+        size[b.element] += len(b.text)
+    for e in range(len(above) - 1, 0, -1):  # children have larger numbers
+        size[above[e]] += size[e]
+    article = [0] * len(above)  # text inside elements that speak for content, the outermost of each counted
+    for e in range(len(above) - 1, 0, -1):
+        if says[e][0]:
+            article[e] = size[e]
+        article[above[e]] += article[e]
+    tells = [0] * len(above)
+    for e in range(1, len(above)):
+        positive, against = says[e]
+        if against and size[e] > HALF * size[0] and article[e] == article[0]:
+            against = False
+        tells[e] = -1 if against else 1 if positive else tells[above[e]]
+    for b in found:
+        b.tells = tells[b.element]
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks of a page in order, each with the nearest telling element around it."""
+    """Blocks of a page in order, each with what the nearest telling element around it says."""
     found: list[Block] = []
-    # Open block-level elements: (tag, number, what the nearest telling one says, is an article open?).
-    stack = [("", 0, 0, False)]
-    number, links, current = 0, 0, None
+    # Open block-level elements: (tag, number, is an article open?), and how many of each tag are open.
+    stack = [("", 0, False)]
+    opened: Counter[str] = Counter()
+    above, says = [0], [(False, False)]
+    links, current = 0, None
 
     def add(text: str) -> None:
         nonlocal current
         if current is None:
             if not text.strip():
                 return
-            tag, parent, tells, _ = stack[-1]
+            tag, element, _ = stack[-1]
             own = tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "blockquote", "pre", "dd", "dt", "figcaption")
-            current = Block(stack[-2][1] if own and len(stack) > 1 else parent, tag, tells)
+            current = Block(stack[-2][1] if own and len(stack) > 1 else element, tag, element)
             found.append(current)
         current.parts.append(text)
         if links:
@@ -157,23 +191,27 @@ def blocks(page: str) -> list[Block]:
             continue
         links = 0
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:  # otherwise it closes nothing, and the open elements need not be searched
+                while True:
+                    name = stack.pop()[0]
+                    opened[name] -= 1
+                    if name == tag:
+                        break
             continue
         ends = ENDS.get(tag, ())
         while len(stack) > 1 and (stack[-1][0] == "p" or stack[-1][0] in ends):
-            stack.pop()
-        _, _, tells, article = stack[-1]
-        own = _tells(tag, attributes, article)
-        number += 1
-        stack.append((tag, number, own or tells, article or tag in FOR_TAGS))
+            opened[stack.pop()[0]] -= 1
+        _, outer, article = stack[-1]
+        above.append(outer)
+        says.append(_tells(tag, attributes, article))
+        stack.append((tag, len(above) - 1, article or tag in FOR_TAGS))
+        opened[tag] += 1
     kept = []
     for b in found:
         b.text = " ".join("".join(b.parts).split())
         if b.text:
             kept.append(b)
+    _settle(kept, above, says)
     return kept
 
 
@@ -278,11 +316,11 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
                 break
 
 
-def main_text(page: str | None, weights: np.ndarray) -> tuple[str, int, int]:
-    """(text, number of blocks, number of content blocks) of one page."""
+def costs(page: str | None, weights: np.ndarray) -> tuple[list[Block], list[float], list[tuple[int, int, float]]]:
+    """Blocks of a page, what each gains by being content, and the smoothness edges between them."""
     own = blocks(page or "")
     if not own:
-        return "", 0, 0
+        return own, [], []
     text = np.clip(np.array([features(b) for b in own]) @ weights, -TEXT_BOUND, TEXT_BOUND)
     gain = [TELLING * b.tells + float(t) for b, t in zip(own, text, strict=True)]
     edges, last = [], {}
@@ -292,7 +330,13 @@ def main_text(page: str | None, weights: np.ndarray) -> tuple[str, int, int]:
         if b.parent in last and last[b.parent] < i - 1:
             edges.append((last[b.parent], i, SAME_PARENT))
         last[b.parent] = i
-    content = minimum_cut(gain, edges)
+    return own, gain, edges
+
+
+def main_text(page: str | None, weights: np.ndarray) -> tuple[str, int, int]:
+    """(text, number of blocks, number of content blocks) of one page."""
+    own, gain, edges = costs(page, weights)
+    content = minimum_cut(gain, edges) if own else []
     kept = [b.text for b, c in zip(own, content, strict=True) if c]
     return "\n".join(kept), len(own), len(kept)
 

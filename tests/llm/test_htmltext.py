@@ -104,3 +104,58 @@ def test_text_model_learns_from_telling_elements():
     w = htmltext.fit_text_model(rows, np.array([True] * 20 + [False] * 20))
     assert (rows[:20] @ w > 0).all() and (rows[20:] @ w < 0).all()
     assert htmltext.fit_text_model(rows[:20], np.array([True] * 20)).tolist() == list(htmltext.PLAIN_WEIGHTS)
+
+
+LONG = [f"A long paragraph number {i}, with words, commas, and sentences. It goes on and on, as prose does." for i in range(3)]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in LONG)
+
+
+@pytest.mark.parametrize("wrapper", [
+    ('<div class="content has-sidebar">', "</div>"), ('<div class="post-content no-sidebar">', "</div>"), ('<div class="main with-comments">', "</div>"),
+    ('<article class="post tag-news comments-open">', "</article>"), ('<form action="/">', "</form>"),
+    ('<div class="page sidebar-layout">', "</div>"), ('<form><div id="social">', "</div></form>"),
+])
+@pytest.mark.parametrize("copies", [1, 10])
+def test_wrappers_with_unlucky_names(wrapper, copies):
+    page = f"<body><nav><ul><li><a href=/>Home</a></li></ul></nav>{wrapper[0]}{PARAGRAPHS * copies}{wrapper[1]}<footer>Imprint</footer></body>"
+    assert text(page).split("\n") == LONG * copies
+
+
+def test_long_comments_beside_an_article():
+    page = f"<body><article><p>{LONG[0]}</p></article><section id=comments>{PARAGRAPHS * 5}</section></body>"
+    assert text(page) == LONG[0]
+
+
+def test_the_cut_decides():
+    """A paragraph with an unlucky class among its like is content, and a lone prose block between notices is not."""
+    body = f"<p>{LONG[0]}</p><p class='notice'>{LONG[1]}</p><p>{LONG[2]}</p>"
+    own = htmltext.blocks(f"<article>{body}</article>")
+    assert [b.tells for b in own] == [1, -1, 1]  # by itself it would go
+    assert text(f"<article>{body}</article>").split("\n") == LONG
+    menu = "<ul><li><a href=a>Home</a></li><li>Read more, now.</li><li><a href=b>News</a></li><li><a href=c>Imprint</a></li></ul>"
+    assert text(f"<div>{menu}</div><article>{PARAGRAPHS}</article>").split("\n") == LONG
+    assert htmltext.minimum_cut([-0.7, 0.4, -0.7], [(0, 1, 0.9), (1, 2, 0.9)]) == [False] * 3
+
+
+def test_whole_pages_by_brute_force():
+    """Every labelling of a page's blocks is tried: the text is that of the one of least cost."""
+    draw = random.Random(4)
+    parts = [f"<p>{LONG[0]}</p>", "<p>Short</p>", "<li><a href=x>Link</a></li>", f"<p class=notice>{LONG[1]}</p>", "<div class=ad>Buy now, buy here.</div>", "<h2>Heading</h2>"]
+    for _ in range(60):
+        inside = "".join(draw.choice(parts) for _ in range(draw.randint(1, 8)))
+        page = draw.choice(["<article>{}</article>", "<div>{}</div>", "<div><ul>{}</ul></div>"]).format(inside)
+        own, gain, edges = htmltext.costs(page, PLAIN)
+        best = min(itertools.product([False, True], repeat=len(own)), key=lambda side: round(cost(gain, edges, side), 9))
+        lowest = cost(gain, edges, best)
+        got = text(page)
+        chosen = [side for side in itertools.product([False, True], repeat=len(own)) if abs(cost(gain, edges, side) - lowest) < 1e-9]
+        assert got in ["\n".join(b.text for b, s in zip(own, side) if s) for side in chosen]
+
+
+def test_unmatched_closing_tags_are_linear():
+    from time import process_time
+
+    page = "<article>" + "<div>" * 40_000 + "deep" + "</section>" * 40_000
+    started = process_time()
+    assert text(page) == "deep"
+    assert process_time() - started < 5
