@@ -7,7 +7,8 @@ frequencies are taken from the values before and multiply the likelihood. Every
 shortest labelled value may be (LEAST) is a candidate. It is added when, for some kind, its length and its likelihood
 for each symbol are like those of nearly all labelled credentials, and its likelihood in characters is well above that under the
 best model of other tokens: pairs of characters, or plain numbers. How far above is chosen on other tokens that the pair
-model has not seen, so that at most PASSING of them would be added. Of kinds that gain alike the first wins.
+model has not seen, so that at most the share PASSING of them would be added (a few of
+them may be credentials themselves). Of kinds that gain alike the first wins.
 
 The automata are fitted on at most SAMPLE labelled values for each kind, of at most SAMPLE_CHARS characters, chosen by
 hash; every whole text is scanned and every candidate scored. Null texts are empty; without labelled values nothing
@@ -43,7 +44,7 @@ SAMPLE, OTHERS, SAMPLE_CHARS = 1500, 5000, 256
 #: Confidence of the merge test, share of labelled values that may lie outside on each side.
 ALPHA, TAIL = 0.05, 0.005
 #: Nats that a value must gain over other tokens at least, and share of other tokens that may be added.
-MARGIN, PASSING = 8.5, 0.001
+MARGIN, PASSING = 8.5, 0.01
 
 SPAN = "struct<kind:string,start:int,stop:int,value:string>"
 
@@ -271,7 +272,8 @@ class Model:
         self.others = Others(others[::2])
         gains = sorted((g for v in others[1::2] if (g := self.gain(v)[1]) is not None), reverse=True)
         may_pass = int(PASSING * len(others[1::2]))
-        self.margin = max([MARGIN, *gains[may_pass : may_pass + 1]])
+        # Too few tokens tell nothing: one of them may be a credential itself.
+        self.margin = max([MARGIN, *gains[may_pass : may_pass + 1]]) if may_pass else MARGIN
 
     def gain(self, value: str) -> tuple[str | None, float | None]:
         """The kind that explains the value best, and by how much better than the other tokens do."""
