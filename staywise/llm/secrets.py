@@ -44,7 +44,7 @@ SAMPLE, OTHERS, SAMPLE_CHARS = 1500, 5000, 256
 #: Confidence of the merge test, share of labelled values that may lie outside on each side.
 ALPHA, TAIL = 0.05, 0.005
 #: Nats that a value must gain over other tokens at least, and share of other tokens that may be added.
-MARGIN, PASSING = 8.5, 0.01
+MARGIN, PASSING = 3.0, 0.01
 
 SPAN = "struct<kind:string,start:int,stop:int,value:string>"
 
