@@ -12,9 +12,9 @@ Similar lines may come in their thousands, so pairs of a group are not listed: a
 for each of its rare words, which settles nearly all; only lines not settled meet all others.
 
 A line without words is kept. A document that loses all its lines keeps an empty text; a null text stays null. A line
-is named by document, place and set of words: rows that repeat a key with different texts are decided line by line,
-and of two sets at the same place the one with the smaller hash counts as earlier. Rows of one key whose lines at a
-place have the same set decide alike. Rows with a null key stay as they are. Extra columns pass unchanged.
+is named by document, place and a tag, which is the hash of its set of words where a key stands on rows with different
+texts and 0 elsewhere: such rows are decided line by line, and of two sets at the same place the one with the smaller
+hash counts as earlier. Rows with a null key stay as they are. Extra columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ PARITY, LONG = ("parity0", "parity1", "parity2", "parity3"), 384
 MAP_BITS = 17
 _TRIMMED = " \t\n\x0b\f\r"
 _LOW = (1 << 56) - 1
-#: What names a line: document, place and two hashes of its set of words.
-NAME = ("doc", "pos", "s1", "s2")
+#: What names a line: document, place and tag.
+NAME = ("doc", "pos", "tag")
 OTHER = tuple(f"{c}_2" for c in NAME)
 
 
@@ -99,8 +99,19 @@ def _tokens(line: Column, rarity: bytes) -> Column:
     return F.sort_array(F.transform(_word_hashes(line), lambda h: _token(h, rarity)))
 
 
-def _set_name(tokens: Column) -> list[Column]:
-    return [F.xxhash64(tokens).alias("s1"), F.xxhash64(F.lit(7), tokens).alias("s2")]
+def several_texts(documents: DataFrame, key: str, text: str) -> DataFrame | None:
+    """Keys (doc) that stand on rows with different texts; None if there are none, so that nothing is joined then."""
+    named = documents.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
+    found = materialize(named.groupBy("doc").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc"))
+    return None if found.isEmpty() else found
+
+
+def _tagged(rows: DataFrame, several: DataFrame | None) -> DataFrame:
+    """The rows with their tag, from the column s1."""
+    if several is None:
+        return rows.withColumn("tag", F.lit(0).cast("long"))
+    marked = rows.join(several.withColumn("_several", F.lit(True)), "doc", "left")
+    return marked.withColumn("tag", F.when(F.col("_several"), F.col("s1")).otherwise(F.lit(0))).drop("_several")
 
 
 def _toggle(bits: Column, token: Column) -> Column:
@@ -113,7 +124,7 @@ def _parity(tokens: Column, slot: int) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: F.when(mine(x), _toggle(a, x)).otherwise(a))
 
 
-def distinct_sets(documents: DataFrame, rarity: bytes, key: str, text: str, num: int, den: int) -> DataFrame:
+def distinct_sets(documents: DataFrame, rarity: bytes, several: DataFrame | None, key: str, text: str, num: int, den: int) -> DataFrame:
     """Rows (NAME..., size, prefix, PARITY..., wide), one for each set of words: its earliest line."""
     own = lines(documents, key, text).select("doc", "pos", _tokens(F.col("line"), rarity).alias("t"))
     size = F.size("t")
@@ -126,12 +137,12 @@ def distinct_sets(documents: DataFrame, rarity: bytes, key: str, text: str, num:
         F.filter("t", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit((1 << 20) - 1)) % slots == k), F.lit(0).cast("long"), _toggle
     )))
     described = own.select(
-        *_set_name(F.col("t")), "doc", "pos",
+        F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(7), "t").alias("s2"), "doc", "pos",
         F.struct(size.alias("size"), prefix.alias("prefix"), *[_parity(F.col("t"), k).alias(p) for k, p in enumerate(PARITY)], wide.alias("wide")).alias("what"),
     )
-    first = F.struct("doc", "pos")
+    described, first = _tagged(described, several), F.struct(*NAME)
     return described.groupBy("s1", "s2").agg(F.min(first).alias("first"), F.min_by("what", first).alias("what")).select(
-        "first.doc", "first.pos", "s1", "s2", "what.*"
+        "first.*", "what.*"
     )
 
 
@@ -181,7 +192,9 @@ def _pairs(met: DataFrame, x: str, y: str) -> DataFrame:
     return met.select(*[F.col(f"{x}.{c}") for c in NAME], *[F.col(f"{y}.{c}").alias(o) for c, o in zip(NAME, OTHER, strict=True)])
 
 
-def _verified(documents: DataFrame, pairs: DataFrame, rarity: bytes, key: str, text: str, num: int, den: int) -> DataFrame:
+def _verified(
+    documents: DataFrame, pairs: DataFrame, rarity: bytes, several: DataFrame | None, key: str, text: str, num: int, den: int
+) -> DataFrame:
     """NAME of the later lines of the pairs (NAME..., OTHER...) whose word sets are similar enough.
 
     Reads the words from the documents again; lines that are not in question leave before the shuffle.
@@ -190,7 +203,8 @@ def _verified(documents: DataFrame, pairs: DataFrame, rarity: bytes, key: str, t
     involved = pairs.select(*NAME).unionByName(pairs.select(*second))
     asked = lines(documents, key, text).where(_within(involved, "doc", "pos"))
     words = asked.select("doc", "pos", _tokens(F.col("line"), rarity).alias("t"))
-    words = materialize(words.select("doc", "pos", *_set_name(F.col("t")), "t").groupBy(*NAME).agg(F.min("t").alias("t")))
+    words = _tagged(words.withColumn("s1", F.xxhash64("t")), several)
+    words = materialize(words.groupBy(*NAME).agg(F.min("t").alias("t")))
     left = pairs.join(words.withColumnRenamed("t", "t1"), list(NAME))
     right = words.select(*[F.col(c).alias(o) for c, o in zip(NAME, OTHER, strict=True)], F.col("t").alias("t2"))
     both = F.size(F.array_intersect("t1", "t2"))
@@ -201,7 +215,9 @@ def _verified(documents: DataFrame, pairs: DataFrame, rarity: bytes, key: str, t
     )
 
 
-def removed_sets(documents: DataFrame, sets: DataFrame, rarity: bytes, key: str, text: str, num: int, den: int) -> DataFrame:
+def removed_sets(
+    documents: DataFrame, sets: DataFrame, rarity: bytes, several: DataFrame | None, key: str, text: str, num: int, den: int
+) -> DataFrame:
     """NAME of the earliest lines of their sets that are similar to an earlier line."""
 
     def postings(rows: DataFrame, *more: str) -> DataFrame:
@@ -215,7 +231,7 @@ def removed_sets(documents: DataFrame, sets: DataFrame, rarity: bytes, key: str,
     led = postings(sets).withColumn("y", F.min("x").over(Window.partitionBy("word")))
     nearest = led.where(near).groupBy(name("x").alias("x")).agg(F.min(F.struct(apart.alias("apart"), name("y").alias("y"))).alias("b"))
     first = materialize(_pairs(nearest.select("x", F.col("b.y").alias("y")), "x", "y"))
-    settled = materialize(_verified(documents, first, rarity, key, text, num, den))
+    settled = materialize(_verified(documents, first, rarity, several, key, text, num, den))
     # Lines that are not settled meet all earlier lines of their words, one part of the words after the other.
     perhaps = _within(settled, *NAME)
     open_sets = sets.where(~perhaps).unionByName(sets.where(perhaps).join(settled, list(NAME), "left_anti").select(*sets.columns))
@@ -234,7 +250,7 @@ def removed_sets(documents: DataFrame, sets: DataFrame, rarity: bytes, key: str,
         short = postings(open_sets.where(F.col("size") <= LONG)).where(mine)
         rest = rest.unionByName(meet(short, postings(sets).where(mine), near))
     rest = rest.distinct()
-    return settled.unionByName(materialize(_verified(documents, rest, rarity, key, text, num, den)))
+    return settled.unionByName(materialize(_verified(documents, rest, rarity, several, key, text, num, den)))
 
 
 def dedup_lines(
@@ -243,13 +259,11 @@ def dedup_lines(
     """The documents without removed lines, with columns n_lines and n_kept added or replaced."""
     missing(documents, key, text)
     rarity = rarity_table(documents, text)
-    sets = materialize(distinct_sets(documents, rarity, key, text, num, den))
-    gone = removed_sets(documents, sets, rarity, key, text, num, den)
+    several = several_texts(documents, key, text)
+    sets = materialize(distinct_sets(documents, rarity, several, key, text, num, den))
+    gone = removed_sets(documents, sets, rarity, several, key, text, num, den)
     stay = sets.select(*NAME).join(gone, list(NAME), "left_anti")
-    # Keys on rows with different texts: there a place does not tell which line is meant.
-    named = documents.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
-    several = materialize(named.groupBy("doc").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc"))
-    if several.isEmpty():
+    if several is None:
         return _without(documents, stay, key, text, None)
     rows = packed(documents)
     unclear = rows.join(several, F.col("_row")[key] == F.col("doc"), "left_semi").select("_row.*")
@@ -259,7 +273,7 @@ def dedup_lines(
 
 def _without(documents: DataFrame, stay: DataFrame, key: str, text: str, rarity: bytes | None) -> DataFrame:
     """The documents with only the lines that stay: by their places, or with a rarity table by place and set."""
-    what = F.col("pos") if rarity is None else F.struct("pos", "s1", "s2")
+    what = F.col("pos") if rarity is None else F.struct("pos", "tag")
     kept = stay.groupBy("doc").agg(F.collect_list(what).alias("_kept")).withColumnRenamed("doc", "_doc")
     row = F.col("_row")
     joined = packed(documents).join(kept, row[key] == F.col("_doc"), "left")
@@ -270,7 +284,7 @@ def _without(documents: DataFrame, stay: DataFrame, key: str, text: str, rarity:
         inside = F.filter(F.coalesce("_kept", F.array().cast("array<int>")), lambda i: i < F.size("_lines"))
     else:
         tokens = F.transform("_lines", lambda x, i: F.struct(i.alias("pos"), _tokens(x, rarity).alias("t")))
-        names = F.transform(tokens, lambda x: F.struct(x["pos"].alias("pos"), *_set_name(x["t"])))
+        names = F.transform(tokens, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["t"]).alias("tag")))
         inside = F.transform(F.filter(names, lambda x: F.coalesce(F.array_contains("_kept", x), F.lit(False))), lambda x: x["pos"])
     own = F.when(row[key].isNull(), every).otherwise(F.array_sort(F.array_union(blank, inside)))
     chosen = joined.withColumn("_own", F.when(F.col("_text").isNotNull(), own))
