@@ -113,12 +113,16 @@ def running_counts(
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that ``spark.checkpoint.dir`` names; where it is unset, one in the warehouse.
 
-    The warehouse is a place that the driver and all executors share, whatever the master is.
+    The warehouse is a place that the driver and all executors share; one on the driver's own disk is refused on a
+    cluster, whose executors could not read it.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not folder and warehouse.startswith("file:") and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share; the warehouse is on the driver's own disk")
+        context.setCheckpointDir(folder or f"{warehouse}/_checkpoints")
 
 
 def materialize(frame: DataFrame) -> DataFrame:
