@@ -13,9 +13,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from staywise.functions.columns import ref, require_columns
-from staywise.functions.scale import ensure_checkpoint_dir, materialize, running_counts
+from staywise.functions.scale import ensure_checkpoint_dir, materialize
 from staywise.operators.evaluation import model_metrics, reliability_deciles
 
 LABEL, SCORE = "outcome", "predicted_risk"
@@ -27,8 +28,8 @@ METRICS = (
     "calibration_intercept",
     "calibration_slope",
 )
-# Half-width of the rank interval that is searched for the exact median.
-_BRACKET = 0.001
+# Parts into which a pass of the median search cuts what is left, and more steps than any finite double's logarithm has.
+_PARTS, _HUGE = 1 << 12, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -46,52 +47,74 @@ def _missing_as_null(frame: DataFrame, name: str):
     return F.nanvl(ref(name).cast("double"), F.lit(None).cast("double"))
 
 
+def _first_digit(v):
+    """A whole number that never falls as v grows: sign and binary logarithm in steps of 1/32; 0 for zero.
+
+    Two values with one such digit differ by less than a factor of two, so their difference is exact.
+    """
+    size = F.least(F.floor(F.log2(F.abs(v)) * 32), F.lit(_HUGE)) + 2 * _HUGE
+    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
+
+
+def _next_digit(v, low, high):
+    """Which of the _PARTS equal parts of low..high holds v; low and high never fall into the same one."""
+    return F.when(low == high, F.lit(0).cast("long")).otherwise(F.floor((v - low) / (high - low) * _PARTS))
+
+
 def exact_medians(frame: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """Exact median per column (None when it holds no value; NaN counts as missing).
 
-    The built-in median keeps all distinct values of a column in one task. Here approximate quantiles bracket
-    each median first; then values below the bracket are only counted and the few inside it are ordered,
-    combined per distinct value. One row per (row, column) exists only inside the map tasks.
+    Radix selection: one aggregate counts the cells of every column by digit, the running count tells which digit
+    holds the middle ranks, and the next pass looks only at the cells between the smallest and the largest value
+    of that digit. It ends where these are equal: after two or three passes on usual data, and after at most six,
+    as a pass leaves 1/_PARTS of the range of a digit and a range has at most 2**52 doubles. Columns that are
+    settled are read no more. The frame is read once a pass, so it should be written beforehand.
+
+    One row per (row, column) exists only inside the map tasks; what is shuffled, ordered or collected is bounded by
+    columns and digits, whatever the number of rows.
     """
     columns = list(columns)
-    if not columns:
-        return {}
-    cells = frame.select(F.posexplode(F.array(*[_missing_as_null(frame, c) for c in columns])).alias("i", "v"))
-    cells = cells.where("v is not null")
-    # Everything collected or broadcast here has at most one row per column.
-    limits = (
-        cells.groupBy("i")
-        .agg(
-            F.count("v").alias("n"),
-            F.percentile_approx("v", F.array(F.lit(0.5 - _BRACKET), F.lit(0.5 + _BRACKET)), F.lit(10000)).alias("q"),
-        )
-        .collect()
-    )
     medians: dict[str, float | None] = dict.fromkeys(columns)
-    if not limits:
-        return medians
-    wanted = frame.sparkSession.createDataFrame(
-        [(r.i, r.q[0], r.q[1], (r.n + 1) // 2, r.n // 2 + 1) for r in limits],
-        "i int, low double, high double, first bigint, second bigint",
-    )
-    counts = materialize(
-        cells.join(F.broadcast(wanted), "i")
-        .where("v <= high")
-        .groupBy("i", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    below = counts.where("v is null").select("i", F.col("n").alias("below"))
-    ranked = running_counts(counts.where("v is not null").select("i", "v", "n"), "v", ["n"], ["i"])
-    placed = ranked.join(F.broadcast(below), "i", "left").join(F.broadcast(wanted), "i")
-    start = F.coalesce("below", F.lit(0)) + F.col("below_n")
-
-    def at(rank: str):
-        return F.max(F.when((F.col(rank) > start) & (F.col(rank) <= start + F.col("n")), F.col("v"))).alias(rank)
-
-    for row in placed.groupBy("i").agg(at("first"), at("second")).collect():
-        if row["first"] is None or row["second"] is None:
-            raise RuntimeError(f"median of {columns[row.i]} lies outside its bracket")
-        medians[columns[row.i]] = (row["first"] + row["second"]) / 2
+    found: dict[int, list[float]] = {}
+    ranges: list[tuple] | None = None  # (column, low, high, wanted ranks inside); None: everything
+    while columns and ranges != []:
+        open_columns = range(len(columns)) if ranges is None else sorted({r[0] for r in ranges})
+        # Adding zero makes one value of both zeros.
+        pairs = [F.struct(F.lit(i).alias("i"), (_missing_as_null(frame, columns[i]) + 0.0).alias("v")) for i in open_columns]
+        cells = frame.select(F.explode(F.array(*pairs)).alias("cell")).select("cell.*").where("v is not null")
+        if ranges is None:
+            cells = cells.select("i", F.lit(0).alias("part"), "v", _first_digit(F.col("v")).alias("digit"))
+        else:
+            # At most two rows per column.
+            parts = [(i, k, low, high) for k, (i, low, high, _) in enumerate(ranges)]
+            wanted = frame.sparkSession.createDataFrame(parts, "j int, part int, low double, high double")
+            inside = (F.col("i") == F.col("j")) & F.col("v").between(F.col("low"), F.col("high"))
+            cells = cells.join(F.broadcast(wanted), inside).select(
+                "i", "part", "v", _next_digit(F.col("v"), F.col("low"), F.col("high")).alias("digit")
+            )
+        digits = cells.groupBy("i", "part", "digit").agg(
+            F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+        )
+        group = Window.partitionBy("i", "part")
+        digits = digits.withColumn("upto", F.sum("n").over(group.orderBy("digit")))
+        if ranges is None:
+            total = F.sum("n").over(group)
+            middle = F.array(F.floor((total + 1) / 2), F.floor(total / 2) + 1)
+            digits = digits.withColumn("ranks", middle)
+        else:
+            ranks = [(i, k, inner) for k, (i, _, _, inner) in enumerate(ranges)]
+            asked = frame.sparkSession.createDataFrame(ranks, "i int, part int, ranks array<bigint>")
+            digits = digits.join(F.broadcast(asked), ["i", "part"])
+        here = F.filter("ranks", lambda r: (r <= F.col("upto")) & (r > F.col("upto") - F.col("n")))
+        chosen = digits.withColumn("here", here).where(F.size("here") > 0)
+        ranges = []
+        for row in chosen.orderBy("i", "digit").collect():  # at most two rows per column
+            if row.low == row.high:
+                found.setdefault(row.i, []).extend([row.low] * len(row.here))
+            else:
+                ranges.append((row.i, row.low, row.high, [r - (row.upto - row.n) for r in row.here]))
+    for i, (first, second) in found.items():
+        medians[columns[i]] = first if first == second else (first + second) / 2
     return medians
 
 

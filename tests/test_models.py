@@ -41,6 +41,35 @@ def test_medians_with_one_dominant_value(spark):
     assert exact_medians(frame, ["x"])["x"] == float(np.median(values))
 
 
+def test_medians_of_values_of_every_size(spark):
+    tiny, near = 5e-324, [1.0]
+    for _ in range(40):
+        near.append(math.nextafter(near[-1], 2))
+    columns = {
+        "spread": [s * 2.0**e for e in range(-1074, 1024, 7) for s in (1, -1)] + [1e300, -tiny, tiny, 0.0, -0.0, 3.0],
+        "near": near + [-1e308, 1e308, 1e308],
+        "infinite": [float("inf")] * 3 + [float("-inf")] * 2 + [7.0, 8.0],
+        "ends": [float("inf"), float("-inf"), float("inf")],
+        "far": [-1e308, -1e308, 1e308 / 2, 1e308],
+        "zeros": [0.0, -0.0, -0.0, 0.0],
+        "powers": [math.nextafter(2.0**k, side) for k in range(-60, 60) for side in (0, math.inf)] + [2.0**k for k in range(-60, 60)],
+    }
+    longest = max(map(len, columns.values()))
+    rows = [tuple(v[i] if i < len(v) else None for v in columns.values()) for i in range(longest)]
+    frame = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(5)
+    found = exact_medians(frame, list(columns))
+    for name, values in columns.items():
+        ordered = sorted(values)
+        first, second = ordered[(len(values) - 1) // 2], ordered[len(values) // 2]
+        assert found[name] == (first if first == second else (first + second) / 2), name
+
+
+def test_medians_of_no_rows_and_of_odd_names(spark):
+    assert exact_medians(spark.createDataFrame([], "x double"), ["x"]) == {"x": None}
+    frame = spark.createDataFrame([(1, "2"), (4, None), (2, "5")], "`a.b` int, `i` string")
+    assert exact_medians(frame, ["a.b", "i"]) == {"a.b": 2.0, "i": 3.5}
+
+
 def newton(x, y, penalty):
     """Reference fit: minimise sum of losses + |w|^2 / (2 penalty), intercept unpenalised."""
     design = np.column_stack([np.ones(len(x)), x])
