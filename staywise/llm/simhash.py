@@ -1,12 +1,15 @@
 """SimHash near-duplicates, found exactly through vantage-point trees over parts of the fingerprint.
 
-If two fingerprints differ in at most t bits, then in one of four 16-bit parts they differ in at most r = t // 4. So
-each part has a vantage-point tree of its own that is searched with radius r. The tree parts the values by their
-Hamming distance to one vantage point after the other; by the triangle inequality the partners of a value whose
-distances are (d1, d2, ...) lie in shards whose distances differ by at most r each, and, as the parity of a
-distance tells that of the difference, by 0 or by exactly one in each if r is 1. All other branches are pruned.
-A fingerprint has one home shard for each part and is sent as a query to the overlapping shards on one side, so
-each pair meets; there all 64 bits are compared. No pair is missed.
+If two fingerprints differ in at most t bits, then in one of three parts (22, 21 and 21 bits) they differ in at most
+r = t // 3. So each part has a vantage-point tree of its own that is searched with radius r. The tree parts the values
+by their Hamming distance to one vantage point after the other. By the triangle inequality the distances of two
+partners differ by at most r each, and which differences occur together is known: a bit that differs adds or takes
+one from each distance, by the vantage point's own bit. So the partners of a value lie in the shards at these few
+offsets; all other branches are pruned. A fingerprint has one home shard for each part and is sent as a query to the
+shards at the offsets of one sign, so each pair meets; there all 64 bits are compared. No pair is missed.
+
+The tree is as deep as the number of fingerprints asks for (SHARD of them in a shard, as far as the bits of a part
+can tell them apart), while the rows of a fingerprint stay near three dozen: work grows in proportion to the input.
 
 Null texts are empty texts: fingerprint zero, linked like any other. Rows with a null key get a fingerprint and the
 component of their fingerprint; it is null only if all keys in it are. Other columns are ignored.
@@ -14,7 +17,8 @@ component of their fingerprint; it is null only if all keys in it are. Other col
 
 from __future__ import annotations
 
-import itertools
+import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +32,10 @@ from staywise.llm.common import in_batches, materialize, missing
 from staywise.llm.components import Forest, connected
 
 SEED = 42
-PARTS, PART_BITS = 4, 16
-#: Fixed vantage points: halving patterns, whose distances say as much as possible about different bits.
-VANTAGE = (0x0000, 0x00FF, 0x0F0F, 0x3333)
+#: First bit and number of bits of each part.
+PARTS = ((0, 22), (22, 21), (43, 21))
+#: Fingerprints that a shard should hold, and vantage points of a part at most (far more than tell all its values apart).
+SHARD, DEEPEST = 512, 12
 #: Fingerprints of a shard that are compared in one task; a larger shard is cut into blocks of about this size.
 BLOCK = 4096
 #: Hot shards are looked up by broadcast up to so many, by a shuffled join beyond.
@@ -72,49 +77,79 @@ def fingerprints(frame: DataFrame, shingle: int = 4, key: str = "doc_id", text:
     return in_batches(frame).select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
 
 
-def _offsets(radius: int) -> np.ndarray:
-    """Differences of vantage distances that partners within the radius can show, one of each +/- pair."""
-    found = {
-        d for k in range(radius + 1) for d in itertools.product(range(-k, k + 1, 2), repeat=len(VANTAGE))
-    }
-    return np.array(sorted(d for d in found if d > tuple([0] * len(VANTAGE))), np.int64).reshape(-1, len(VANTAGE))
+def depth_for(count: int) -> int:
+    """Vantage points of a part: the first one tells 2**3.1 shards apart on average, each other one 2**2 times as many."""
+    wanted = math.log2(max(1, count) / SHARD)
+    return min(DEEPEST, max(1, 1 + math.ceil((wanted - 3.1) / 2)))
+
+
+def vantage_points(depth: int, bits: int) -> list[int]:
+    """Zero, then drawn patterns of half the bits (always the same ones): each says something new."""
+    draw = random.Random(bits)
+    return [0, *(sum(1 << b for b in draw.sample(range(bits), bits // 2)) for _ in range(depth - 1))]
 
 
-def _shards(values: DataFrame, radius: int) -> DataFrame:
+def _offsets(points: list[int], bits: int, radius: int) -> dict[tuple[int, ...], int]:
+    """Differences of vantage distances that partners within the radius can show, one of each +/- pair.
+
+    With each the bits that, being zero, make it possible (all bits where that is not asked).
+    """
+    # What setting a bit adds to the distances; the first is always 1, as the first vantage point is zero.
+    columns = [tuple(1 - 2 * (v >> b & 1) for v in points) for b in range(bits)]
+    if radius == 1:
+        found: dict[tuple[int, ...], int] = {}
+        for b, column in enumerate(columns):
+            found[column] = found.get(column, 0) | 1 << b
+        return found
+    zero, sums = tuple([0] * len(points)), {tuple([0] * len(points))}
+    steps = {tuple(s * x for x in column) for column in columns for s in (1, -1)}
+    for _ in range(radius):
+        sums |= {tuple(map(sum, zip(a, b, strict=True))) for a in sums for b in steps}
+    return {d: -1 for d in sorted(sums) if d > zero}
+
+
+def _shards(values: DataFrame, radius: int, depth: int) -> DataFrame:
     """(shard, fp, query) rows: a home row for each part, and query rows for the overlapping shards."""
-    offsets, width = _offsets(radius), PART_BITS + 1
+    trees = []
+    for first, bits in PARTS:
+        points = vantage_points(depth, bits)
+        trees.append((first, bits, points, _offsets(points, bits, radius)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
-            for part in range(PARTS):
-                own = (fp >> np.uint64(PART_BITS * part)).astype(np.uint16)
-                near = np.stack([np.bitwise_count(own ^ np.uint16(v)).astype(np.int64) for v in VANTAGE], 1)
-                for shift in [None, *offsets]:
-                    at = near if shift is None else near + shift
-                    fits = ((at >= 0) & (at < width)).all(axis=1)
-                    shard = np.full(int(fits.sum()), part, np.int64)
-                    for k in range(len(VANTAGE)):
-                        shard = shard * width + at[fits, k]
+            for part, (first, bits, points, offsets) in enumerate(trees):
+                own = fp >> np.uint64(first) & np.uint64((1 << bits) - 1)
+                near = np.stack([np.bitwise_count(own ^ np.uint64(v)).astype(np.int64) for v in points], 1)
+                for shift, clear in [(None, -1), *offsets.items()]:
+                    at = near if shift is None else near + np.array(shift)
+                    fits = ((at >= 0) & (at <= bits)).all(axis=1)
+                    if clear >= 0:
+                        fits &= (~own & np.uint64(clear)) != 0
+                    shard = np.zeros(int(fits.sum()), np.int64)
+                    for k in range(len(points)):
+                        shard = shard * (bits + 1) + at[fits, k]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(shard.astype(np.int32)),
+                            pa.array(shard * len(PARTS) + part),
                             pa.array(fp[fits].view(np.int64)),
                             pa.array(np.full(len(shard), shift is not None)),
                         ],
                         names=["shard", "fp", "query"],
                     )
 
-    return values.select("fp").mapInArrow(run, "shard int, fp long, query boolean")
+    return values.select("fp").mapInArrow(run, "shard long, fp long, query boolean")
 
 
 def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     """(a, b) edges between fingerprints that say which ones are connected by links of at most ``max_bits`` bits.
 
+    ``distinct`` is read several times, so it should be written beforehand.
+
     Shards are cut into blocks where they are large: home rows go to one block, everything that must be compared
     with the shard goes to all its blocks. A block returns a spanning forest of its links, never all pairs.
     """
-    rows = _shards(distinct, max_bits // PARTS)
+    rows = _shards(distinct, max_bits // len(PARTS), depth_for(distinct.count()))
     hot = materialize(
         rows.where("not query").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
         .select("shard", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -153,7 +188,7 @@ def near_duplicates(
     """Rows (key, fp, component): component is the smallest key reachable by links of at most ``max_bits`` bits."""
     own = materialize(fingerprints(frame, shingle, key, text))
     first = own.groupBy("fp").agg(F.min(key).alias("first"))
-    reached = connected(links(own.select("fp").distinct(), max_bits))
+    reached = connected(links(materialize(own.select("fp").distinct()), max_bits))
     lowest = reached.join(first, reached["node"] == first["fp"]).select("root", "node", "first")
     groups = lowest.groupBy("root").agg(F.min("first").alias("component"))
     linked = lowest.join(groups, "root").select(F.col("node").alias("fp"), "component")

@@ -64,9 +64,10 @@ def test_groups_of_documents(docs):
             assert r.component_id == expected[r.doc_id]
 
 
-@pytest.mark.parametrize("bits", [0, 3, 4, 7, 8])
-def test_links_are_exact(spark, bits, monkeypatch):
+@pytest.mark.parametrize(("bits", "shard"), [(0, 512), (2, 1), (3, 512), (4, 512), (4, 4), (4, 2**-16), (5, 1 / 64), (7, 1), (8, 512)])
+def test_links_are_exact(spark, bits, shard, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 40)  # hot shards are cut
+    monkeypatch.setattr(simhash, "SHARD", shard)  # trees of different depths
     draw = np.random.default_rng(bits)
     centres = draw.integers(0, 1 << 63, 6, dtype=np.uint64)
     values = [int(c) ^ sum(1 << int(b) for b in draw.choice(64, draw.integers(0, 7), replace=False)) for c in centres for _ in range(40)]
@@ -79,6 +80,26 @@ def test_links_are_exact(spark, bits, monkeypatch):
     assert found == expected
 
 
+def test_tree_depth_follows_the_count():
+    """Deeper trees tell more values apart, and the rows of a fingerprint do not grow with them without bound."""
+    assert simhash.depth_for(0) == simhash.depth_for(1000) == 1
+    depths = [simhash.depth_for(10**k) for k in range(3, 14)]
+    assert depths == sorted(depths) and depths[-1] <= simhash.DEEPEST
+    draw = np.random.default_rng(1).integers(0, 1 << 22, 200_000, dtype=np.uint64)
+    before = None
+    for depth in (1, 4, 6, 8, simhash.DEEPEST):
+        points = simhash.vantage_points(depth, 22)
+        assert len(set(points)) == depth
+        near = np.stack([np.bitwise_count(draw ^ np.uint64(v)) for v in points], 1).astype(np.uint8)
+        _, sizes = np.unique(near, axis=0, return_counts=True)
+        met = float((sizes / len(draw) * sizes).sum())  # values that an average one meets at home
+        assert before is None or met < before / 4 or met < 2
+        before = met
+        offsets = simhash._offsets(points, 22, 1)
+        sent = sum(((~draw & np.uint64(clear) & np.uint64((1 << 22) - 1)) != 0).mean() for clear in offsets.values())
+        assert len(offsets) <= 22 and sent < 12
+
+
 def test_empty_table(docs):
     assert simhash.groups(docs([])).collect() == []
 
