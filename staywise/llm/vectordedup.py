@@ -1,12 +1,15 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products inside cells, one vector kept per group.
 
 Vectors that are equal and have the same label are one point with a count. Centroids are fitted on at most
-SAMPLE points, chosen by hash; every point is then assigned to its PROBES nearest cells. Points of one label and cell
-are compared by cosine in double precision, in blocks, so that a cell of any size is cut into bounded tasks. A pair
-that meets in several cells counts in the first common one only. A task returns, for each of its points, the
-number of links and one edge of a spanning forest, never the pairs.
-
-A pair is missed only if none of the PROBES nearest cells is common; tests measure the recall against brute force.
+SAMPLE points, chosen by hash; every point is then assigned to its PROBES nearest cells. Where that leaves more than
+CELL_POINTS points to a cell, all cells are cut once more by what a vector has beside its centroid, with a second set
+of centroids fitted on the same sample: a thousand and a thousand centroids make a million cells, so the number of
+cells follows the number of points up to two billion of them. Points of one label and cell are compared by cosine in
+double precision, in blocks, so that a cell of any size is cut into bounded tasks. A pair that meets in several cells
+counts in the first common one only. A task returns, for each of its points, the number of links and one edge of a
+spanning forest, never the pairs.
+
+A pair is missed only if none of the nearest cells is common; tests measure the recall against brute force.
 Vectors that are null, empty, zero or hold null or non-finite components, and rows without id or label, link with
 nothing: no links, a component of their own, kept. Vectors of different lengths do not link. Every row counts as a
 vector of its own, also if an id repeats.
@@ -27,10 +30,10 @@ from staywise.llm.components import Forest, connected
 THRESHOLD = 0.98
 #: Points on which centroids are fitted, at most (expected number), and rounds of the fit.
 SAMPLE, ROUNDS = 20_000, 12
-#: Cells are made so that a cell has about this many points, as far as the sample can place centroids.
+#: Cells are made so that a cell has about this many points; centroids of one level, at most.
 CELL_POINTS, LARGEST_K = 2000, 1000
-#: Nearest cells in which a point is compared.
-PROBES = 3
+#: Nearest cells in which a point is compared, and in each the nearest cells of the second level if there is one.
+PROBES, INNER_PROBES = 3, 2
 #: Points of a block; two blocks are compared in one task.
 BLOCK = 2048
 #: Hot cells are looked up by broadcast up to so many, by a shuffled join beyond.
@@ -64,6 +67,44 @@ def spherical_kmeans(points: np.ndarray, k: int, rounds: int = ROUNDS, seed: int
     return centres
 
 
+def cells_for(points: int, sample: int) -> tuple[int, int]:
+    """Centroids of both levels; one of the second level stands for none."""
+    most = min(LARGEST_K, max(1, sample // 10))
+    first = min(most, max(1, -(-points // CELL_POINTS)))
+    return first, min(most, max(1, -(-points // (CELL_POINTS * first))))
+
+
+def _beside(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """What unit vectors have at right angles to the unit centroid of the same row."""
+    return unit - (unit * centres).sum(axis=1, keepdims=True) * centres
+
+
+def _inner_nearest(rest: np.ndarray, inner: np.ndarray, most: int) -> np.ndarray:
+    """The nearest centroids of the second level, by distance: what lies near its own centroid has no direction."""
+    return np.argsort((inner * inner).sum(axis=1) / 2 - rest @ inner.T, axis=1, kind="stable")[:, :most]
+
+
+def inner_kmeans(rest: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 11) -> np.ndarray:
+    """Centroids of the second level: each is the mean of the rests nearest to it."""
+    inner = rest[np.random.default_rng(seed).choice(len(rest), min(k, len(rest)), replace=False)]
+    for _ in range(rounds):
+        nearest = np.concatenate([_inner_nearest(part, inner, 1)[:, 0] for part in np.array_split(rest, 1 + len(rest) // 4096)])
+        sums, sizes = np.zeros_like(inner), np.bincount(nearest, minlength=len(inner))[:, None]
+        np.add.at(sums, nearest, rest)
+        inner = np.where(sizes > 0, sums / np.maximum(sizes, 1), inner)
+    return inner
+
+
+def nearest_cells(vectors: np.ndarray, centres: np.ndarray, inner: np.ndarray | None) -> np.ndarray:
+    """Numbers of the nearest cells of each vector, one column for each."""
+    unit = _unit(vectors)
+    near = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :PROBES]
+    if inner is None:
+        return near.astype(np.int32)
+    columns = [near[:, [c]] * len(inner) + _inner_nearest(_beside(unit, centres[near[:, c]]), inner, INNER_PROBES) for c in range(near.shape[1])]
+    return np.concatenate(columns, axis=1).astype(np.int32)
+
+
 def _takes_part(key: str, vector: str, label: str) -> Column:
     v = F.col(f"`{vector}`").cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -88,18 +129,24 @@ def _assigned(points: DataFrame) -> DataFrame:
     chosen = points.where(F.pmod(F.xxhash64("s1", "s2"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").toArrow()
     sample = [np.asarray(x.as_py()) for x in chosen.column("v")]
     width = max(map(len, sample), default=1)
-    k = min(LARGEST_K, max(1, len(sample) // 10), -(-total // CELL_POINTS)) if sample else 1
-    centres = spherical_kmeans(_padded(sample, width), k) if sample else np.ones((1, width)) / np.sqrt(width)
+    centres, inner = np.ones((1, width)) / np.sqrt(width), None
+    if sample:
+        first, second = cells_for(total, len(sample))
+        unit = _unit(_padded(sample, width))
+        centres = spherical_kmeans(unit, first)
+        if second > 1:
+            own = np.concatenate([(part @ centres.T).argmax(axis=1) for part in np.array_split(unit, 1 + len(unit) // 4096)])
+            inner = inner_kmeans(_beside(unit, centres[own]), second)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = [np.asarray(x) for x in batch.column(2).to_pylist()]
             if not vectors:
                 continue
-            close = _padded(vectors, width) @ centres.T
-            near = np.argsort(-close, axis=1, kind="stable")[:, :PROBES]
+            parts = range(0, len(vectors), 2048)
+            near = np.concatenate([nearest_cells(_padded(vectors[i : i + 2048], width), centres, inner) for i in parts])
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(3)], pa.array(list(near.astype(np.int32))), batch.column(3)],
+                [*[batch.column(i) for i in range(3)], pa.array(list(near)), batch.column(3)],
                 names=["point", "n", "v", "cells", "label"],
             )
 

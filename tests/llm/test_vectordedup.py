@@ -76,6 +76,25 @@ def test_recall_with_many_cells(spark, monkeypatch):
     assert all(a[1] <= b[1] for a, b in zip(got, expected, strict=True))  # none that is no link
 
 
+def test_cells_follow_the_points():
+    assert vectordedup.cells_for(0, 0) == (1, 1) and vectordedup.cells_for(50_000, 20_000) == (25, 1)
+    assert vectordedup.cells_for(2_000_000, 20_000) == (1000, 1) and vectordedup.cells_for(20_000_000, 20_000) == (1000, 10)
+    assert vectordedup.cells_for(5_000_000_000, 20_000) == (1000, 1000)
+
+
+def test_recall_with_cells_of_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(vectordedup, "CELL_POINTS", 15)
+    monkeypatch.setattr(vectordedup, "LARGEST_K", 8)
+    assert vectordedup.cells_for(900, 900) == (8, 8)
+    for noise, width in ((0.09, 32), (0.02, 6)):
+        rows = clusters(900, width=width, labels=1, seed=6, noise=noise)
+        rows += [(2000 + i, rows[0][1], rows[0][2]) for i in range(40)]
+        got, expected = run(spark, rows), brute(rows)
+        assert sum(x[1] for x in expected) > 1000
+        assert sum(x[1] for x in got) >= 0.95 * sum(x[1] for x in expected)
+        assert all(a[1] <= b[1] for a, b in zip(got, expected, strict=True))
+
+
 def test_hard_rows(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v, 0), (2, v, 0), (2, v, 0), (3, v, 1), (4, v, None), (5, None, 0), (6, [], 0), (7, [0.0] * 3, 0), (8, [1.0, None, 2.0], 0),
