@@ -625,6 +625,58 @@ def logistic_baseline(spark, folder):
     return _fitted(spark, folder, md.fit_logistic)
 
 
+def _training_side(spark, folder):
+    frame = materialize(_model_frame(spark, folder))
+    features = [c for c in frame.columns if c not in (STAY, PATIENT, "outcome")]
+    return sp.group_train_test_split(frame, PATIENT).where("split = 'train'"), features
+
+
+@_query
+def feature_bins(spark, folder):
+    """The cuts that the boosted trees may use, per feature of the training side."""
+    train, features = _training_side(spark, folder)
+    cuts = [(c, float(v)) for c, own in md.bin_cuts(train, features).items() for v in own]
+    return spark.createDataFrame(cuts, "feature string, cut double")
+
+
+@_query
+def gbt_first_split(spark, folder):
+    """Where the first tree splits all training rows, as its rows say: sizes of both sides and the fall of the variance."""
+    train, features = _training_side(spark, folder)
+    top = md.tree_splits(md.fit_boosted_trees(train, features, trees=1), features)[0]
+    value = F.nanvl(F.col(top["feature"]).cast("double"), F.lit(None).cast("double"))
+    left = F.lit(top["missing"] == "right") if top["cut"] is None else value < top["cut"]
+    sides = train.groupBy(F.when(value.isNull(), top["missing"] == "left").otherwise(left).alias("left")).count()
+    return sides.agg(
+        F.lit(top["feature"]).alias("feature"), F.min("count").alias("n_smaller"), F.max("count").alias("n_larger"),
+        F.lit(top["gain"]).alias("gain"),
+    )
+
+
+@_query
+def gbt_leaf_means(spark, folder):
+    """Boosting by its definition: a leaf of a tree predicts the mean of what the trees before it leave over.
+
+    Per tree: training rows, and the largest gap between a leaf and that mean (zero if the trees are right).
+    """
+    train, features = _training_side(spark, folder)
+    model = md.fit_boosted_trees(train, features, trees=8)
+    boosted = model.stages[-1]
+    frame = boosted.setLeafCol("leaf").transform(md.PipelineModel(model.stages[:-1]).transform(train))
+    sign, so_far = F.col("outcome") * 2.0 - 1.0, F.lit(0.0)
+    steps = []
+    for i, (tree, weight) in enumerate(zip(boosted.trees, boosted.treeWeights, strict=True)):
+        frame = tree.setPredictionCol(f"tree_{i}").setLeafCol("").transform(frame)
+        left_over = sign if i == 0 else sign * 4.0 / (F.exp(sign * 2.0 * so_far) + 1.0)
+        leaf = vector_to_array("leaf").getItem(i)
+        steps.append(F.struct(F.lit(i).alias("tree"), leaf.alias("leaf"), F.col(f"tree_{i}").alias("said"), left_over.alias("r")))
+        so_far = so_far + F.col(f"tree_{i}") * weight
+    leaves = frame.select(F.inline(F.array(*steps))).groupBy("tree", "leaf").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("said"))).alias("said"), F.abs(F.avg("r")).alias("r")
+    )
+    return leaves.groupBy("tree").agg(F.sum("n").alias("n"), F.round(F.max(F.abs(F.col("said") - F.col("r"))), 6).alias("gap"))
+
+
 @_query
 def gbt_baseline(spark, folder):
     return _fitted(spark, folder, lambda train, features: md.fit_boosted_trees(train, features))

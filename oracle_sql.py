@@ -628,6 +628,34 @@ ORACLES["logistic_design"] = _with(
     _TRAIN_SIDE,
 )
 
+# Bins of the boosted trees: every value of a column of at most 63, else values at ranks floor(k n / 63) + 1 and the largest.
+_CUTS = (
+    "vals AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS feature, CAST({c} AS DOUBLE) AS v, outcome FROM train" for i, c in enumerate(_BASIC_FEATURES))
+    + "), placed AS (SELECT feature, v, row_number() OVER w AS rank, count(*) OVER (PARTITION BY feature) AS n, "
+    "dense_rank() OVER w AS d FROM vals WHERE v IS NOT NULL WINDOW w AS (PARTITION BY feature ORDER BY v)), "
+    "sizes AS (SELECT feature, max(d) AS d, max(n) AS n FROM placed GROUP BY feature), "
+    "cuts AS (SELECT DISTINCT p.feature, p.v AS cut FROM placed p JOIN sizes s USING (feature) WHERE s.d <= 63 "
+    "OR list_contains([least(k * s.n // 63 + 1, s.n) for k in range(1, 64)], p.rank))"
+)
+ORACLES["feature_bins"] = _with("SELECT feature, round(cut, 6) AS cut FROM cuts", f"{_TRAIN_SIDE}, {_CUTS}")
+# All splits of all training rows: at a cut or with no value right (cut null), missing values on either side.
+ORACLES["gbt_first_split"] = _with(
+    "SELECT feature, least(nl, n - nl) AS n_smaller, greatest(nl, n - nl) AS n_larger, round(gain, 6) AS gain FROM gains "
+    "ORDER BY round(gain, 12) DESC, i LIMIT 1",
+    f"{_TRAIN_SIDE}, {_CUTS}, "
+    "tried AS (SELECT feature, cut FROM cuts UNION ALL SELECT DISTINCT feature, CAST(NULL AS DOUBLE) FROM cuts), "
+    "counts AS (SELECT any_value(v.i) AS i, feature, cut, m.side, count(*) AS n, sum(outcome) AS pos, "
+    "count(*) FILTER (WHERE CASE WHEN v IS NULL THEN m.side ELSE cut IS NULL OR v < cut END) AS nl, "
+    "coalesce(sum(outcome) FILTER (WHERE CASE WHEN v IS NULL THEN m.side ELSE cut IS NULL OR v < cut END), 0) AS pl "
+    "FROM vals v JOIN tried USING (feature), (VALUES (true), (false)) AS m(side) GROUP BY feature, cut, m.side), "
+    "gains AS (SELECT *, 4 * (pos / n * (1 - pos / n) - (pl * (1 - pl / nl) + (pos - pl) * (1 - (pos - pl) / (n - nl))) / n) AS gain "
+    "FROM counts WHERE nl > 0 AND nl < n)",
+)
+ORACLES["gbt_leaf_means"] = _with(
+    "SELECT CAST(t AS INTEGER) AS tree, (SELECT count(*) FROM train) AS n, 0.0::DOUBLE AS gap FROM range(8) AS r(t)", _TRAIN_SIDE
+)
+
 ORACLES["qc_table_count"] = (
     f"SELECT {len(_TABLES)}::BIGINT AS n_tables, count(*) AS n_rows, CAST(sum(n_columns) AS BIGINT) AS n_columns FROM ({ORACLES['qc_table_summary']})"
 )

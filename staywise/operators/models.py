@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import ElementwiseProduct, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Bucketizer, ElementwiseProduct, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ METRICS = (
 )
 # Parts into which a pass of the median search cuts what is left, and more steps than any finite double's logarithm has.
 _PARTS, _HUGE = 1 << 12, 1 << 16
+# Bins of a feature of the boosted trees; one more holds its missing values.
+BINS = 63
 
 
 @dataclass(frozen=True)
@@ -61,22 +64,21 @@ def _next_digit(v, low, high):
     return F.when(low == high, F.lit(0).cast("long")).otherwise(F.floor((v - low) / (high - low) * _PARTS))
 
 
-def exact_medians(frame: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
-    """Exact median per column (None when it holds no value; NaN counts as missing).
+def _order_statistics(frame: DataFrame, columns: Sequence[str], ranks_of: Callable) -> dict[str, dict[int, float]]:
+    """Rank -> exact value per column, for the ranks (from 1) that ``ranks_of`` makes of a column's number of values.
 
-    Radix selection: one aggregate counts the cells of every column by digit, the running count tells which digit
-    holds the middle ranks, and the next pass looks only at the cells between the smallest and the largest value
-    of that digit. It ends where these are equal: after two or three passes on usual data, and after at most six,
+    Radix selection: one aggregate counts the cells of every column by digit, the running count tells which digits
+    hold wanted ranks, and the next pass looks only at the cells between the smallest and the largest value of these
+    digits. It ends where these are equal: after two or three passes on usual data, and after at most six,
     as a pass leaves 1/_PARTS of the range of a digit and a range has at most 2**52 doubles. Columns that are
     settled are read no more. The frame is read once a pass, so it should be written beforehand.
 
     One row per (row, column) exists only inside the map tasks; what is shuffled, ordered or collected is bounded by
-    columns and digits, whatever the number of rows.
+    columns, ranks and digits, whatever the number of rows. NaN counts as missing; a column without values has no ranks.
     """
     columns = list(columns)
-    medians: dict[str, float | None] = dict.fromkeys(columns)
-    found: dict[int, list[float]] = {}
-    ranges: list[tuple] | None = None  # (column, low, high, wanted ranks inside); None: everything
+    found: dict[str, dict[int, float]] = {c: {} for c in columns}
+    ranges: list[tuple] | None = None  # (column, low, high, wanted ranks inside, rows below); None: everything
     while columns and ranges != []:
         open_columns = range(len(columns)) if ranges is None else sorted({r[0] for r in ranges})
         # Adding zero makes one value of both zeros.
@@ -85,8 +87,8 @@ def exact_medians(frame: DataFrame, columns: Sequence[str]) -> dict[str, float |
         if ranges is None:
             cells = cells.select("i", F.lit(0).alias("part"), "v", _first_digit(F.col("v")).alias("digit"))
         else:
-            # At most two rows per column.
-            parts = [(i, k, low, high) for k, (i, low, high, _) in enumerate(ranges)]
+            # At most one row per column and wanted rank. The ranges of a column do not overlap.
+            parts = [(i, k, low, high) for k, (i, low, high, _, _) in enumerate(ranges)]
             wanted = frame.sparkSession.createDataFrame(parts, "j int, part int, low double, high double")
             inside = (F.col("i") == F.col("j")) & F.col("v").between(F.col("low"), F.col("high"))
             cells = cells.join(F.broadcast(wanted), inside).select(
@@ -98,26 +100,74 @@ def exact_medians(frame: DataFrame, columns: Sequence[str]) -> dict[str, float |
         group = Window.partitionBy("i", "part")
         digits = digits.withColumn("upto", F.sum("n").over(group.orderBy("digit")))
         if ranges is None:
-            total = F.sum("n").over(group)
-            middle = F.array(F.floor((total + 1) / 2), F.floor(total / 2) + 1)
-            digits = digits.withColumn("ranks", middle)
+            digits = digits.withColumn("total", F.sum("n").over(group))
+            digits = digits.withColumn("ranks", ranks_of(F.col("total"))).withColumn("below", F.lit(0).cast("bigint"))
         else:
-            ranks = [(i, k, inner) for k, (i, _, _, inner) in enumerate(ranges)]
-            asked = frame.sparkSession.createDataFrame(ranks, "i int, part int, ranks array<bigint>")
+            ranks = [(i, k, inner, below) for k, (i, _, _, inner, below) in enumerate(ranges)]
+            asked = frame.sparkSession.createDataFrame(ranks, "i int, part int, ranks array<bigint>, below bigint")
             digits = digits.join(F.broadcast(asked), ["i", "part"])
         here = F.filter("ranks", lambda r: (r <= F.col("upto")) & (r > F.col("upto") - F.col("n")))
         chosen = digits.withColumn("here", here).where(F.size("here") > 0)
         ranges = []
-        for row in chosen.orderBy("i", "digit").collect():  # at most two rows per column
+        for row in chosen.orderBy("i", "digit").collect():  # at most one row per column and wanted rank
+            before = row.upto - row.n
             if row.low == row.high:
-                found.setdefault(row.i, []).extend([row.low] * len(row.here))
+                found[columns[row.i]].update((row.below + r, row.low) for r in row.here)
             else:
-                ranges.append((row.i, row.low, row.high, [r - (row.upto - row.n) for r in row.here]))
-    for i, (first, second) in found.items():
-        medians[columns[i]] = first if first == second else (first + second) / 2
+                ranges.append((row.i, row.low, row.high, [r - before for r in row.here], row.below + before))
+    return found
+
+
+def exact_medians(frame: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Exact median per column (None when it holds no value; NaN counts as missing), by radix selection."""
+    middle = _order_statistics(frame, columns, lambda n: F.array(F.floor((n + 1) / 2), F.floor(n / 2) + 1))
+    medians: dict[str, float | None] = {}
+    for column, values in middle.items():
+        first, second = (values[min(values)], values[max(values)]) if values else (None, None)
+        medians[column] = first if first == second else (first + second) / 2
     return medians
 
 
+def _values_and_estimate(frame: DataFrame, columns: Sequence[str]) -> list[tuple[int, int]]:
+    """Number of values and estimated number of distinct ones per column, in one aggregate."""
+    if not columns:
+        return []
+    cells = [_missing_as_null(frame, c) + 0.0 for c in columns]
+    row = frame.agg(
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(cells)],
+        *[F.approx_count_distinct(v, 0.02).alias(f"d{i}") for i, v in enumerate(cells)],
+    ).first()
+    return [(row[f"n{i}"], row[f"d{i}"]) for i in range(len(columns))]
+
+
+def bin_cuts(frame: DataFrame, columns: Sequence[str], bins: int = BINS) -> dict[str, list[float]]:
+    """Cuts per column, ascending: the bin of a value is the number of cuts up to it.
+
+    A column of at most ``bins`` different values is cut at each of them, so that no rare value shares a bin. Any other
+    is cut at its order statistics of ranks floor(k n / bins) + 1, k from 1 to bins - 1, and at its largest value; all
+    are exact. Missing values (null, NaN) have no bin; a column without values has no cuts.
+    """
+    if bins < 2:
+        raise ValueError("bins must be two at least")
+    columns = list(columns)
+    estimates = _values_and_estimate(frame, columns)
+    cuts: dict[str, list[float]] = {c: [] for c in columns}
+    # An estimate of so few is never off by half: what is collected stays below some three values per bin and column.
+    few = [i for i, (n, d) in enumerate(estimates) if n and d <= 2 * bins]
+    if few:
+        pairs = [F.struct(F.lit(i).alias("i"), (_missing_as_null(frame, columns[i]) + 0.0).alias("v")) for i in few]
+        cells = frame.select(F.explode(F.array(*pairs)).alias("cell")).select("cell.*").where("v is not null").distinct()
+        for row in cells.orderBy("i", "v").collect():
+            cuts[columns[row.i]].append(row.v)
+    many = [c for c, (n, _) in zip(columns, estimates, strict=True) if n and not 0 < len(cuts[c]) <= bins]
+    ranks = lambda n: F.transform(
+        F.sequence(F.lit(1), F.lit(bins)), lambda k: F.least(F.floor(k * n / F.lit(bins)) + 1, n)
+    )
+    for column, values in _order_statistics(frame, many, ranks).items():
+        cuts[column] = sorted(set(values.values()))
+    return cuts
+
+
 def check_training_data(frame: DataFrame, split_column: str, label: str = LABEL) -> dict[str, tuple[int, int]]:
     """Rows and positives per side in one aggregate; fails on an empty side or unusable training labels."""
     sides = frame.groupBy(split_column).agg(
@@ -217,6 +267,29 @@ def fit_logistic(
         ready.unpersist()
 
 
+def _binned(cuts: dict[int, list[float]], gaps: Sequence[int], output: str) -> list:
+    """Stages that turn columns into bin codes and pack them; ``cuts`` by place in the list of features, as are ``gaps``.
+
+    Missing values get the code above all bins, so that a split sends them right with the high values. Columns with gaps
+    stand twice: in their second form missing values have the code below all bins and go left with the low ones. A
+    tree that may use both forms learns the side of missing values at every split, as one that takes nulls does.
+    """
+    highest = sys.float_info.max
+    finite = [sorted({min(c, highest) for c in own if c > -math.inf}) or [-highest] for own in cuts.values()]
+    splits = [[-math.inf, *own, math.inf] for own in finite]
+    bucketizer = Bucketizer(
+        inputCols=[f"__x{i}" for i in cuts], outputCols=[f"__up{i}" for i in cuts], splitsArray=splits, handleInvalid="keep"
+    )
+    above = {i: len(own) - 1 for i, own in zip(cuts, splits, strict=True)}
+    # The sums carry no attribute of the buckets: trees would take a bin with one for a category without order.
+    codes = [f"__up{i} + 0D AS __high{i}" for i in cuts] + [f"IF(__up{i} = {above[i]}, -1D, __up{i}) AS __low{i}" for i in gaps]
+    return [
+        bucketizer,
+        SQLTransformer(statement=f"SELECT *, {', '.join(codes)} FROM __THIS__"),
+        VectorAssembler(inputCols=[*(f"__high{i}" for i in cuts), *(f"__low{i}" for i in gaps)], outputCol=output),
+    ]
+
+
 def fit_boosted_trees(
     train: DataFrame,
     features: Sequence[str],
@@ -226,31 +299,33 @@ def fit_boosted_trees(
     step: float = 0.05,
     depth: int = 5,
     is_unbalance: bool = False,
+    bins: int = BINS,
 ) -> PipelineModel:
-    """Gradient-boosted trees. Missing values are median-filled next to an indicator, so that trees can split on them.
+    """Gradient-boosted trees on exact bins of the training values; missing values are not filled.
+
+    At every split the trees learn the side of the missing values, for columns that have some in training; in other
+    columns a missing value counts as the largest. Columns without a single training value are dropped.
 
     ``is_unbalance`` up-weights the positives; off by default because it ruins calibration.
     """
     require_columns(train, [*features, label], "boosted trees")
     ensure_checkpoint_dir(train.sparkSession)  # long tree sequences cut their lineage there
-    medians = exact_medians(train, features)
-    kept = [c for c in features if medians[c] is not None]
-    if not kept:
+    features = list(features)
+    found = bin_cuts(train, features, bins)
+    cuts = {i: found[c] for i, c in enumerate(features) if found[c]}
+    if not cuts:
         raise ValueError("no feature has a training value")
     counted = train.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(ref(label).cast("bigint")).alias("pos"),
-        *[F.count(_missing_as_null(train, c)).alias(f"k{i}") for i, c in enumerate(kept)],
+        *[F.count(_missing_as_null(train, features[i])).alias(f"k{i}") for i in cuts],
     ).first()
-    expressions = [_filled(c, medians[c]) for c in kept]
-    expressions += [
-        f"CAST(nanvl(CAST({_quoted(c)} AS DOUBLE), CAST(NULL AS DOUBLE)) IS NULL AS DOUBLE)"
-        for i, c in enumerate(kept)
-        if counted[f"k{i}"] < counted.n
-    ]
-    stages = _packed(expressions, "__features")
+    gaps = [i for i in cuts if counted[f"k{i}"] < counted.n]
+    # Adding zero makes one value of both zeros, which the bins would tell apart.
+    plain = ", ".join(f"coalesce(CAST({_quoted(features[i])} AS DOUBLE) + 0D, CAST('NaN' AS DOUBLE)) AS __x{i}" for i in cuts)
+    stages = [SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__"), *_binned(cuts, gaps, "__features")]
     estimator = GBTClassifier(
-        featuresCol="__features", labelCol="__y", maxIter=trees, stepSize=step, maxDepth=depth, seed=seed
+        featuresCol="__features", labelCol="__y", maxIter=trees, stepSize=step, maxDepth=depth, seed=seed, maxBins=bins + 2
     )
     ready = _run(stages, train).select("__features", ref(label).cast("double").alias("__y"))
     if is_unbalance:
@@ -263,6 +338,33 @@ def fit_boosted_trees(
         ready.unpersist()
 
 
+def tree_splits(model: PipelineModel, features: Sequence[str], tree: int = 0) -> list[dict]:
+    """The splits of one boosted tree in terms of the features it was fitted with, top down, left before right.
+
+    A value below ``cut`` goes left; ``missing`` says where missing ones go. A cut of None sends all values the other
+    way. ``gain`` is the fall of the variance of the target. At most 2**depth - 1 rows.
+    """
+    bucketizer = next(s for s in model.stages if isinstance(s, Bucketizer))
+    packed = next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
+    splits = {name.removeprefix("__up"): own for name, own in zip(bucketizer.getOutputCols(), bucketizer.getSplitsArray(), strict=True)}
+    rows, waiting = [], [(1, model.stages[-1].trees[tree]._call_java("rootNode"))]
+    while waiting:
+        number, node = waiting.pop(0)
+        if node.subtreeDepth() == 0:
+            continue
+        name = packed[node.split().featureIndex()]
+        low = name.startswith("__low")
+        place = name.removeprefix("__low").removeprefix("__high")
+        # A threshold lies between two codes; bin b starts at splits[b], and no value lies in bin 0 of a full cut list.
+        first = math.floor(node.split().threshold()) + 1
+        cut = splits[place][first] if 0 < first < len(splits[place]) - 1 else None
+        rows.append(
+            {"node": number, "feature": features[int(place)], "cut": cut, "missing": "left" if low else "right", "gain": node.gain()}
+        )
+        waiting += [(2 * number, node.leftChild()), (2 * number + 1, node.rightChild())]
+    return rows
+
+
 def fit_stopped_trees(
     frame: DataFrame, features: str, held_out: str, label: str = LABEL, seed: int = 42, trees: int = 40, step: float = 0.1,
     depth: int = 3, is_unbalance: bool = False,

@@ -9,6 +9,7 @@ from staywise.operators.models import (
     METRICS,
     ModelResult,
     better_model,
+    bin_cuts,
     calibration_verdict,
     check_training_data,
     comparison,
@@ -19,6 +20,7 @@ from staywise.operators.models import (
     load_model,
     predict,
     save_model,
+    tree_splits,
 )
 
 
@@ -132,6 +134,109 @@ def test_missing_values_can_be_split_on(spark):
     assert result.metrics["auroc"] == 1.0
 
 
+def plain_cuts(values, bins):
+    ordered = sorted(values)
+    if len(set(ordered)) <= bins:
+        return sorted(set(ordered))
+    return sorted({ordered[min(k * len(ordered) // bins, len(ordered) - 1)] for k in range(1, bins + 1)})
+
+
+@pytest.mark.parametrize("bins", [2, 7, 63])
+def test_bins_hold_equal_shares_or_one_value_each(spark, bins):
+    rng = random.Random(bins)
+    rows = [
+        (rng.gauss(0, 1), float(rng.randint(0, 3)), float(rng.random() < 0.004), rng.choice([None, rng.random()]), None,
+         rng.choice([0.0, -0.0, float("nan"), float("inf"), 5.0]), float(int(rng.paretovariate(0.7))))
+        for _ in range(2500)
+    ]
+    names = ["a", "b", "rare", "d", "empty", "odd", "long"]
+    found = bin_cuts(spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(5), names, bins)
+    for i, name in enumerate(names):
+        values = [r[i] for r in rows if r[i] is not None and not math.isnan(r[i])]
+        assert found[name] == plain_cuts([v + 0.0 for v in values], bins), name
+
+
+def test_bins_of_no_rows(spark):
+    none = spark.createDataFrame([], "x double")
+    assert bin_cuts(none, ["x"]) == {"x": []} and bin_cuts(none, []) == {}
+    with pytest.raises(ValueError, match="two at least"):
+        bin_cuts(none, ["x"], 1)
+
+
+def plain_best_split(rows, names, bins):
+    """Every (column, cut, side of missing values): the largest fall of the variance of the labels -1 and 1."""
+
+    def variance(part):
+        share = sum(y for y, _ in part) / len(part)
+        return 4 * share * (1 - share)
+
+    best = (0.0, None)
+    for i, name in enumerate(names):
+        values = [r[i] for _, r in rows if r[i] is not None]
+        for cut in [*plain_cuts(values, bins), math.inf]:
+            for missing_left in (False, True):
+                left = [(y, r) for y, r in rows if (missing_left if r[i] is None else r[i] < cut)]
+                right = [(y, r) for y, r in rows if not (missing_left if r[i] is None else r[i] < cut)]
+                if left and right:
+                    gain = variance(rows) - (len(left) * variance(left) + len(right) * variance(right)) / len(rows)
+                    best = max(best, (round(gain, 10), name))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_first_splits_are_the_best_ones_and_missing_values_have_a_side(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(400):
+        x, z, flag = rng.gauss(0, 1), float(rng.randint(0, 40)), float(rng.random() < 0.02)
+        gone = rng.random() < 0.3
+        chance = (0.8 if seed % 2 else 0.1) if gone else 0.2 + 0.5 * (x > 0.4)
+        rows.append((int(rng.random() < chance), (None if gone else x, z, flag)))
+    names = ["x", "z", "flag"]
+    frame = spark.createDataFrame([(y, *r) for y, r in rows], "outcome int, x double, z double, flag double")
+    model = fit_boosted_trees(frame, names, trees=1, depth=2, bins=15)
+    splits = {s["node"]: s for s in tree_splits(model, names)}
+    top = splits[1]
+    assert (round(top["gain"], 10), top["feature"]) == plain_best_split(rows, names, 15)
+    place = names.index(top["feature"])
+    below = lambda v: top["missing"] == "left" if v is None else (top["missing"] == "right" if top["cut"] is None else v < top["cut"])
+    for node, side in ((2, True), (3, False)):
+        part = [(y, r) for y, r in rows if below(r[place]) is side]
+        if node in splits:
+            assert round(splits[node]["gain"], 10) == plain_best_split_with_cuts(part, rows, names, 15)
+    scores = {r.predicted_risk for r in predict(model, frame).collect()}
+    assert 2 <= len(scores) <= 4
+
+
+def plain_best_split_with_cuts(part, rows, names, bins):
+    """As plain_best_split, on some rows only, with the cuts of all rows."""
+    variance = lambda p: 4 * (sum(y for y, _ in p) / len(p)) * (1 - sum(y for y, _ in p) / len(p))
+    best = 0.0
+    for i in range(len(names)):
+        for cut in [*plain_cuts([r[i] for _, r in rows if r[i] is not None], bins), math.inf]:
+            for missing_left in (False, True):
+                goes = [missing_left if r[i] is None else r[i] < cut for _, r in part]
+                left, right = ([p for p, g in zip(part, goes) if g is side] for side in (True, False))
+                if left and right:
+                    best = max(best, variance(part) - (len(left) * variance(left) + len(right) * variance(right)) / len(part))
+    return round(best, 10)
+
+
+def test_missing_values_at_scoring_only_count_as_the_largest(spark):
+    frame = spark.range(80).selectExpr("CAST(id >= 40 AS int) AS outcome", "CAST(id AS double) AS x")
+    model = fit_boosted_trees(frame, ["x"], trees=3)
+    asked = spark.createDataFrame([(None,), (float("nan"),), (1e9,), (float("inf"),), (-1.0,)], "x double")
+    scores = [r.predicted_risk for r in predict(model, asked).collect()]
+    assert scores[0] == scores[1] == scores[2] == scores[3] > 0.5 > scores[4]
+
+
+def test_infinite_values_and_odd_names(spark):
+    rows = [(i % 2, float("inf") if i % 2 else float(i), float("-inf") if i % 3 else None) for i in range(60)]
+    frame = spark.createDataFrame(rows, "outcome int, `a.b` double, `q` double")
+    result = evaluate("t", fit_boosted_trees(frame, ["a.b", "q"], trees=2), frame)
+    assert result.metrics["auroc"] == 1.0
+
+
 def test_reweighting_lifts_the_risk_of_a_rare_class(spark):
     frame = spark.range(200).selectExpr("CAST(id % 10 = 0 AS int) AS outcome", "CAST(id % 3 AS double) AS x")
     means = [
