@@ -688,6 +688,17 @@ def model_comparison(spark, folder):
     return md.comparison(list(report.models.values()))
 
 
+@_query
+def comparison_table(spark, folder):
+    """The six metrics of two sets of predictions, one row each."""
+    sets = {"events": event_predictions(spark, folder), "lines": lineitem_predictions(spark, folder)}
+    found = [
+        md.scored(name, None, materialize(rows.select("label", F.col("score").cast("double").alias(md.SCORE))), "label")
+        for name, rows in sets.items()
+    ]
+    return md.comparison(found)
+
+
 @_query
 def sequence_baseline(spark, folder):
     report = run_sequence_baseline(hospital_catalog(spark, folder))

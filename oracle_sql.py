@@ -656,6 +656,19 @@ ORACLES["gbt_leaf_means"] = _with(
     "SELECT CAST(t AS INTEGER) AS tree, (SELECT count(*) FROM train) AS n, 0.0::DOUBLE AS gap FROM range(8) AS r(t)", _TRAIN_SIDE
 )
 
+
+
+def _six(name: str, predictions: str) -> str:
+    ranking = ORACLES["average_precision"].replace(_TIED_PREDICTIONS, predictions)
+    line = ORACLES["calibration_slope"].replace(_EVENT_PREDICTIONS, predictions)
+    return (
+        f"SELECT '{name}' AS model, r.*, l.intercept AS calibration_intercept, l.slope AS calibration_slope "
+        f"FROM ({ranking}) AS r, ({line}) AS l"
+    )
+
+
+ORACLES["comparison_table"] = f"{_six('events', _EVENT_PREDICTIONS)} UNION ALL {_six('lines', _TIED_PREDICTIONS)}"
+
 ORACLES["qc_table_count"] = (
     f"SELECT {len(_TABLES)}::BIGINT AS n_tables, count(*) AS n_rows, CAST(sum(n_columns) AS BIGINT) AS n_columns FROM ({ORACLES['qc_table_summary']})"
 )

@@ -40,7 +40,7 @@ class ModelResult:
     """A fitted model with its holdout predictions, the six metrics and the reliability table."""
 
     name: str
-    model: PipelineModel
+    model: PipelineModel | None
     predictions: DataFrame
     metrics: dict[str, float]
     reliability: DataFrame
@@ -400,7 +400,11 @@ def predict(model: PipelineModel, frame: DataFrame, score: str = SCORE) -> DataF
 
 def evaluate(name: str, model: PipelineModel, test: DataFrame, label: str = LABEL) -> ModelResult:
     """Score the holdout once and write it down: metrics, tables and reports read it again."""
-    predictions = materialize(predict(model, test))
+    return scored(name, model, materialize(predict(model, test)), label)
+
+
+def scored(name: str, model: PipelineModel | None, predictions: DataFrame, label: str = LABEL) -> ModelResult:
+    """The result for predictions that exist already, of a model of this library or of any other (None)."""
     row = model_metrics(predictions, label, SCORE).first()
     metrics = {m: float(row[m]) for m in METRICS}
     return ModelResult(name, model, predictions, metrics, reliability_deciles(predictions, label, SCORE))
