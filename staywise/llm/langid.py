@@ -2,8 +2,8 @@
 
 Text is read as lower-case letters: a to z stand for themselves, every other letter or mark for one of 37 more
 symbols, any run of other characters for one boundary. With 64 symbols there are at most 64**ORDER n-grams for a
-language, so a model has a proven size bound (64**3 entries of 16 bytes) whatever the corpus; the counts come from
-all labelled documents. A model is one pair of sorted hash arrays for each order. The language with the lowest
+language, so a model has a proven size bound (64**3 entries of 16 bytes) whatever the corpus; the counts and
+the calibration of score and rejection come from all labelled documents. A model is one pair of sorted hash arrays for each order. The language with the lowest
 cross-entropy for each symbol wins; a document that fits its language far worse than labelled documents do, and no
 better than texts of other languages, is rejected.
 
@@ -24,14 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staywise.llm.common import chunks, in_batches, missing
+from staywise.llm.common import chunks, in_batches, materialize, missing
 
 ORDER, BITS = 3, 6
 SYMBOLS = 1 << BITS
 UNKNOWN = "und"
 SCAN_CHARS = 1 << 19
-#: Labelled documents (expected number) on which score and rejection are calibrated.
-CALIBRATION_DOCS = 8000
 #: A document is rejected when its cross-entropy is more standard deviations than this above its language's, and
 #: also above what texts of other languages have in that language's model. Mixed documents stay.
 REJECT_Z = 8.0
@@ -214,57 +212,82 @@ def cross_entropies(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndar
 
 
 def train(labelled: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text") -> Model:
-    """Models from all labelled rows; calibrated on about CALIBRATION_DOCS of them, chosen by hash."""
+    """Models from all labelled rows, calibrated on all of them."""
     missing(labelled, key, lang, text)
     counts = count_grams(labelled, lang, text).toPandas()
     model = Model({x: KneserNey(own["gram"].to_numpy(), own["n"].to_numpy()) for x, own in counts.groupby("lang")})
     if model.languages:
-        _calibrate(model, labelled, key, lang, text)
+        _calibrate(model, labelled, lang, text)
     return model
 
 
-def _calibrate(model: Model, labelled: DataFrame, key: str, lang: str, text: str) -> None:
+def _calibrate(model: Model, labelled: DataFrame, lang: str, text: str) -> None:
+    """Score and rejection from every labelled row: tasks add up what is a sum, medians are exact.
+
+    What reaches the driver is bounded by the number of languages.
+    """
+    from staywise.operators.models import exact_medians  # workers import this module and need none of it
+
     rows = labelled.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    share = min(1.0, CALIBRATION_DOCS / max(1, rows.count()))
-    picked = rows.where(F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
     shared = labelled.sparkSession.sparkContext.broadcast(model)
+    size = len(model.languages)
+    grid = 2.0 ** np.arange(-8, 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of the rows of each language: how many, their spreads, their costs in every language; then the loss by sharpness.
+        number, spreads, totals, losses = np.zeros(size), np.zeros(size), np.zeros((size, size)), np.zeros(len(grid))
+        names = ["k", "own", "sums"]
         for batch in batches:
             costs, squares, sizes = cross_entropies(shared.value, batch.column(1).to_pylist())
+            known = sizes > 0
+            if not known.any():
+                continue
+            costs, squares, n = costs.T[known], squares.T[known], sizes[known].astype(float)
+            truth = np.searchsorted(shared.value.languages, np.array(batch.column(0).to_pylist(), str)[known])
+            every = np.arange(len(n))
+            own = costs[every, truth]
+            number += np.bincount(truth, minlength=size)
+            spreads += np.bincount(truth, squares[every, truth] - own**2, minlength=size)
+            np.add.at(totals, truth, costs)
+            for g, sharpness in enumerate(grid):
+                scaled = -costs * n[:, None] * sharpness
+                scaled -= scaled.max(axis=1, keepdims=True)
+                log_p = scaled[every, truth] - np.log(np.exp(scaled).sum(axis=1))
+                losses[g] -= np.maximum(log_p, -20).sum()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(costs.T)), pa.array(list(squares.T)), pa.array(sizes)],
-                names=["lang", "costs", "squares", "n"],
+                [pa.array(truth, pa.int32()), pa.array(own), pa.nulls(len(own), pa.list_(pa.float64()))], names=names
             )
+        sums = np.concatenate([number, spreads, totals.ravel(), losses])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.float64()), pa.array([sums])], names=names)
 
-    frame = picked.select(F.col(f"`{lang}`").cast("string"), F.col(f"`{text}`").cast("string")).mapInArrow(
-        run, "lang string, costs array<double>, squares array<double>, n long"
-    ).where("n > 0").toPandas()
-    if not len(frame):
+    found = materialize(
+        in_batches(rows).select(F.col(f"`{lang}`").cast("string"), F.col(f"`{text}`").cast("string"))
+        .mapInArrow(run, "k int, own double, sums array<double>")
+    )
+    added = found.where("sums is not null").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("x")).collect()
+    flat = np.array([r.x for r in sorted(added, key=lambda r: r.pos)])
+    number, spreads, totals, losses = np.split(flat, np.cumsum([size, size, size * size]))
+    if not number.any():
         return
-    costs, squares, n = np.stack(frame["costs"]), np.stack(frame["squares"]), frame["n"].to_numpy(float)
-    truth = np.searchsorted(model.languages, frame["lang"].to_numpy(str))
-    own = costs[np.arange(len(n)), truth]
-    spread = squares[np.arange(len(n)), truth] - own**2
-    for k in range(len(model.languages)):
-        mine = truth == k
-        if not mine.any():
-            continue
-        model.centre[k] = np.median(own[mine])
-        model.within[k] = 4 * np.mean(spread[mine])  # neighbouring symbols are not independent
-        off = np.abs(own[mine] - model.centre[k])
-        model.between[k] = (1.4826 * np.median(off)) ** 2
-        if not mine.all():
-            model.foreign[k] = np.mean(costs[~mine, k])
-    grid = 2.0 ** np.arange(-8, 4)
-
-    def loss(sharpness: float) -> float:
-        scaled = -costs * n[:, None] * sharpness
-        scaled -= scaled.max(axis=1, keepdims=True)
-        log_p = scaled[np.arange(len(n)), truth] - np.log(np.exp(scaled).sum(axis=1))
-        return -np.maximum(log_p, -20).mean()
-
-    model.sharpness = float(min(grid, key=loss))
+    totals = totals.reshape(size, size)
+
+    def medians(value) -> list[float | None]:
+        """Of a value made for each language, over the rows of that language."""
+        columns = [f"v{k}" for k in range(size)]
+        cells = found.where("k is not null").select(*[F.when(F.col("k") == k, value(k)).alias(c) for k, c in enumerate(columns)])
+        middle = exact_medians(cells, columns)
+        return [middle[c] for c in columns]
+
+    centres = medians(lambda k: F.col("own"))
+    offs = medians(lambda k: F.abs(F.col("own") - F.lit(centres[k])))
+    for k in np.flatnonzero(number):
+        model.centre[k] = centres[k]
+        model.within[k] = 4 * spreads[k] / number[k]  # neighbouring symbols are not independent
+        model.between[k] = (1.4826 * offs[k]) ** 2
+        others = number.sum() - number[k]
+        if others:
+            model.foreign[k] = (totals[:, k].sum() - totals[k, k]) / others
+    model.sharpness = float(grid[losses.argmin()])
 
 
 def predict(frame: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

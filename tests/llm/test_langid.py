@@ -55,6 +55,27 @@ def test_nothing_to_learn_from(docs):
     assert langid.identify(docs([])).collect() == []
 
 
+def test_calibration_is_that_of_all_rows(docs):
+    rows = [(i, text("abc"[i % 3] * 2, 1 + i % 5, i), "abc"[i % 3] * 2) for i in range(9_000)]
+    model = langid.train(docs([*rows, (9_001, "12", "bb"), (9_002, None, "cc"), (9_003, "ba", None)]))
+    costs, squares, n = langid.cross_entropies(model, [t for _, t, _ in rows])
+    truth = np.array([model.languages.index(lang) for _, _, lang in rows])
+    own = costs[truth, np.arange(len(rows))]
+    spread = squares[truth, np.arange(len(rows))] - own**2
+    for k in range(3):
+        mine = truth == k
+        assert model.centre[k] == np.median(own[mine])
+        assert math.isclose(model.between[k], (1.4826 * np.median(np.abs(own[mine] - model.centre[k]))) ** 2, rel_tol=1e-12)
+        assert math.isclose(model.within[k], 4 * spread[mine].mean(), rel_tol=1e-9)
+        assert math.isclose(model.foreign[k], costs[k, ~mine].mean(), rel_tol=1e-9)
+
+    def loss(sharpness):
+        p = np.exp(-(costs - costs.min(axis=0)) * n * sharpness)
+        return -np.maximum(np.log((p / p.sum(axis=0))[truth, np.arange(len(rows))]), -20).mean()
+
+    assert model.sharpness == min(2.0 ** np.arange(-8, 4), key=loss)
+
+
 def test_counts_are_those_of_all_rows(docs):
     rows = corpus(60)
     counted = {(r.lang, r.gram): r.n for r in langid.count_grams(docs(rows)).collect()}
