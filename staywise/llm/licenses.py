@@ -10,8 +10,9 @@ ancestor paths.
 
 Only files with one of a template's telling words can reach THRESHOLD: those are its heaviest words that together
 carry more than 1 - THRESHOLD**2 of its squared weight. All other files leave before their units are made. Of the units,
-those leave whose words outside the templates alone make the cosine too small, counting them as lightly as a word can weigh;
-the words of the few that are left are then counted over all files, by a join.
+those leave whose words outside the templates alone make the cosine too small, counting them as lightly as a word can weigh,
+first against all words of templates together and then against each template; the words of the few that are left are
+then counted over all files, by a join.
 
 Ties go to the earlier first line, then to the earlier last line, then to the earlier template; of several licence files of
 a directory the smallest path counts, with its best unit. Null and empty texts state nothing, but inherit. Null paths
@@ -179,6 +180,19 @@ def _units(chosen: DataFrame, telling: list[str]) -> DataFrame:
     return parts.unionByName(chosen.select("path", "h", whole.alias("line"), whole.alias("last"), F.lit(False).alias("first"), F.col("text").alias("unit")))
 
 
+def _near(bags: DataFrame, template: DataFrame, unit: list[str], threshold: float) -> DataFrame:
+    """The units whose largest cosine to one template reaches the threshold if all words outside the templates weigh 1.
+
+    No word weighs less, so no other unit reaches it with any counts.
+    """
+    inner = bags.select(*unit, (F.col("inside") + F.col("outside")).alias("squares"), F.inline("bag")).where("idf is not null")
+    dots = inner.join(F.broadcast(template), "w").groupBy(*unit, "template").agg(
+        F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"), F.first("squares").alias("squares")
+    )
+    reached = dots.where(F.col("dot") * F.col("dot") >= F.lit(threshold * threshold - 1e-4) * F.col("squares"))
+    return bags.join(reached.select(*unit).distinct(), unit, "left_semi")
+
+
 def stated(files: DataFrame, threshold: float = THRESHOLD, path: str = "path", text: str = "text", few: int = FEW) -> DataFrame:
     """(path, h, line, last, first, template, score) of every unit that reaches the threshold, with its best template.
 
@@ -204,11 +218,14 @@ def stated(files: DataFrame, threshold: float = THRESHOLD, path: str = "path", t
     )
     # An idf is 1 at least: what is below the threshold then is below it with any counts.
     within = F.col("inside") >= F.lit(threshold * threshold - 1e-4) * (F.col("inside") + F.col("outside"))
-    left = materialize(bags.where(within).select(*unit, F.inline("bag")))
+    left = materialize(_near(materialize(bags.where(within)), template, unit, threshold).select(*unit, F.inline("bag")))
     asked = materialize(left.where("idf is null").select("w").distinct())
     every = files.where(F.col(f"`{text}`").isNotNull()).select(F.explode(F.array_distinct(_words(F.col(f"`{text}`")))).alias("w"))
-    lookup = F.broadcast(asked) if asked.count() <= few else asked
-    df = every.join(lookup, "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    # Looked up by broadcast, the words of all files do not move; counted first, each task gives a word once at most.
+    if asked.count() <= few:
+        df = every.join(F.broadcast(asked), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    else:
+        df = every.groupBy("w").agg(F.count(F.lit(1)).alias("df")).join(asked.hint("merge"), "w", "left_semi")
     other = df.select("w", (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1).alias("other"))
     weighed = left.join(other, "w", "left").select(*unit, "w", (F.col("tf") * F.coalesce("idf", "other")).alias("x"))
     weighed = materialize(weighed)

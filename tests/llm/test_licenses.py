@@ -119,6 +119,22 @@ def test_whole_licence_files_and_wrapped_headers(spark):
     assert far == {p: x[0] for p, x in found.items()}
 
 
+def test_only_words_near_a_template_are_counted(spark, monkeypatch):
+    """Prose of words from many templates is near none of them: its other words are not counted over all files."""
+    counted, write = set(), licenses.materialize
+
+    def spy(frame):
+        if frame.columns == ["w"]:
+            counted.update(r.w for r in frame.collect())
+        return write(frame)
+
+    monkeypatch.setattr(licenses, "materialize", spy)
+    prose = " ".join(sorted(licenses._vocabulary())) + " zebra"
+    files = [("a/prose", prose), ("b/near", "Released under the new MIT License!"), ("c/other", "giraffe")]
+    assert run(spark, files) == brute(files)
+    assert counted == {"new"}
+
+
 def test_every_template_is_found(spark):
     files = [(f"f{i}", f"text before it\n{t}\nand after") for i, (_, t) in enumerate(licenses.TEMPLATES)]
     assert {p: x[0] for p, x in run(spark, files).items()} == {f"f{i}": name for i, (name, _) in enumerate(licenses.TEMPLATES)}
