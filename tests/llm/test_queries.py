@@ -82,6 +82,20 @@ def test_stages_keep_columns_and_bear_hard_rows(spark, docs):
     assert linededup.dedup_lines(docs(rows)).count() == len(rows)
 
 
+def test_language_stage_is_calibrated_on_all_rows(spark, docs, monkeypatch):
+    """No sample of the documents decides what the language model rejects."""
+    rows = [(i, f"{'la' if i % 2 else 'er'}{'no' * (i % 7)} {'mi' * (i % 11)}", "aa" if i % 2 else "bb") for i in range(12_000)]
+    frame, models, predict = docs(rows), [], langid.predict
+    monkeypatch.setattr(langid, "predict", lambda frame, model, **given: models.append(model) or predict(frame, model, **given))
+    corpus_pipeline.language(spark, frame, FOLDER)
+    learned = [(t, lang) for t, lang in frame.where(~langid.held_out()).select("text", "lang").collect()]
+    assert len(learned) > 9_000
+    costs, _, _ = langid.cross_entropies(models[0], [t for t, _ in learned])
+    for k, name in enumerate(models[0].languages):
+        others = [at for at, (_, lang) in enumerate(learned) if lang != name]
+        assert abs(models[0].foreign[k] - costs[k, others].mean()) < 1e-9
+
+
 def test_near_copies_go_by_row(spark, docs):
     """Rows that share an id or have none are decided each for itself; one of each group stays."""
     text = lambda k: " ".join(f"word{k}x{i}" for i in range(40))
