@@ -9,7 +9,15 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Bucketizer, ElementwiseProduct, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import (
+    PCA,
+    Bucketizer,
+    ElementwiseProduct,
+    SQLTransformer,
+    StandardScaler,
+    VectorAssembler,
+    VectorSlicer,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
@@ -33,6 +41,8 @@ METRICS = (
 _PARTS, _HUGE = 1 << 12, 1 << 16
 # Bins of a feature of the boosted trees; one more holds its missing values.
 BINS = 63
+# An axis with less than this share of the variance holds rounding only.
+NO_VARIANCE = 1e-10
 
 
 @dataclass(frozen=True)
@@ -220,6 +230,37 @@ def class_weights(y: str, n: int, pos: int):
     return F.when(F.col(y) == 1, F.lit((n - pos) / max(pos, 1))).otherwise(F.lit(1.0))
 
 
+def _z_scores(ready: DataFrame, rows: int, output: str) -> list:
+    """Fitted stages from the column __raw to z-scores by the population deviation."""
+    scaler = StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True, withStd=True).fit(ready)
+    # The scaler divides by the sample deviation; one constant factor turns that into the population one.
+    factor = math.sqrt(rows / max(rows - 1, 1))
+    rescale = ElementwiseProduct(inputCol="__scaled", outputCol=output, scalingVec=Vectors.dense([factor] * scaler.mean.size))
+    return [scaler, rescale]
+
+
+def principal_stages(train: DataFrame, features: str) -> list:
+    """Fitted stages from a complete vector column to its z-scores along their principal axes.
+
+    Turning keeps lengths, so the penalty |w|^2 and with it the optimum of a logistic regression are those of the z-scores
+    themselves. The search is short, though: the estimator divides by the deviation of each axis while it searches,
+    and the axes are uncorrelated, while the values of neighbouring hours are nearly the same, which asks for more
+    steps the more rows there are. One pass over the rows; the driver gets one matrix of the vector's width.
+    """
+    require_columns(train, [features], "principal axes")
+    stages = [VectorAssembler(inputCols=[features], outputCol="__raw")]
+    ready = _run(stages, train).select("__raw").persist()
+    try:
+        scores = _z_scores(ready, ready.count(), "__z")
+        width = scores[0].mean.size
+        axes = PCA(k=width, inputCol="__z", outputCol="__axes").fit(_run(scores, ready))
+    finally:
+        ready.unpersist()
+    kept = [i for i, share in enumerate(axes.explainedVariance) if share > NO_VARIANCE]
+    # Where nothing varies there is no axis; one that is constant takes no part in a fit.
+    return [*stages, *scores, axes, VectorSlicer(inputCol="__axes", outputCol="__features", indices=kept or [0])]
+
+
 def fit_logistic(
     train: DataFrame,
     features: Sequence[str] | str,
@@ -228,41 +269,38 @@ def fit_logistic(
     reweight: bool = False,
     tol: float = 1e-10,
     max_iter: int = 1000,
+    stages: Sequence | None = None,
 ) -> PipelineModel:
     """Median imputation, z-scores (population deviation), L2 logistic regression.
 
     ``penalty`` is the inverse strength: the objective equals the sum of losses plus |w|^2 / (2 * penalty).
     Columns without a single training value are dropped. ``features`` may also name one vector column that is
-    complete already.
+    complete already; it is fitted along its principal axes. Several fits may share ``stages``, the
+    ``principal_stages`` of these rows.
     """
     if isinstance(features, str):
         require_columns(train, [features, label], "logistic baseline")
-        stages = [VectorAssembler(inputCols=[features], outputCol="__raw")]
+        stages, held = list(stages or principal_stages(train, features)), "__features"
     else:
         require_columns(train, [*features, label], "logistic baseline")
         medians = {c: m for c, m in exact_medians(train, features).items() if m is not None}
         if not medians:
             raise ValueError("no feature has a training value")
-        stages = _packed([_filled(c, m) for c, m in medians.items()], "__raw")
-    ready = _run(stages, train).select("__raw", ref(label).cast("double").alias("__y")).persist()
+        stages, held = _packed([_filled(c, m) for c, m in medians.items()], "__raw"), "__raw"
+    ready = _run(stages, train).select(held, ref(label).cast("double").alias("__y")).persist()
     try:
         size = ready.agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("pos")).first()
-        scaler = StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True, withStd=True).fit(ready)
-        # The scaler divides by the sample deviation; one constant factor turns that into the population one.
-        factor = math.sqrt(size.n / max(size.n - 1, 1))
-        rescale = ElementwiseProduct(
-            inputCol="__scaled", outputCol="__features", scalingVec=Vectors.dense([factor] * scaler.mean.size)
-        )
+        scores = [] if held == "__features" else _z_scores(ready, size.n, "__features")
         weight = 2.0 * (size.n - size.pos) if reweight else float(size.n)
         estimator = LogisticRegression(
             featuresCol="__features", labelCol="__y", elasticNetParam=0.0, standardization=False,
             regParam=1.0 / (penalty * weight), maxIter=max_iter, tol=tol,
         )
-        scaled = _run([scaler, rescale], ready)
+        scaled = _run(scores, ready)
         if reweight:
             scaled = scaled.withColumn("__w", class_weights("__y", size.n, size.pos))
             estimator = estimator.setWeightCol("__w")
-        return PipelineModel(stages=[*stages, scaler, rescale, estimator.fit(scaled)])
+        return PipelineModel(stages=[*stages, *scores, estimator.fit(scaled)])
     finally:
         ready.unpersist()
 

@@ -26,6 +26,7 @@ from staywise.operators.models import (
     fit_logistic,
     fit_stopped_trees,
     predict,
+    principal_stages,
 )
 from staywise.operators.sequences import SequenceFrame, build_sequences
 from staywise.operators.splits import group_train_test_split, split_summary, three_way_split
@@ -163,9 +164,10 @@ def run_sequence_baseline(catalog: TableCatalog, spec: CohortSpec | None = None,
 
     best = best_area = best_penalty = None
     tried = stale = 0
+    stages = principal_stages(train, "x")
     for penalty in config.penalties:
         candidate = fit_logistic(
-            train, "x", penalty=penalty, reweight=config.use_pos_weight, tol=1e-6, max_iter=config.max_iter
+            train, "x", penalty=penalty, reweight=config.use_pos_weight, tol=1e-6, max_iter=config.max_iter, stages=stages
         )
         row = auroc(predict(candidate, validation), LABEL, SCORE).first()
         area = 0.5 if row.auroc is None else row.auroc  # one class in the validation fold: no preference

@@ -3,10 +3,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
 from staywise.functions.vocab import STAY
 from staywise.operators.models import (
     METRICS,
+    SCORE,
     ModelResult,
     better_model,
     bin_cuts,
@@ -268,3 +271,28 @@ def test_verdict_and_tie():
     trees, linear = (ModelResult(n, None, None, {"auroc": 0.7}, None) for n in ("t", "l"))
     assert better_model(trees, linear) is trees
     assert STAY == "hospitalization_id"
+
+
+def test_vector_fit_along_principal_axes(spark):
+    """Values that hardly change from hour to hour: the optimum of the z-scores, found in few steps; a constant hour is no harm."""
+    draw = random.Random(5)
+    rows = []
+    for _ in range(600):
+        level, hours = draw.gauss(0, 1), []
+        for _ in range(40):
+            level += draw.gauss(0, 1) if draw.random() < 0.05 else 0.0
+            hours.append(level)
+        p = 1 / (1 + math.exp(1 - hours[-1] + 0.5 * hours[20]))
+        rows.append((int(draw.random() < p), [0.0, *hours]))
+    names = [f"h{i}" for i in range(1, 41)]
+    frame = spark.createDataFrame(rows, "outcome int, a array<double>").select(
+        "outcome", array_to_vector("a").alias("x"), *[F.col("a")[i].alias(f"h{i}") for i in range(1, 41)]
+    )
+    found = fit_logistic(frame, "x", penalty=1.0, tol=1e-6)
+    assert found.stages[-1].summary.totalIterations < 60
+    exact = fit_logistic(frame, names, penalty=1.0)
+    ours, theirs = ([r[0] for r in predict(m, frame).select(SCORE).collect()] for m in (found, exact))
+    assert max(abs(a - b) for a, b in zip(ours, theirs, strict=True)) < 5e-3
+    flat = frame.select("outcome", array_to_vector(F.array(F.lit(1.0), F.lit(2.0))).alias("x"))
+    share = sum(y for y, _ in rows) / len(rows)
+    assert all(abs(r[0] - share) < 1e-6 for r in predict(fit_logistic(flat, "x"), flat).select(SCORE).collect())
