@@ -261,6 +261,19 @@ def principal_stages(train: DataFrame, features: str) -> list:
     return [*stages, *scores, axes, VectorSlicer(inputCol="__axes", outputCol="__features", indices=kept or [0])]
 
 
+def _shorter_along_axes(stages: Sequence, strength: float, share: float) -> bool:
+    """Is the search better conditioned along the principal axes than on the z-scores themselves?
+
+    With variances from m to M and curvature h of the loss, the z-scores have the condition (hM + l) / (hm + l) and
+    the axes, each divided by its deviation, (h + l/m) / (h + l/M): the smaller one if l < h sqrt(Mm). It is as soon as
+    there are enough rows, as the strength l falls with their number.
+    """
+    _, scaler, _, axes, slicer = stages
+    # Every column that varies has variance one.
+    variances = [axes.explainedVariance[i] * sum(d > 0 for d in scaler.std) for i in slicer.getIndices()]
+    return strength < share * (1 - share) * math.sqrt(max(variances) * min(variances))
+
+
 def fit_logistic(
     train: DataFrame,
     features: Sequence[str] | str,
@@ -275,25 +288,29 @@ def fit_logistic(
 
     ``penalty`` is the inverse strength: the objective equals the sum of losses plus |w|^2 / (2 * penalty).
     Columns without a single training value are dropped. ``features`` may also name one vector column that is
-    complete already; it is fitted along its principal axes. Several fits may share ``stages``, the
-    ``principal_stages`` of these rows.
+    complete already; it is fitted along its principal axes where that shortens the search. Several fits may share
+    ``stages``, the ``principal_stages`` of these rows.
     """
-    if isinstance(features, str):
-        require_columns(train, [features, label], "logistic baseline")
-        stages, held = list(stages or principal_stages(train, features)), "__features"
+    vector = isinstance(features, str)
+    require_columns(train, [features, label] if vector else [*features, label], "logistic baseline")
+    y = ref(label).cast("double")
+    size = train.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos")).first() if vector else None
+    if vector:
+        stages = list(stages or principal_stages(train, features))
+        held = "__features" if _shorter_along_axes(stages, 1.0 / (penalty * size.n), size.pos / size.n) else "__z"
+        stages = stages if held == "__features" else stages[:3]
     else:
-        require_columns(train, [*features, label], "logistic baseline")
         medians = {c: m for c, m in exact_medians(train, features).items() if m is not None}
         if not medians:
             raise ValueError("no feature has a training value")
         stages, held = _packed([_filled(c, m) for c, m in medians.items()], "__raw"), "__raw"
-    ready = _run(stages, train).select(held, ref(label).cast("double").alias("__y")).persist()
+    ready = _run(stages, train).select(held, y.alias("__y")).persist()
     try:
-        size = ready.agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("pos")).first()
-        scores = [] if held == "__features" else _z_scores(ready, size.n, "__features")
+        size = size or ready.agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("pos")).first()
+        scores = [] if vector else _z_scores(ready, size.n, "__features")
         weight = 2.0 * (size.n - size.pos) if reweight else float(size.n)
         estimator = LogisticRegression(
-            featuresCol="__features", labelCol="__y", elasticNetParam=0.0, standardization=False,
+            featuresCol=held if vector else "__features", labelCol="__y", elasticNetParam=0.0, standardization=False,
             regParam=1.0 / (penalty * weight), maxIter=max_iter, tol=tol,
         )
         scaled = _run(scores, ready)
