@@ -43,6 +43,8 @@ _PARTS, _HUGE = 1 << 12, 1 << 16
 BINS = 63
 # An axis with less than this share of the variance holds rounding only.
 NO_VARIANCE = 1e-10
+# Rows of a task in a fit of many short passes: fewer are not worth a task, and more are given to another wave of tasks.
+FEWEST_ROWS, MOST_ROWS = 20_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -225,6 +227,23 @@ def _run(stages: Sequence, frame: DataFrame) -> DataFrame:
     return frame
 
 
+def _parts(rows: int, cores: int) -> int:
+    """Equal parts of the rows: as many as cores, or a whole number of waves of them; fewer where there are few rows."""
+    waves = max(1, math.ceil(rows / (cores * MOST_ROWS)))
+    return max(1, min(waves * cores, math.ceil(rows / FEWEST_ROWS)))
+
+
+def _spread(ready: DataFrame, rows: int) -> DataFrame:
+    """The rows in equal parts for many passes; few rows stay as they are.
+
+    Adaptive execution makes parts by bytes: model rows are small, so one part would hold all of them where a pass has
+    work for every core, and later some cores would have one part more than the others, for which each pass waits.
+    """
+    if rows <= FEWEST_ROWS:
+        return ready
+    return ready.repartition(_parts(rows, ready.sparkSession.sparkContext.defaultParallelism))
+
+
 def class_weights(y: str, n: int, pos: int):
     """Positives weigh as much as all negatives together; the weights sum to twice the negatives."""
     return F.when(F.col(y) == 1, F.lit((n - pos) / max(pos, 1))).otherwise(F.lit(1.0))
@@ -386,7 +405,7 @@ def fit_boosted_trees(
     if is_unbalance:
         ready = ready.withColumn("__w", class_weights("__y", counted.n, counted.pos))
         estimator = estimator.setWeightCol("__w")
-    ready = ready.persist()
+    ready = _spread(ready, counted.n).persist()
     try:
         return PipelineModel(stages=[*stages, estimator.fit(ready)])
     finally:

@@ -3,10 +3,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from staywise.functions.vocab import STAY
+from staywise.operators import models
 from staywise.operators.models import (
     METRICS,
     SCORE,
@@ -131,6 +133,24 @@ def test_same_seed_same_trees(spark):
     assert a == b
 
 
+def test_trees_grow_on_equal_parts(spark, monkeypatch):
+    """A pass over the rows gives every core the same work, wherever the rows were; few rows stay where they are."""
+    seen, fit = [], GBTClassifier.fit
+
+    def watched(self, rows):
+        seen.append(rows.rdd.glom().map(len).collect())
+        return fit(self, rows)
+
+    monkeypatch.setattr(GBTClassifier, "fit", watched)
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 30_000 * cores, 1, 1).selectExpr("CAST(id % 2 AS int) AS outcome", "CAST((id * 7) % 50 AS double) AS x")
+    fit_boosted_trees(rows, ["x"], trees=1, depth=1)
+    assert len(seen[0]) == cores and max(seen[0]) - min(seen[0]) <= 1 and sum(seen[0]) == 30_000 * cores
+    fit_boosted_trees(rows.limit(500).repartition(3), ["x"], trees=1, depth=1)
+    assert len(seen[1]) == 3 and sum(seen[1]) == 500
+    assert models._parts(50_000, 12) == 3 and models._parts(5_000_000, 12) == 12 and models._parts(30_000_000, 12) == 36
+
+
 def test_missing_values_can_be_split_on(spark):
     frame = spark.range(60).selectExpr("CAST(id % 2 AS int) AS outcome", "IF(id % 2 = 0, 1.0D, NULL) AS x", "CAST(NULL AS double) AS gone")
     result = evaluate("t", fit_boosted_trees(frame, ["x", "gone"], trees=2), frame)
