@@ -30,7 +30,7 @@ RARITY_BITS = 18
 #: Parts of the words that are joined one after the other: only one part's shuffle files are on disk at a time.
 ROUNDS = 2
 #: Columns of the parity map of all lines, and the number of words above which a line has a wide map as well.
-PARITY, LONG = ("parity0", "parity1", "parity2", "parity3"), 384
+PARITY, LONG = ("parity0", "parity1"), 192
 #: Bytes of the map that tells which lines are to be verified, as a power of two.
 MAP_BITS = 17
 _TRIMMED = " \t\n\x0b\f\r"
@@ -81,7 +81,7 @@ def _token(h: Column, rarity: bytes) -> Column:
     pairs = bytes(a | b << 4 for a, b in zip(rarity[::2], rarity[1::2], strict=True))
     longs = [int.from_bytes(pairs[i : i + 8], "little", signed=True) for i in range(0, len(pairs), 8)]
     levels = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
-    bucket = F.pmod(h, F.lit(1 << RARITY_BITS)).cast("int")
+    bucket = h.bitwiseAND(F.lit((1 << RARITY_BITS) - 1)).cast("int")
     held = F.get(levels, F.shiftright(bucket, 4))
     level = F.call_function("shiftright", held, bucket.bitwiseAND(F.lit(15)) * 4).bitwiseAND(F.lit(15))
     return F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
@@ -119,8 +119,8 @@ def _toggle(bits: Column, token: Column) -> Column:
 
 
 def _parity(tokens: Column, slot: int) -> Column:
-    """A quarter of a map of 256 bits: a word toggles the bit that its hash names."""
-    mine = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == slot
+    """64 bits of the map: a word toggles the bit that its hash names."""
+    mine = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(len(PARITY) - 1)) == slot
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: F.when(mine(x), _toggle(a, x)).otherwise(a))
 
 
@@ -131,7 +131,7 @@ def distinct_sets(documents: DataFrame, rarity: bytes, several: DataFrame | None
     # A line of n words with a similar one shares one of its n - ceil(n * num / den) + 1 rarest words.
     # Here 31 bits of a word do: they only choose which lines meet.
     prefix = F.transform(F.slice("t", F.lit(1), size - F.ceil(size * num / den).cast("int") + 1), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    # One more map with as many bits as a long line has words: the one of 256 bits is full then.
+    # One more map with as many bits as a long line has words: the one of all lines is full then.
     slots = F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(size / 64.0)).cast("int"))
     wide = F.when(size > LONG * num / den, F.transform(F.sequence(F.lit(0), slots - 1), lambda k: F.aggregate(
         F.filter("t", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit((1 << 20) - 1)) % slots == k), F.lit(0).cast("long"), _toggle
@@ -225,7 +225,8 @@ def removed_sets(
         return named.select("word", F.struct(*NAME, "size", *PARITY, "at", *more).alias("x"))
 
     name = lambda side: F.struct(*[f"{side}.{c}" for c in NAME])
-    near = (name("y") < name("x")) & _similar_enough("x", "y", num, den)
+    # Names last: they are compared as structs, which are made for each pair of rows that gets there.
+    near = _similar_enough("x", "y", num, den) & (name("y") < name("x"))
     apart = _apart("x", "y")
     # The earliest line of each word; of those that may be similar to a line, the one that seems nearest is tried.
     led = postings(sets).withColumn("y", F.min("x").over(Window.partitionBy("word")))

@@ -121,3 +121,26 @@ def test_other_thresholds(docs):
     rows = corpus(4)
     got = {r.doc_id: r.text for r in linededup.dedup_lines(docs(rows), 1, 2).collect()}
     assert got == brute(rows, 0.5)
+
+
+def test_lines_around_the_length_of_wide_maps(docs):
+    """Near copies and others whose sizes are at and about the bounds of the two kinds of maps."""
+    draw, rows = random.Random(7), []
+    for n in (150, 153, 154, 155, 191, 192, 193, 230, 240, 241, 300):
+        base = [f"w{draw.randrange(3000)}" for _ in range(n)]
+        for share in (0, 0.08, 0.1, 0.11, 0.12, 0.2):
+            line = [f"c{n}x{draw.random()}" if draw.random() < share else w for w in base]
+            rows.append((len(rows), " ".join(draw.sample(line, n)) + "\n" + " ".join(line[: round(n * 0.82)])))
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs(rows)).collect()}
+    assert got == brute(rows)
+    assert 11 < sum(len(sets([(i, t)])) for i, t in got.items()) < len(rows)  # some copies stay, most go
+
+
+def test_pairs_are_sized_before_their_names_are_compared(docs, monkeypatch):
+    """Most pairs of rows that share a word end at sizes and maps; structs of names are made for the others only."""
+    plans, written = [], linededup.materialize
+    monkeypatch.setattr(linededup, "materialize", lambda frame: plans.append(frame._jdf.queryExecution().optimizedPlan().toString()) or written(frame))
+    linededup.dedup_lines(docs(corpus(1, 10)))
+    met = [line for plan in plans for line in plan.split("\n") if "Join Inner" in line and "bit_count" in line]
+    assert len(met) == 1 + linededup.ROUNDS
+    assert all(line.index("bit_count(") < line.index("struct(doc") for line in met)
