@@ -45,11 +45,11 @@ _EMPTY = -7444071767201028348
 
 
 def _word_hashes(line: Column) -> Column:
-    """Distinct hashes of a line's words; blanks become spaces first, as parting at one character is fast."""
+    """Distinct hashes of a line's words in order; blanks become spaces first, as parting at one character is fast."""
     for blank in "\t\x0b\f\r":
         line = F.replace(line, F.lit(blank), F.lit(" "))
     hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
-    return F.array_remove(F.array_distinct(hashes), F.lit(_EMPTY))  # between two spaces is no word
+    return F.sort_array(F.array_remove(F.array_distinct(hashes), F.lit(_EMPTY)))  # between two spaces is no word
 
 
 def rarity_table(documents: DataFrame, text: str = "text") -> bytes:
@@ -81,9 +81,9 @@ def _token(h: Column, rarity: bytes) -> Column:
     pairs = bytes(a | b << 4 for a, b in zip(rarity[::2], rarity[1::2], strict=True))
     longs = [int.from_bytes(pairs[i : i + 8], "little", signed=True) for i in range(0, len(pairs), 8)]
     levels = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
-    bucket = h.bitwiseAND(F.lit((1 << RARITY_BITS) - 1)).cast("int")
-    held = F.get(levels, F.shiftright(bucket, 4))
-    level = F.call_function("shiftright", held, bucket.bitwiseAND(F.lit(15)) * 4).bitwiseAND(F.lit(15))
+    # Bucket: the low bits of the hash; all but four of them are the place of the long, four the place in it.
+    held = F.get(levels, F.shiftright(h, 4).bitwiseAND(F.lit(len(longs) - 1)).cast("int"))
+    level = F.call_function("shiftright", held, F.shiftleft(h, 2).bitwiseAND(F.lit(60)).cast("int")).bitwiseAND(F.lit(15))
     return F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
 
 
@@ -92,11 +92,15 @@ def lines(documents: DataFrame, key: str, text: str) -> DataFrame:
     rows = documents.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(
         F.col(f"`{key}`").alias("doc"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line")
     )
-    return rows.where(F.btrim("line", F.lit(_TRIMMED)) != "")
+    return rows.where(~_blank(F.col("line")))
 
 
-def _tokens(line: Column, rarity: bytes) -> Column:
-    return F.sort_array(F.transform(_word_hashes(line), lambda h: _token(h, rarity)))
+def _blank(line: Column) -> Column:
+    return F.ltrim(line, F.lit(_TRIMMED)) == ""  # looks at a line from its start only
+
+
+def _tokens(hashes: Column, rarity: bytes) -> Column:
+    return F.sort_array(F.transform(hashes, lambda h: _token(h, rarity)))
 
 
 def several_texts(documents: DataFrame, key: str, text: str) -> DataFrame | None:
@@ -118,27 +122,41 @@ def _toggle(bits: Column, token: Column) -> Column:
     return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(F.lit(63)).cast("int")))
 
 
-def _parity(tokens: Column, slot: int) -> Column:
-    """64 bits of the map: a word toggles the bit that its hash names."""
-    mine = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(len(PARITY) - 1)) == slot
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: F.when(mine(x), _toggle(a, x)).otherwise(a))
+def _parity(hashes: Column, slots: Column) -> Column:
+    """The parity map of sorted hashes, 64 bits to a slot: a word toggles the bit that its hash names.
+
+    A slot is a range of hashes, that is a slice, so each word is looked at once; ``slots`` is a power of two, at least 2.
+    """
+    bits = F.log2(slots).cast("int")
+    start = lambda k: F.call_function("shiftleft", k.cast("long") - F.shiftright(slots, 1), F.lit(64) - bits)
+    # How many hashes are below the start of each slot; the first one has none, after the last come all.
+    below = lambda k: F.when(k == 0, 0).when(k == slots, F.size(hashes)).otherwise(
+        F.array_position(F.sort_array(F.array_append(hashes, start(k))), start(k)).cast("int") - 1
+    )
+    return F.transform(F.transform(F.sequence(F.lit(0), slots - 1), lambda k: F.struct(below(k).alias("a"), below(k + 1).alias("b"))), lambda r: F.aggregate(
+        F.slice(hashes, r["a"] + 1, r["b"] - r["a"]), F.lit(0).cast("long"), _toggle
+    ))
 
 
 def distinct_sets(documents: DataFrame, rarity: bytes, several: DataFrame | None, key: str, text: str, num: int, den: int) -> DataFrame:
     """Rows (NAME..., size, prefix, PARITY..., wide), one for each set of words: its earliest line."""
-    own = lines(documents, key, text).select("doc", "pos", _tokens(F.col("line"), rarity).alias("t"))
-    size = F.size("t")
+    # Hashes and tokens are columns of steps of their own, so that each is worked out once and outside of lambdas.
+    own = lines(documents, key, text).select("doc", "pos", _word_hashes(F.col("line")).alias("h"))
+    own = own.select("doc", "pos", "h", F.size("h").alias("size"), _tokens(F.col("h"), rarity).alias("t"))
+    # The sign parts the hashes in two; zero, put among them, tells where.
+    own = own.select("*", (F.array_position(F.sort_array(F.array_append("h", F.lit(0).cast("long"))), F.lit(0).cast("long")) - 1).cast("int").alias("minus"))
+    size = F.col("size")
     # A line of n words with a similar one shares one of its n - ceil(n * num / den) + 1 rarest words.
     # Here 31 bits of a word do: they only choose which lines meet.
     prefix = F.transform(F.slice("t", F.lit(1), size - F.ceil(size * num / den).cast("int") + 1), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    halves = [F.slice("h", F.lit(1), F.col("minus")), F.slice("h", F.col("minus") + 1, size - F.col("minus"))]
+    maps = [F.aggregate(half, F.lit(0).cast("long"), _toggle).alias(p) for half, p in zip(halves, PARITY, strict=True)]
     # One more map with as many bits as a long line has words: the one of all lines is full then.
-    slots = F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(size / 64.0)).cast("int"))
-    wide = F.when(size > LONG * num / den, F.transform(F.sequence(F.lit(0), slots - 1), lambda k: F.aggregate(
-        F.filter("t", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit((1 << 20) - 1)) % slots == k), F.lit(0).cast("long"), _toggle
-    )))
+    slots = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(size / 64.0)).cast("int")))
+    wide = F.when(size > LONG * num / den, _parity(F.col("h"), slots))
     described = own.select(
         F.xxhash64("t").alias("s1"), F.xxhash64(F.lit(7), "t").alias("s2"), "doc", "pos",
-        F.struct(size.alias("size"), prefix.alias("prefix"), *[_parity(F.col("t"), k).alias(p) for k, p in enumerate(PARITY)], wide.alias("wide")).alias("what"),
+        F.struct("size", prefix.alias("prefix"), *maps, wide.alias("wide")).alias("what"),
     )
     described, first = _tagged(described, several), F.struct(*NAME)
     return described.groupBy("s1", "s2").agg(F.min(first).alias("first"), F.min_by("what", first).alias("what")).select(
@@ -165,12 +183,13 @@ def _apart(x: str, y: str) -> Column:
 
 
 def _wide_apart(a: Column, b: Column) -> Column:
-    """Bits in which two wide maps differ; the longer one, which has twice the slots or more, is folded."""
+    """Bits in which two wide maps differ; the longer one, which has twice the slots or more, is folded: neighbours are one."""
     n = F.least(F.size(a), F.size(b))
 
     def folded(m: Column) -> Column:
+        each = (F.size(m) / n).cast("int")
         return F.when(F.size(m) == n, m).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.aggregate(
-            F.filter(m, lambda x, i: i % n == k), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)
+            F.slice(m, k * each + 1, each), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)
         )))
 
     return F.aggregate(F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -202,8 +221,9 @@ def _verified(
     second = [F.col(o).alias(c) for c, o in zip(NAME, OTHER, strict=True)]
     involved = pairs.select(*NAME).unionByName(pairs.select(*second))
     asked = lines(documents, key, text).where(_within(involved, "doc", "pos"))
-    words = asked.select("doc", "pos", _tokens(F.col("line"), rarity).alias("t"))
-    words = _tagged(words.withColumn("s1", F.xxhash64("t")), several)
+    words = asked.select("doc", "pos", _word_hashes(F.col("line")).alias("t"))
+    tag = F.lit(0) if several is None else F.xxhash64(_tokens(F.col("t"), rarity))
+    words = _tagged(words.withColumn("s1", tag), several)
     words = materialize(words.groupBy(*NAME).agg(F.min("t").alias("t")))
     left = pairs.join(words.withColumnRenamed("t", "t1"), list(NAME))
     right = words.select(*[F.col(c).alias(o) for c, o in zip(NAME, OTHER, strict=True)], F.col("t").alias("t2"))
@@ -280,11 +300,11 @@ def _without(documents: DataFrame, stay: DataFrame, key: str, text: str, rarity:
     joined = packed(documents).join(kept, row[key] == F.col("_doc"), "left")
     joined = joined.select("_row", "_kept", row[text].alias("_text"), F.split(row[text], "\n").alias("_lines"))
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
-    blank = F.filter(every, lambda i: F.btrim(F.get("_lines", i), F.lit(_TRIMMED)) == "")
+    blank = F.filter(every, lambda i: _blank(F.get("_lines", i)))
     if rarity is None:
         inside = F.filter(F.coalesce("_kept", F.array().cast("array<int>")), lambda i: i < F.size("_lines"))
     else:
-        tokens = F.transform("_lines", lambda x, i: F.struct(i.alias("pos"), _tokens(x, rarity).alias("t")))
+        tokens = F.transform("_lines", lambda x, i: F.struct(i.alias("pos"), _tokens(_word_hashes(x), rarity).alias("t")))
         names = F.transform(tokens, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["t"]).alias("tag")))
         inside = F.transform(F.filter(names, lambda x: F.coalesce(F.array_contains("_kept", x), F.lit(False))), lambda x: x["pos"])
     own = F.when(row[key].isNull(), every).otherwise(F.array_sort(F.array_union(blank, inside)))

@@ -144,3 +144,11 @@ def test_pairs_are_sized_before_their_names_are_compared(docs, monkeypatch):
     met = [line for plan in plans for line in plan.split("\n") if "Join Inner" in line and "bit_count" in line]
     assert len(met) == 1 + linededup.ROUNDS
     assert all(line.index("bit_count(") < line.index("struct(doc") for line in met)
+
+
+def test_hashes_are_made_outside_of_other_lambdas(docs):
+    """Distinct hashes come from generated code: inside another array function's lambda input they would be interpreted."""
+    sets = linededup.distinct_sets(docs(corpus(1, 10)), bytes(1 << linededup.RARITY_BITS), None, "doc_id", "text", 4, 5)
+    plan = sets._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    made = [line for line in plan if "array_distinct(" in line]
+    assert len(made) == 1 and made[0].count("lambdafunction(") == 1
